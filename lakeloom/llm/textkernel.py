@@ -19,6 +19,12 @@ _M = np.uint64(0xD1342543DE82EF95)
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Words of letters only: every ASCII byte that is no letter separates.
+LETTERS_ONLY = np.ones(256, dtype=bool)
+LETTERS_ONLY[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: Words of letters and digits.
+ALNUM_ONLY = LETTERS_ONLY.copy()
+ALNUM_ONLY[48:58] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -66,12 +72,12 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         first = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of every word, the text's number for every word, and the words' first and past-the-last bytes."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every word (a run of bytes of which space is False), the text's number for every word, and the words' first and past-the-last bytes."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]
@@ -119,3 +125,24 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield mixed(shingle_hashes(words[a:b], b - a) + np.uint64(b - a))
             else:
                 yield words[:0]
+
+
+class Lookup:
+    """Places of hashes in a sorted table; a bitmap of their low bits settles most misses."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.unique(keys)
+        bits = max(16, min(26, int(len(self.keys) * 16).bit_length()))
+        self.mask = np.uint64((1 << bits) - 1)
+        self.seen = np.zeros(1 << bits, dtype=bool)
+        self.seen[self.keys & self.mask] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of hashes are keys, their places in keys)."""
+        if not len(self.keys):
+            none = np.zeros(0, np.int64)
+            return none, none
+        maybe = np.flatnonzero(self.seen[hashes & self.mask])
+        at = np.minimum(np.searchsorted(self.keys, hashes[maybe]), len(self.keys) - 1)
+        hit = self.keys[at] == hashes[maybe]
+        return maybe[hit], at[hit]
