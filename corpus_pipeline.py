@@ -6,19 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeloom.llm.decontamination import without_copies
 from lakeloom.llm.ngram_join import keep_one
+from lakeloom.llm.packing import pack
 from lakeloom.llm.store import written
+from lakeloom.llm.toxicity import without_toxic
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that the classifier chain, trained on the labels, calls toxic."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (five-word shingles, Jaccard similarity of 0.8 or more)."""
     return keep_one(docs)
 
 
+def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold a copy, exact or edited, of a benchmark item."""
+    return without_copies(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Buckets and batches of the remaining documents."""
+    return pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("ngram_join", near_copies),
+    ("toxicity", drop_toxic),
+    ("ngram_join", drop_near_copies),
+    ("decontamination", drop_test_items),
+    ("packing", pack_texts),
 ]
 
+#: The classifier, the join and the alignment can't be put in SQL.
 ORACLE_SQL = None
 
 
