@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, licences, packing, sharding, toxicity
+from . import chat, decontamination, html_extraction, licences, packing, search, sharding, token_counts, toxicity
 from .ngram_join import ngram_join
 
 
@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of every document whose id is divisible by 50 against all documents, the 10 best."""
+    docs = table(spark, sf_dir, "documents")
+    return search.search(docs.where("doc_id % 50 = 0").selectExpr("doc_id AS query_id", "text"), docs, 10)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 buckets over the words of all documents, batches of 65,536 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -37,6 +43,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under the public 32k vocabulary."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, Jaccard similarity of 0.9 or more."""
     return ngram_join(table(spark, sf_dir, "documents"), 3, 9, 10)
@@ -52,8 +63,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages, by a model trained on some of them."""
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op3_chat_formatting, op4_licence_scan, op5_sharding, op7_ngram_join, op8_toxicity, op9_decontamination)
+    f.__name__: f for f in (op1_search, op2_packing, op3_chat_formatting, op4_licence_scan, op5_sharding, op6_token_counts, op7_ngram_join, op8_toxicity, op9_decontamination, op10_html_extraction)
 }
 
 ORACLES: dict[str, str] = {
