@@ -7,7 +7,8 @@ t = ceil(num * s / den) with any partner, the first s - t + l tokens share at le
 * Copies: documents with the same set are one class; only classes are joined.
 * Adaptive prefix: a token held by more than `heavy` documents is costly. Of a ladder of l each class takes the step with the
   least estimated number of candidates per match that it must show, among those steps whose longer prefix guarantees a match on
-  tokens that aren't costly; it then leaves costly tokens out. Where no step does (a large group of near copies, a text made of a
+  tokens that aren't costly; it then leaves costly tokens out. A class that shares fewer tokens with all others together than
+  any step asks for has no partner. Where no step does (a large group of near copies, a text made of a
   common line), all tokens of the longest prefix stay and correspondingly more must match.
 * Groups: before pairs are formed, every class is verified against one hub of its buckets (`hub_rounds` times), which joins
   large groups of near copies by a number of checks in proportion to their size. Then all candidates whose components still
@@ -32,7 +33,7 @@ from .store import written
 from .textkernel import mixed, shingle_sets
 
 #: Parts of a class's tokens by which the ladder's steps lengthen the prefix.
-LADDER = (0.0, 0.01, 0.02, 0.05)
+LADDER = (0.0, 0.01, 0.02, 0.04)
 #: A token held by more documents than this is costly.
 HEAVY = 32
 #: Below this many rows the wanted ids are broadcast (16 bytes each), above it they are joined by a shuffle.
@@ -78,32 +79,53 @@ def class_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _keys(base: DataFrame, num: int, den: int, heavy: int) -> DataFrame:
-    """(t, cid, n, need, c): the tokens by which each class is found, and how many must match."""
+    """(t, cid, n, need, c, wide): the tokens by which each class is found, and how many must match.
+
+    At each step of the ladder a class with a partner shares with it at least `least` tokens of its prefix, the step's l for the
+    smallest size that a partner can have. So a class that shares fewer with anyone at any step has no partner and is left out.
+    Of two classes, the one with the lower step finds the other: the other's prefix holds at least that step's tokens.
+    """
     spread = base.where("n > 0").select("cid", "n", F.posexplode("prefix").alias("pos", "t"))
     shared = spread.groupBy("t").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("t", "c")
     found = written(spread.join(shared, "t").dropDuplicates(["t", "cid"]))
-    least = F.floor((F.col("n") * num + den - 1) / den)
-    partner = F.floor((F.col("n") * num + den - 1) / den)
+    overlap = F.floor((F.col("n") * num + den - 1) / den)
     costly = F.col("c") > heavy
 
-    def step(part: float, size: F.Column = F.col("n")) -> F.Column:
+    def step(part: float, size: F.Column) -> F.Column:
         return F.least(F.floor(size * F.lit(part)) + 1, F.floor((size * num + den - 1) / den))
 
-    lowest = step(LADDER[-1], partner)
-    sums = []
+    sums, alive = [], F.lit(True)
     for i, part in enumerate(LADDER):
-        inside = F.col("pos") < F.col("n") - least + step(part)
-        sums += [F.sum(F.when(inside & costly, 1).otherwise(0)).alias(f"heavy{i}"), F.sum(F.when(inside & ~costly, F.col("c") - 1).otherwise(0)).alias(f"cost{i}")]
-    by_class = found.groupBy("cid", "n").agg(*sums)
+        inside = F.col("pos") < F.col("n") - overlap + step(part, F.col("n"))
+        sums += [F.count_if(inside & costly).alias(f"heavy{i}"), F.count_if(inside & ~costly).alias(f"light{i}"), F.sum(F.when(inside & ~costly, F.col("c") - 1).otherwise(0)).alias(f"cost{i}")]
+        alive &= F.col(f"heavy{i}") + F.col(f"light{i}") >= step(part, overlap)
+    by_class = found.groupBy("cid", "n").agg(*sums).where(alive)
     options = []
     for i, part in enumerate(LADDER):
-        show = F.least(step(part), lowest) - F.col(f"heavy{i}")
-        options.append(F.when(show >= 1, F.struct((F.col(f"cost{i}") / show).alias("cost"), F.lit(i).alias("i"), show.cast("long").alias("need"), (F.col("n") - least + step(part)).cast("long").alias("length"))))
+        show = step(part, overlap) - F.col(f"heavy{i}")
+        options.append(F.when(show >= 1, F.struct((F.col(f"cost{i}") / show).alias("cost"), F.lit(i).alias("i"), show.cast("long").alias("need"), (F.col("n") - overlap + step(part, F.col("n"))).cast("long").alias("length"))))
     best = F.array_min(F.filter(F.array(*options), lambda x: x.isNotNull()))
-    chosen = by_class.select("cid", best.alias("best"), step(LADDER[-1]).cast("long").alias("all"))
+    chosen = by_class.select("cid", best.alias("best"), step(LADDER[-1], overlap).cast("long").alias("all"))
     chosen = chosen.select("cid", F.coalesce("best.need", "all").alias("need"), F.col("best.length").alias("length"))
     keys = found.join(chosen, "cid").where(F.col("length").isNull() | ((F.col("pos") < F.col("length")) & ~costly))
-    return written(keys.select("t", "cid", "n", "need", "c"))
+    return written(keys.select("t", "cid", "n", "need", "c", F.col("length").isNull().alias("wide")))
+
+
+def _with_lone(keys: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """keys and the column lone: of a wide class the number of its tokens, all of them, that no other wide class has.
+
+    Two wide classes can't share these, which settles most pairs of a large group of near copies that don't link.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cid, tokens in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), cid), pa.int64()), pa.array(tokens.view(np.int64))], ["cid", "t"])
+
+    wide = texts.join(keys.where("wide").select("cid").distinct(), "cid", "left_semi").select("cid", "text")
+    tokens = wide.mapInArrow(rows, "cid long, t long").groupBy("t").agg(F.min("cid").alias("cid"), F.max("cid").alias("other"))
+    lone = tokens.where("cid = other").groupBy("cid").agg(F.count("*").alias("lone"))
+    return written(keys.join(lone, "cid", "left").na.fill(0, ["lone"]))
 
 
 def _texts(docs: DataFrame, base: DataFrame, keys: DataFrame, k: int) -> DataFrame:
@@ -146,8 +168,11 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, heavy: i
     base = written(class_rows(docs, k, num, den))
     keys = _keys(base, num, den, heavy)
     texts = _texts(docs, base, keys, k)
+    keys = _with_lone(keys, texts, k)
     links, comps = None, None
-    fits = f"{den} * least(n, m) >= {num} * greatest(n, m)"
+    # the greatest overlap that sizes and lone tokens allow
+    most = "if(wide and wide_2, least(n - lone, m - lone_2), least(n, m))"
+    fits = f"{den} * {most} >= {num} * (n + m - {most})"
 
     def labelled() -> DataFrame:
         if comps is None:
@@ -159,13 +184,13 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, heavy: i
         if r < hub_rounds:
             fame = now.groupBy("cid").agg(F.sum("c").alias("fame"))
             rank = F.col("fame") if r == 0 else F.xxhash64("cid", F.lit(r)).cast("long")
-            hubs = now.join(fame, "cid").groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by(F.struct("cid", "n", "comp"), F.struct(rank.alias("r"), F.col("cid").alias("x"))).alias("h"))
-            hubs = hubs.where("lo <> hi").select("t", F.col("h.cid").alias("hub"), F.col("h.n").alias("m"), F.col("h.comp").alias("hub_comp"))
+            hubs = now.join(fame, "cid").groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by(F.struct("cid", "n", "comp", "wide", "lone"), F.struct(rank.alias("r"), F.col("cid").alias("x"))).alias("h"))
+            hubs = hubs.where("lo <> hi").select("t", F.col("h.cid").alias("hub"), F.col("h.n").alias("m"), F.col("h.comp").alias("hub_comp"), F.col("h.wide").alias("wide_2"), F.col("h.lone").alias("lone_2"))
             pairs = now.join(hubs, "t").where("comp <> hub_comp").where(fits).groupBy("cid", "hub").count()
             pairs = pairs.groupBy("cid").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
         else:
             sizes = now.groupBy("t", "comp").count().groupBy("t").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-            some = now.join(sizes, "t").where("comp <> main").select("t", F.col("cid").alias("x"), F.col("n").alias("m"), F.col("need").alias("need_x"), F.col("comp").alias("comp_x"), "main")
+            some = now.join(sizes, "t").where("comp <> main").select("t", F.col("cid").alias("x"), F.col("n").alias("m"), F.col("need").alias("need_x"), F.col("comp").alias("comp_x"), "main", F.col("wide").alias("wide_2"), F.col("lone").alias("lone_2"))
             found = some.join(now, "t").where("comp <> comp_x and (comp = main or cid < x)").where(fits)
             pairs = found.groupBy(F.least("cid", "x").alias("a"), F.greatest("cid", "x").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("need", "need_x")).alias("need")).where("shared >= need").select("a", "b")
         new = written(_linked(pairs, texts, k, num, den))
