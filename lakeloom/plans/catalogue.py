@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import codecs
 from ..functions.bits import base_name, byte_width, ceil_div, low_high, shared_prefix, split_any, varint_bytes, width, width_least_one
 from ..operators import arrays, codec_sizes, dictionary, generators, index, layouts, order, profile
+from ..session import ship
 from ..sources import lake
 from ..streaming import windows
 
@@ -202,8 +203,8 @@ for _n in codecs.CODECS:
 # generators: compared by shape in tests
 
 register("gen_uniform", None)(lambda s, d: generators.uniform(s, 4096, 1 << 17))
-register("gen_clustered", None)(lambda s, d: generators.clustered(s, 4096, 1 << 20))
-register("gen_zipf", None)(lambda s, d: generators.zipf(s, 10_000, 1.0, 1 << 12))
+register("gen_clustered", None)(lambda s, d: ship(s) or generators.clustered(s, 4096, 1 << 20))
+register("gen_zipf", None)(lambda s, d: ship(s) or generators.zipf(s, 10_000, 1.0, 1 << 12))
 
 # extensions
 

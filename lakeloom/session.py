@@ -3,10 +3,27 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's Python workers, which may run elsewhere and without it; once for a session."""
+    context = spark.sparkContext
+    if getattr(context, "_lakeloom_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="lakeloom-")) / "lakeloom_package.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(path))
+    context._lakeloom_sent = True
+
+
 def session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session. On a cluster the caller brings its own session instead."""
     builder = (
@@ -23,4 +40,5 @@ def session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) ->
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
