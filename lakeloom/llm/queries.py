@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
 from . import chat, decontamination, html_extraction, licences, packing, search, sharding, token_counts, toxicity
 from .ngram_join import ngram_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table. Queries start here, so the package goes to the workers too."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
