@@ -100,6 +100,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPAC
     return hashes, np.searchsorted(offsets, starts, side="right") - 1, starts, ends
 
 
+def word_beginnings(data: np.ndarray, offsets: np.ndarray, space: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """A row for each word: its hash and those of its first bytes, as many as each of sizes says; and the text's number of each
+    word. Where a word is no longer than that, its own hash stands again."""
+    words, of, starts, ends = word_hashes(data, offsets, space)
+    out = np.repeat(words[:, None], 1 + len(sizes), axis=1)
+    if not len(words):
+        return out, of
+    up, down = _power_tables(len(data))
+    upto = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=upto[1:])
+    for i, size in enumerate(sizes):
+        longer = np.flatnonzero(ends - starts > size)
+        at = starts[longer]
+        out[longer, i + 1] = mixed((upto[at + size] - upto[at]) * down[at] + np.uint64(size))
+    return out, of
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive words (len(words) - k + 1 of them)."""
     n = len(words) - k + 1

@@ -2,8 +2,8 @@
 
 Categories are predicted one after another by logistic models over the words that a text holds; each model also sees the
 probabilities that the chain gave for the categories before it. In training these are out-of-fold predictions, so a later model
-learns from probabilities as it will meet them. Words are runs of letters, ASCII lower-cased, weighted by their log-odds in the
-training rows. The model is fitted on a bounded sample of labelled rows (`most_rows`, those with the smallest hash of their id)
+learns from probabilities as it will meet them. Words are runs of letters, ASCII lower-cased; they and their beginnings are
+features, weighted by their log-odds in the training rows. The model is fitted on a bounded sample of labelled rows (`most_rows`, those with the smallest hash of their id)
 and has `most_words` words at most; scoring reads all documents.
 """
 
@@ -16,18 +16,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textkernel import LETTERS_ONLY, text_slices, word_hashes
+from .textkernel import LETTERS_ONLY, text_slices, word_beginnings
 
 #: Categories in the chain's order, as SQL over labels(toxic, quality); the first one decides on rejection.
 CATEGORIES = {"toxic": "toxic = 1", "toxic_low_quality": "toxic = 1 and quality = 0"}
+#: Besides a whole word its first so many bytes are features, so inflected and compound forms count.
+BEGINNINGS = (4, 5, 6, 7, 8)
 FOLDS = 3
 PENALTY = 0.5
 
 
 def word_rows(column: pa.Array) -> Iterator[np.ndarray]:
-    """The sorted distinct word hashes of every text; null counts as empty."""
+    """The sorted distinct hashes of words and their beginnings of every text; null counts as empty."""
     for _, data, offsets in text_slices(column):
-        words, of, _, _ = word_hashes(data, offsets, LETTERS_ONLY)
+        words, of = word_beginnings(data, offsets, LETTERS_ONLY, BEGINNINGS)
         cuts = np.searchsorted(of, np.arange(len(offsets)))
         for i in range(len(offsets) - 1):
             yield np.unique(words[cuts[i] : cuts[i + 1]])
@@ -156,7 +158,7 @@ class Chain:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, most_rows: int = 8_000, most_words: int = 32_768, least_rows: int = 3) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, most_rows: int = 6_000, most_words: int = 32_768, least_rows: int = 3) -> Chain:
     """A chain fitted on most_rows labelled documents at most. Labels that name no document, or with a null, are not used; of
     several labels of a document the greater toxic and the lesser quality hold."""
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality")).where("toxic is not null and quality is not null")
