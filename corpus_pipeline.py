@@ -11,25 +11,30 @@ from lakeloom.llm.ngram_join import keep_one
 from lakeloom.llm.packing import pack
 from lakeloom.llm.store import written
 from lakeloom.llm.toxicity import without_toxic
+from lakeloom.session import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the classifier chain, trained on the labels, calls toxic."""
+    ship(spark)
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (five-word shingles, Jaccard similarity of 0.8 or more)."""
+    ship(spark)
     return keep_one(docs)
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that hold a copy, exact or edited, of a benchmark item."""
+    ship(spark)
     return without_copies(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Buckets and batches of the remaining documents."""
+    ship(spark)
     return pack(docs)
 
 
