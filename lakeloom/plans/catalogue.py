@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import codecs
 from ..functions.bits import base_name, byte_width, ceil_div, low_high, shared_prefix, split_any, varint_bytes, width, width_least_one
-from ..operators import arrays, codec_sizes, dictionary, generators, index, layouts, order, profile
+from ..operators import arrays, codec_sizes, dictionary, encoded, generators, index, layouts, order, profile
 from ..session import ship
 from ..sources import lake
 from ..streaming import windows
@@ -157,6 +157,10 @@ for _n, _x in layouts.LAYOUTS.items():
     _layout_rows.append(f"SELECT '{_n}' AS layout, cells, keys, {_key} AS key_bytes, {'12 * cells' if _x.postings == 'plain' else _x.postings} AS posting_bytes FROM one, inc, fro")
 register("layout_summary", _LAYOUT_SQL + " UNION ALL ".join(_layout_rows))(lambda s, d: layouts.modelled_sizes(_cells(s, d)))
 
+for _n in layouts.LAYOUTS:
+    register(f"layout_roundtrip_{_n}", f"WITH {CELLS} SELECT * FROM cells")(lambda s, d, n=_n: encoded.round_trip(_cells(s, d), n))
+register("lookup_encoded", f"WITH {CELLS}, {PROBES_SQL} SELECT tokenized, tableid, colid, rowid FROM cells WHERE tokenized IN (SELECT key FROM probes)")(lambda s, d: encoded.lookup(encoded.encode_postings(_cells(s, d), "pfor_split+dedup"), "pfor_split+dedup", _probes(s)))
+
 # arrays
 
 register("delta", f"WITH {SORTED_SQL} SELECT array_id, pos, v - coalesce(lag(v) OVER (PARTITION BY array_id ORDER BY pos), 0) AS v FROM a")(lambda s, d: arrays.delta(_sorted(s, d)))
