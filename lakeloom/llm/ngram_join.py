@@ -9,10 +9,12 @@ t = ceil(num * s / den) with any partner, the first s - t + l tokens share at le
   least estimated number of candidates per match that it must show, among those steps whose longer prefix guarantees a match on
   tokens that aren't costly; it then leaves costly tokens out. A class that shares fewer tokens with all others together than
   any step asks for has no partner. Where no step does (a large group of near copies, a text made of a
-  common line), all tokens of the longest prefix stay and correspondingly more must match.
-* Groups: before pairs are formed, every class is verified against one hub of its buckets (`hub_rounds` times), which joins
-  large groups of near copies by a number of checks in proportion to their size. Then all candidates whose components still
-  differ are verified, so no link between components is lost; pairs inside a component need no check.
+  common line) the class is wide.
+* Groups: such wide classes are matched on all their tokens, ordered by how many of them hold each. Before pairs are formed,
+  every class is verified against hubs of its buckets (the class whose tokens are most shared): first the hub of most of its
+  tokens, then, of wide classes, those of the rarest. This joins large groups of near copies by a number of checks in proportion to their size.
+  Then all candidates whose components still differ are verified, so no link between components is lost; pairs inside a
+  component need no check.
 
 Verification is exact on the sets. Nothing is capped. Defined results: null text counts as empty; a text without words has no
 shingles, links with nothing and is its own component; fewer than k words: the whole sequence is one shingle; repeated rows are
@@ -26,18 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .store import written
+from .store import dropped, written
 from .textkernel import mixed, shingle_sets
 
 #: Parts of a class's tokens by which the ladder's steps lengthen the prefix.
-LADDER = (0.0, 0.01, 0.02, 0.04)
+LADDER = (0.0, 0.01, 0.02, 0.03)
 #: A token held by more documents than this is costly.
 HEAVY = 32
 #: Below this many rows the wanted ids are broadcast (16 bytes each), above it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Hubs that a wide class is checked against in each further round.
+HUBS = 4
 
 
 def _least_overlap(s: int, num: int, den: int) -> int:
@@ -86,7 +90,8 @@ def _keys(base: DataFrame, num: int, den: int, heavy: int) -> DataFrame:
     Of two classes, the one with the lower step finds the other: the other's prefix holds at least that step's tokens.
     """
     spread = base.where("n > 0").select("cid", "n", F.posexplode("prefix").alias("pos", "t"))
-    shared = spread.groupBy("t").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("t", "c")
+    # copies count too: a token of one class with many copies is costly, but then its class is lone on it
+    shared = spread.select("t").groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
     found = written(spread.join(shared, "t").dropDuplicates(["t", "cid"]))
     overlap = F.floor((F.col("n") * num + den - 1) / den)
     costly = F.col("c") > heavy
@@ -108,24 +113,29 @@ def _keys(base: DataFrame, num: int, den: int, heavy: int) -> DataFrame:
     chosen = by_class.select("cid", best.alias("best"), step(LADDER[-1], overlap).cast("long").alias("all"))
     chosen = chosen.select("cid", F.coalesce("best.need", "all").alias("need"), F.col("best.length").alias("length"))
     keys = found.join(chosen, "cid").where(F.col("length").isNull() | ((F.col("pos") < F.col("length")) & ~costly))
-    return written(keys.select("t", "cid", "n", "need", "c", F.col("length").isNull().alias("wide")))
+    out = written(keys.select("t", "cid", "n", "need", "c", F.col("length").isNull().alias("wide")))
+    dropped(found)
+    return out
 
 
-def _with_lone(keys: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """keys and the column lone: of a wide class the number of its tokens, all of them, that no other wide class has.
-
-    Two wide classes can't share these, which settles most pairs of a large group of near copies that don't link.
-    """
+def _wide_tokens(keys: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(cid, n, t, c, rank, lone) of wide classes: all their tokens, ordered by the number c of wide classes that hold them (then
+    by hash), and how many only they hold (these come first and are left out)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cid, tokens in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), cid), pa.int64()), pa.array(tokens.view(np.int64))], ["cid", "t"])
+                many = len(tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(many, cid), pa.int64()), pa.array(np.full(many, many), pa.int64()), pa.array(tokens.view(np.int64))], ["cid", "n", "t"])
 
     wide = texts.join(keys.where("wide").select("cid").distinct(), "cid", "left_semi").select("cid", "text")
-    tokens = wide.mapInArrow(rows, "cid long, t long").groupBy("t").agg(F.min("cid").alias("cid"), F.max("cid").alias("other"))
-    lone = tokens.where("cid = other").groupBy("cid").agg(F.count("*").alias("lone"))
-    return written(keys.join(lone, "cid", "left").na.fill(0, ["lone"]))
+    tokens = written(wide.mapInArrow(rows, "cid long, n long, t long"))
+    counted = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("c")), "t")
+    own = Window.partitionBy("cid")
+    ranked = counted.withColumn("rank", F.row_number().over(own.orderBy("c", "t")) - 1).withColumn("lone", F.count_if(F.col("c") == 1).over(own))
+    out = written(ranked.where("c > 1").select("cid", "n", "t", "c", "rank", "lone"))
+    dropped(tokens)
+    return out
 
 
 def _texts(docs: DataFrame, base: DataFrame, keys: DataFrame, k: int) -> DataFrame:
@@ -145,6 +155,27 @@ def _texts(docs: DataFrame, base: DataFrame, keys: DataFrame, k: int) -> DataFra
     return written(held.join(keys.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]))
 
 
+def _wide_pairs(wide: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): candidates among wide classes of different components, by prefixes in the order of rarity.
+
+    Of a pair the smaller class shares 2 * num / (num + den) of its tokens at least, the larger one num / den; so the smaller's
+    short prefix meets the larger's long one. Tokens that only one wide class has fill its prefix first, and then those of few,
+    so classes with many edits of their own meet only those that share the edits.
+    """
+    short = F.expr(f"n - floor(({2 * num} * n + {num + den - 1}) / {num + den})")
+    long_ = F.expr(f"n - floor(({num} * n + {den - 1}) / {den})")
+    near = wide.where(F.col("rank") <= long_).withColumn("short", F.col("rank") <= short)
+    sizes = near.groupBy("t", "comp").count().groupBy("t").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    held = near.join(sizes, "t").select("t", "cid", "n", "lone", "short", "comp", (F.col("comp") == F.col("main")).alias("in_main"))
+    other = held.select("t", *[F.col(c).alias(f"{c}_2") for c in ("cid", "n", "lone", "short", "comp")]).where("not in_main")
+    # the greatest overlap that lone tokens allow
+    most = "least(n - lone, n_2 - lone_2)"
+    # each pair once from each side outside the main component; sizes decide which prefix is the short one
+    fits = f"comp <> comp_2 and (in_main or cid < cid_2) and if((n, cid) < (n_2, cid_2), short, short_2) and {den} * {most} >= {num} * (n + n_2 - {most})"
+    found = held.join(other, "t").where(fits)
+    return found.select(F.least("cid", "cid_2").alias("a"), F.greatest("cid", "cid_2").alias("b")).distinct()
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Of pairs(a, b) those that link."""
 
@@ -157,6 +188,10 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
                 keep[i] = den * both >= num * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], ["a", "b"])
 
+    pairs = written(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    if pairs.count() <= BROADCAST_ROWS // 2:
+        texts = texts.join(F.broadcast(wanted), "cid", "left_semi")
     left = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
     held = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -168,31 +203,39 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, heavy: i
     base = written(class_rows(docs, k, num, den))
     keys = _keys(base, num, den, heavy)
     texts = _texts(docs, base, keys, k)
-    keys = _with_lone(keys, texts, k)
+    wide = _wide_tokens(keys, texts, k)
+    narrow = keys.where(F.col("c") <= heavy)
+    wide_places = wide.select("t", "cid", "n", "c", (F.sum("c").over(Window.partitionBy("cid")) / F.col("n")).alias("fame"))
+    places = narrow.where("not wide").select("t", "cid", "n", "c", (F.sum("c").over(Window.partitionBy("cid")) / F.col("n")).alias("fame")).unionByName(wide_places)
     links, comps = None, None
-    # the greatest overlap that sizes and lone tokens allow
-    most = "if(wide and wide_2, least(n - lone, m - lone_2), least(n, m))"
-    fits = f"{den} * {most} >= {num} * (n + m - {most})"
+    fits = f"{den} * least(n, m) >= {num} * greatest(n, m)"
 
-    def labelled() -> DataFrame:
+    def labelled(rows: DataFrame) -> DataFrame:
         if comps is None:
-            return keys.withColumn("comp", F.col("cid"))
-        return keys.join(comps, keys.cid == comps.node, "left").select(*keys.columns, F.coalesce("comp", "cid").alias("comp"))
+            return rows.withColumn("comp", F.col("cid"))
+        return rows.join(comps, rows.cid == comps.node, "left").select(*rows.columns, F.coalesce("comp", "cid").alias("comp"))
+
+    def ends(x: str, y: str) -> list[F.Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     for r in range(hub_rounds + 1):
-        now = labelled()
         if r < hub_rounds:
-            fame = now.groupBy("cid").agg(F.sum("c").alias("fame"))
-            rank = F.col("fame") if r == 0 else F.xxhash64("cid", F.lit(r)).cast("long")
-            hubs = now.join(fame, "cid").groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by(F.struct("cid", "n", "comp", "wide", "lone"), F.struct(rank.alias("r"), F.col("cid").alias("x"))).alias("h"))
-            hubs = hubs.where("lo <> hi").select("t", F.col("h.cid").alias("hub"), F.col("h.n").alias("m"), F.col("h.comp").alias("hub_comp"), F.col("h.wide").alias("wide_2"), F.col("h.lone").alias("lone_2"))
-            pairs = now.join(hubs, "t").where("comp <> hub_comp").where(fits).groupBy("cid", "hub").count()
-            pairs = pairs.groupBy("cid").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
+            # small groups need no more than the first round
+            now = labelled(places if r == 0 else wide_places)
+            hubs = now.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by(F.struct("cid", "n", "comp"), F.struct("fame", F.col("cid").alias("x"))).alias("h"))
+            hubs = hubs.where("lo <> hi").select("t", F.col("h.cid").alias("hub"), F.col("h.n").alias("m"), F.col("h.comp").alias("hub_comp"))
+            near = now.join(hubs, "t").where("comp <> hub_comp").where(fits).groupBy("cid", "hub").agg(F.count("*").alias("shared"), F.min("c").alias("c"))
+            # first the hub of most tokens, then those of the rarest
+            first = F.struct((-F.col("shared")).alias("x"), "hub") if r == 0 else F.struct("c", "hub")
+            picked = near.groupBy("cid").agg(F.array_sort(F.collect_list(first)).alias("hubs")).select("cid", F.explode(F.slice("hubs", 1, 1 if r == 0 else HUBS)).alias("h")).select("cid", F.col("h.hub").alias("hub"))
+            pairs = picked.select(*ends("cid", "hub")).distinct()
         else:
+            now = labelled(narrow)
             sizes = now.groupBy("t", "comp").count().groupBy("t").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-            some = now.join(sizes, "t").where("comp <> main").select("t", F.col("cid").alias("x"), F.col("n").alias("m"), F.col("need").alias("need_x"), F.col("comp").alias("comp_x"), "main", F.col("wide").alias("wide_2"), F.col("lone").alias("lone_2"))
-            found = some.join(now, "t").where("comp <> comp_x and (comp = main or cid < x)").where(fits)
-            pairs = found.groupBy(F.least("cid", "x").alias("a"), F.greatest("cid", "x").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("need", "need_x")).alias("need")).where("shared >= need").select("a", "b")
+            some = now.join(sizes, "t").where("comp <> main").select("t", F.col("cid").alias("x"), F.col("n").alias("m"), F.col("need").alias("need_x"), F.col("comp").alias("comp_x"), "main", F.col("wide").alias("wide_x"))
+            found = some.join(now, "t").where("not (wide and wide_x) and comp <> comp_x and (comp = main or cid < x)").where(fits)
+            light = found.groupBy(*ends("cid", "x")).agg(F.count("*").alias("shared"), F.min(F.least("need", "need_x")).alias("need")).where("shared >= need").select("a", "b")
+            pairs = light.unionByName(_wide_pairs(labelled(wide), num, den)).distinct()
         new = written(_linked(pairs, texts, k, num, den))
         links = new if links is None else links.unionByName(new)
         comps = written(components(links))

@@ -23,3 +23,12 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/lakeloom-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that written() made and that nothing reads any more."""
+    spark = df.sparkSession
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        if path.getName().startswith("lakeloom-"):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
