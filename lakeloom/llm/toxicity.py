@@ -158,7 +158,7 @@ class Chain:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, most_rows: int = 6_000, most_words: int = 32_768, least_rows: int = 3) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, most_rows: int = 2_000, most_words: int = 32_768, least_rows: int = 3) -> Chain:
     """A chain fitted on most_rows labelled documents at most. Labels that name no document, or with a null, are not used; of
     several labels of a document the greater toxic and the lesser quality hold."""
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality")).where("toxic is not null and quality is not null")
@@ -183,7 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
     flat, cuts = words.values.to_numpy().view(np.uint64), words.offsets.to_numpy().astype(np.int64)
     flat, cuts = flat[cuts[0] : cuts[-1]] if len(cuts) > 1 else flat[:0], cuts - cuts[0]
     wanted = np.column_stack([got.column(n).to_numpy().astype(bool) for n in names])
+    h = got.column("h").to_numpy().astype(np.uint64)
     keys, places, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    places = places.astype(np.int32)
+    del got, words, flat
     # the words that say most about any category, most_words of them
     lengths = np.diff(cuts)
     worth = np.zeros(len(keys))
@@ -194,14 +197,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
     worth[counts < least_rows] = -1
     best = np.argsort(-worth, kind="stable")[:most_words]
     best = np.sort(best[worth[best] >= 0])
-    where = np.full(len(keys), -1)
+    where = np.full(len(keys), -1, np.int32)
     where[best] = np.arange(len(best))
     new = where[places]
-    at = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     rows_ = Rows(new[new >= 0], np.concatenate([[0], np.cumsum(np.bincount(at[new >= 0], minlength=len(lengths)))]))
-    folds = (got.column("h").to_numpy().astype(np.uint64) >> np.uint64(7)) % np.uint64(FOLDS)
+    keys = keys[best]
+    del places, new, at, where, worth
+    folds = (h >> np.uint64(7)) % np.uint64(FOLDS)
     links, _ = chain(rows_, wanted, folds, len(best))
-    return Chain(list(categories), keys[best], links)
+    return Chain(list(categories), keys, links)
 
 
 def score(docs: DataFrame, model: Chain, threshold: float = 0.5) -> DataFrame:
