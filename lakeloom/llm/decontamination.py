@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, ASCII lower-cased. The n-grams of the test items are counted over all documents. Of each
-item the rare ones are its seeds: those in at most RARE times as many documents as the item's lower-quartile n-gram (plus a
-few), so an item that is in a third of all documents keeps its seeds too. Each document that holds a seed of an item is aligned
-with it, word by word, around the places where the seeds are (match 2, mismatch -1, gap -1); the score is the best local
-alignment divided by that of the whole item with itself. Documents of `threshold` or more hold a copy, exact or edited.
+Words are runs of letters and digits, ASCII lower-cased. All n-grams of a test item are its seeds, however common they are: the
+ones that edited copies still hold may be the most common of the item. Around the places where a document holds seeds of an item
+its words are compared to the item's. Each word of the item gives at most one match, so where too few of its words stand the
+threshold is out of reach and nothing is aligned; all other places are aligned word by word (match 2, mismatch -1, gap -1). The
+score is the best local alignment divided by that of the whole item with itself. Documents of `threshold` or more hold a copy,
+exact or edited.
 
 The test items are taken in blocks of BLOCK characters, so what is broadcast is bounded; every block meets all documents.
 """
@@ -22,8 +23,6 @@ from .textkernel import ALNUM_ONLY, Lookup, shingle_hashes, text_slices, word_ha
 
 #: Characters of test items in a block (about 50 bytes of seeds each on every worker).
 BLOCK = 4_000_000
-RARE = 8
-FEW = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCHEMA = "doc_id long, item_id long, score double, first_word long, last_word long, passage string"
 
@@ -39,30 +38,40 @@ class Items:
             words, of, _, _ = word_hashes(data, offsets, ALNUM_ONLY)
             cuts = np.searchsorted(of, np.arange(len(offsets)))
             self.words += [words[cuts[i] : cuts[i + 1]] for i in range(len(offsets) - 1)]
-        #: By n-gram length: hash -> [(item, place)]; an item with fewer than n words is one n-gram of its own length.
-        self.grams: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
         for i, words in enumerate(self.words):
             k = min(n, len(words))
-            for p, g in enumerate(shingle_hashes(words, k).tolist() if k else []):
-                self.grams[k][g].append((i, p))
-
-    def lookups(self) -> dict[int, Lookup]:
-        return {k: Lookup(np.array(list(held), dtype=np.uint64)) for k, held in self.grams.items()}
-
-    def keep_rare(self, counts: dict[tuple[int, int], int]) -> None:
-        """Leaves each item its rare n-grams. counts: documents by (length, hash)."""
-        of_item = defaultdict(list)
-        for k, held in self.grams.items():
-            for g, places in held.items():
-                for i in {i for i, _ in places}:
-                    of_item[i].append(counts.get((k, g), 0))
-        most = {i: RARE * sorted(c)[len(c) // 4] + FEW for i, c in of_item.items()}
-        for k, held in self.grams.items():
-            for g in list(held):
-                held[g] = [(i, p) for i, p in held[g] if counts.get((k, g), 0) <= most[i]]
-                if not held[g] or not counts.get((k, g), 0):
-                    del held[g]
-        self.grams = {k: dict(held) for k, held in self.grams.items() if held}
+            if k:
+                grams = shingle_hashes(words, k)
+                held[k].append((grams, np.full(len(grams), i, np.int32), np.arange(len(grams), dtype=np.int32)))
+        #: By n-gram length: the hashes, where each one's entries start, and the entries' items and places. An item with fewer
+        #: than n words is one n-gram of its own length.
+        self.grams: dict[int, tuple[Lookup, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k, parts in held.items():
+            grams, items, places = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.argsort(grams, kind="stable")
+            lookup = Lookup(grams)
+            self.grams[k] = lookup, np.append(np.searchsorted(grams[order], lookup.keys), len(order)), items[order], places[order]
+
+    def seeds(self, words: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+        """(document, item, words at which the item would begin, ascending) of all documents that hold an n-gram of an item."""
+        found = []
+        for k, (lookup, starts, items, places) in self.grams.items():
+            at, key = lookup.find(shingle_hashes(words, k))
+            inside = of[at] == of[at + k - 1]
+            at, key = at[inside], key[inside]
+            n = starts[key + 1] - starts[key]
+            entry = np.repeat(starts[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(at, n)
+            found.append((of[at], items[entry], at - places[entry]))
+        if not found:
+            return
+        d, i, begin = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((begin, i, d))
+        d, i, begin = d[order], i[order], begin[order]
+        firsts = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]))) if len(d) else d
+        for x, y in zip(firsts.tolist(), [*firsts[1:].tolist(), len(d)], strict=False):
+            yield int(d[x]), int(i[x]), begin[x:y].tolist()
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
@@ -89,29 +98,8 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return score, last - back, last
 
 
-def _counts(docs: DataFrame, lookups: dict[int, Lookup]) -> dict[tuple[int, int], int]:
-    """Documents that hold each n-gram."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {k: np.zeros(len(x.keys), np.int64) for k, x in lookups.items()}
-        for batch in batches:
-            for _, data, offsets in text_slices(batch.column(0)):
-                words, of, _, _ = word_hashes(data, offsets, ALNUM_ONLY)
-                for k, lookup in lookups.items():
-                    at, places = lookup.find(shingle_hashes(words, k))
-                    inside = of[at] == of[at + k - 1]
-                    pairs = np.unique(of[at[inside]] * np.int64(len(lookup.keys)) + places[inside])
-                    held[k] += np.bincount(pairs % len(lookup.keys), minlength=len(lookup.keys))
-        for k, counts in held.items():
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k), pa.int32()), pa.array(lookups[k].keys[some].view(np.int64)), pa.array(counts[some])], ["k", "g", "c"])
-
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(rows, "k int, g long, c long").groupBy("k", "g").agg(F.sum("c").alias("c"))
-    return {(r[0], r[1] % (1 << 64)): r[2] for r in found.toLocalIterator()}
-
-
 def _matches(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
-    grams, words_of, ids, lookups = items.grams, items.words, items.ids, items.lookups()
+    words_of, ids = items.words, items.ids
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,25 +108,19 @@ def _matches(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
             for first, data, offsets in text_slices(batch.column(1)):
                 words, of, starts, ends = word_hashes(data, offsets, ALNUM_ONLY)
                 cuts = np.searchsorted(of, np.arange(len(offsets)))
-                seen: dict[tuple[int, int], list[int]] = defaultdict(list)
-                for k, lookup in lookups.items():
-                    at, places = lookup.find(shingle_hashes(words, k))
-                    inside = of[at] == of[at + k - 1]
-                    for a, p in zip(at[inside].tolist(), places[inside].tolist(), strict=True):
-                        d = int(of[a])
-                        for i, q in grams[k][int(lookup.keys[p])]:
-                            seen[d, i].append(a - q)
-                for (d, i), begins in sorted(seen.items()):
+                for d, i, begins in items.seeds(words, of):
                     item, low, high = words_of[i], int(cuts[d]), int(cuts[d + 1])
                     slack = 4 + len(item) // 3
                     best, spans = (0, 0, 0), []
-                    for b in sorted(begins):
+                    for b in begins:
                         x, y = max(low, b - slack), min(high, b + len(item) + slack)
                         if spans and x <= spans[-1][1]:
                             spans[-1][1] = max(spans[-1][1], y)
                         else:
                             spans.append([x, y])
                     for x, y in spans:
+                        if np.isin(item, words[x:y]).sum() / len(item) < threshold:
+                            continue
                         score, a, z = align(item, words[x:y])
                         if score > best[0]:
                             best = (score, x + a, x + z)
@@ -163,9 +145,7 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: fl
     found, block, held = None, [], 0
 
     def matched(rows: list) -> DataFrame:
-        items = Items(rows, n)
-        items.keep_rare(_counts(docs, items.lookups()))
-        return _matches(docs, items, threshold)
+        return _matches(docs, Items(rows, n), threshold)
 
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         block.append((r[0], r[1]))

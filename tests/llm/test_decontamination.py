@@ -66,3 +66,13 @@ def test_empty_tables(spark):
     none_d, none_b = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert find_copies(none_d, spark.createDataFrame(items, ITEMS)).collect() == []
     assert find_copies(spark.createDataFrame(docs, DOCS), none_b).collect() == []
+
+
+@pytest.mark.parametrize("exact", [0, 1, 30])
+def test_identically_edited_copies(spark, exact):
+    item = [f"word{i}" for i in range(40)]
+    edited = [f"new{i}" if i in (5, 15, 25, 35) else w for i, w in enumerate(item)]
+    texts = [f"before {' '.join(edited)} after"] * 1000 + [" ".join(item)] * exact + ["nothing of it", " ".join(["word1 word2 word3"] * 5)]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.score for r in find_copies(docs, spark.createDataFrame([(0, " ".join(item), "")], ITEMS)).collect()}
+    assert got == {i: 0.85 if i < 1000 else 1.0 for i in range(1000 + exact)}
