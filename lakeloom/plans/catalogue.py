@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -44,8 +45,24 @@ def register(name: str, sql: str | None) -> Callable:
     return keep
 
 
+_tables: ContextVar[list[str]] = ContextVar("tables", default=lake.DEFAULT)
+
+
 def _cells(spark: SparkSession, d: str) -> DataFrame:
-    return lake.cells(spark, d)
+    return lake.cells(spark, d, _tables.get())
+
+
+def _over_all(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query of the lake's cells over every table instead of the default ones."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        kept = _tables.set(lake.TABLES)
+        try:
+            return f(spark, d)
+        finally:
+            _tables.reset(kept)
+
+    return run
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -217,6 +234,12 @@ register("ext_profile_cube", "SELECT l_returnflag, l_linestatus, CAST(grouping(l
 register("ext_event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")(lambda s, d: windows.counts(lake.table(s, d, "events")))
 register("ext_event_sessions", "WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events), y AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM x) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM y GROUP BY user_id, k")(lambda s, d: windows.sessions(lake.table(s, d, "events")))
 
+# the queries of the lake's cells over all of its tables. No SQL: the engines print the floats of a vector in different ways
+
+OVER_ALL = ["lake_cells", "keys_sample_random", "sample_random", *[n for n, sql in ORACLES.items() if CELLS in sql]]
+for _n in OVER_ALL:
+    register(f"{_n}_all", None)(_over_all(QUERIES[_n]))
+
 
 def _overlap(cells: DataFrame) -> DataFrame:
     """(tableid_a, colid_a, tableid_b, colid_b, shared): distinct texts that two columns share; candidates for joins.

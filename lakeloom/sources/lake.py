@@ -10,7 +10,7 @@ from ..session import ship
 
 #: Tables of the lake by tableid, with the key that is unique and integer (None: rows are numbered by ORDER_OF).
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-KEY_OF = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id"}
+KEY_OF = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id"}
 ORDER_OF = {"lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"], "conversations": ["conv_id", "turn"]}
 COLUMNS_OF = {
     "region": ["r_regionkey", "r_name"],
@@ -20,11 +20,16 @@ COLUMNS_OF = {
     "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
-    "events": ["event_id", "user_id", "event_type"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "embedding", "label"],
+    "pages": ["page_id", "url", "html"],
+    "benchmark": ["item_id", "text"],
     "labels": ["doc_id", "quality", "toxic"],
+    "conversations": ["conv_id", "turn", "role", "text"],
 }
-DOUBLES = {"c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax"}
-#: The tables of the registered queries: those that flatten without a shuffle.
+DOUBLES = {"c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "value"}
+#: The tables of the registered queries that have SQL: those that flatten without a shuffle. Queries named ..._all take TABLES.
 DEFAULT = ["region", "nation", "customer", "supplier", "part", "orders"]
 
 
