@@ -152,6 +152,7 @@ register("dict_incr_bytes", f"WITH {CELLS}, {_K16}, p AS (SELECT block_id, octet
 register("dict_lookup_block", f"WITH {CELLS}, {_K16}, {PROBES_SQL} SELECT key, block_id, pos FROM probes JOIN k USING (key)")(lambda s, d: dictionary.find(_dict(s, d), _probes(s)))
 register("dict_key_at", f"WITH {CELLS}, {_K16} SELECT pos, key FROM k WHERE pos % 97 = 5")(lambda s, d: dictionary.key_at(_dict(s, d), s.range(5, 1_000_000, 97).select(F.col("id").alias("pos"))))
 ORACLES["dict_key_at"] = f"WITH {CELLS}, {_K16} SELECT pos, key FROM k WHERE pos % 97 = 5 AND pos < 1000000"
+register("dict_key_at_every", f"WITH {CELLS}, {_K16} SELECT pos, key FROM k")(lambda s, d: dictionary.key_at(_dict(s, d), s.range(_dict(s, d).count()).select(F.col("id").alias("pos"))))
 register("dict_value_at", f"WITH {CELLS}, {_K16} SELECT pos, key, CAST(length(key) AS BIGINT) AS value FROM k")(lambda s, d: dictionary.with_values(_dict(s, d), _cells(s, d).select(F.col("tokenized").alias("key")).distinct().withColumn("value", F.length("key").cast("long"))))
 register("shared_prefixes", "WITH w AS (SELECT n_name AS a, lag(n_name) OVER (ORDER BY n_name) AS b FROM nation), h AS (SELECT a, b, hex(encode(a)) AS x, hex(encode(b)) AS y FROM w WHERE b IS NOT NULL) SELECT a, b, " + _LCP.format("x", "y") + " AS n FROM h")(lambda s, d: lake.table(s, d, "nation").selectExpr("n_name AS a", "lag(n_name) OVER (ORDER BY n_name) AS b").where("b IS NOT NULL").select("a", "b", shared_prefix(F.col("a"), F.col("b")).alias("n")))
 

@@ -25,3 +25,8 @@ def test_registered():
 
 def test_entry(spark):
     assert e.entry(spark).count() > 0
+
+
+def test_every_position_has_a_key(spark, sf_dir, con):
+    got = [r.pos for r in e.queries()["dict_key_at_every"](spark, sf_dir).collect()]
+    assert sorted(got) == list(range(con.execute(f"SELECT count(*) FROM ({SQL['idx_dedup']})").fetchone()[0]))
