@@ -59,9 +59,9 @@ def pick_sample(stored: DataFrame, wanted: DataFrame) -> DataFrame:
     return best.select("wanted", "stored", F.round(F.col("wanted") / F.col("stored"), 9).alias("remaining"))
 
 
-def shuffle_in_blocks(df: DataFrame, pos: str, block: int, seed: int = 7) -> DataFrame:
-    """df in an order that is random inside each run of `block` positions and not across them."""
-    return df.withColumn("_b", F.floor(F.col(pos) / block)).withColumn("_r", F.rand(seed)).orderBy("_b", "_r").drop("_b", "_r")
+def shuffle_in_blocks(df: DataFrame, pos: str, block: int, seed: int = 7, by: tuple[str, ...] = ()) -> DataFrame:
+    """df in an order that is random inside each run of `block` positions and not across them; by: columns that tell arrays apart."""
+    return df.withColumn("_b", F.floor(F.col(pos) / block)).withColumn("_r", F.rand(seed)).orderBy(*by, "_b", "_r").drop("_b", "_r")
 
 
 def array_pieces(arrays: DataFrame, size: int = 65_536) -> DataFrame:

@@ -135,6 +135,7 @@ register("sample_random", None)(lambda s, d: order.random_sample(_cells(s, d), 0
 _STORED = ["lake", "lake-0.5", "lake-0.1", "lake-0.01"]
 register("sample_pick_best", "SELECT w::DOUBLE AS wanted, min(f)::DOUBLE AS stored, round(w::DOUBLE / min(f)::DOUBLE, 9) AS remaining FROM (VALUES (0.7), (0.3), (0.1), (0.05), (0.002)) x(w) JOIN (VALUES (1.0), (0.5), (0.1), (0.01)) y(f) ON f >= w GROUP BY w")(lambda s, d: order.pick_sample(s.createDataFrame([(n,) for n in _STORED], "name string").select(order.stored_factor(F.col("name")).alias("factor")), s.createDataFrame([(x,) for x in (0.7, 0.3, 0.1, 0.05, 0.002)], "wanted double")))
 register("shuffle_in_blocks", f"WITH {SORTED_SQL} SELECT * FROM a WHERE array_id = 3")(lambda s, d: order.shuffle_in_blocks(_sorted(s, d).where("array_id = 3"), "pos", 16))
+register("shuffle_in_blocks_every", f"WITH {SORTED_SQL} SELECT * FROM a")(lambda s, d: order.shuffle_in_blocks(_sorted(s, d), "pos", 16, by=("array_id",)))
 
 # scalars
 
