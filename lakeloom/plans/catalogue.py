@@ -118,6 +118,12 @@ _cards = lambda s, d: profile.cardinalities(lake.table(s, d, "lineitem"), _CARDS
 register("column_cardinality_order", f"WITH {_CARDS_SQL} SELECT col_idx, name, card, row_number() OVER (ORDER BY card, col_idx) AS rank_up, row_number() OVER (ORDER BY card DESC, col_idx DESC) AS rank_down FROM c")(lambda s, d: _cards(s, d).selectExpr("col_idx", "name", "card", "CAST(row_number() OVER (ORDER BY card, col_idx) AS BIGINT) AS rank_up", "CAST(row_number() OVER (ORDER BY card DESC, col_idx DESC) AS BIGINT) AS rank_down"))
 register("columns_below_topk", f"WITH {_CARDS_SQL} SELECT * FROM c WHERE card < greatest(5, (SELECT card FROM c ORDER BY card DESC LIMIT 1 OFFSET 2))")(lambda s, d: profile.below_top(_cards(s, d), 3, 5))
 register("total_attribute_values", f"WITH {_CARDS_SQL} SELECT CAST(sum(card) AS BIGINT) AS total_values FROM c")(lambda s, d: profile.total_values(_cards(s, d)))
+_EVERY = lake.COLUMNS_OF["lineitem"]
+_EVERY_SQL = "c AS (" + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS col_idx, '{c}' AS name, count(DISTINCT {c}) AS card FROM lineitem" for i, c in enumerate(_EVERY)) + ")"
+_every = lambda s, d: profile.cardinalities(lake.table(s, d, "lineitem"), _EVERY)
+register("column_cardinality_order_every", ORACLES["column_cardinality_order"].replace(_CARDS_SQL, _EVERY_SQL))(lambda s, d: _every(s, d).selectExpr("col_idx", "name", "card", "CAST(row_number() OVER (ORDER BY card, col_idx) AS BIGINT) AS rank_up", "CAST(row_number() OVER (ORDER BY card DESC, col_idx DESC) AS BIGINT) AS rank_down"))
+register("columns_below_topk_every", ORACLES["columns_below_topk"].replace(_CARDS_SQL, _EVERY_SQL))(lambda s, d: profile.below_top(_every(s, d), 3, 5))
+register("total_attribute_values_every", ORACLES["total_attribute_values"].replace(_CARDS_SQL, _EVERY_SQL))(lambda s, d: profile.total_values(_every(s, d)))
 _VALUES_SQL = "u AS (SELECT 'type' AS col, p_type AS v FROM part UNION ALL SELECT 'brand', p_brand FROM part UNION ALL SELECT 'size', CAST(p_size AS VARCHAR) FROM part)"
 _values = lambda s, d: lake.table(s, d, "part").selectExpr("stack(3, 'type', p_type, 'brand', p_brand, 'size', CAST(p_size AS STRING)) AS (col, v)")
 register("csv_freq_codes", f"WITH {_VALUES_SQL} SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY count(*) DESC, v DESC) - 1 AS code FROM u GROUP BY col, v")(lambda s, d: profile.frequency_codes(_values(s, d), "col", "v"))

@@ -37,3 +37,10 @@ def test_every_array_is_shuffled_in_blocks(spark, sf_dir):
     blocks = [(r.array_id, r.pos // 16) for r in rows]
     assert blocks == sorted(blocks) and {a for a, _ in blocks} == set(range(32))
     assert all([r.pos for r in rows if r.array_id == a] != sorted(r.pos for r in rows if r.array_id == a) for a in range(32))
+
+
+def test_every_column_is_counted(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/lineitem.parquet").columns
+    rows = e.queries()["column_cardinality_order_every"](spark, sf_dir).collect()
+    assert {r.name for r in rows} == set(names) and len(rows) == len(names)
+    assert e.queries()["total_attribute_values_every"](spark, sf_dir).first().total_values == sum(r.card for r in rows)
