@@ -10,9 +10,11 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose content is not text of the page.
-DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video textarea select option button datalist title".split())
+DROPPED = frozenset("script style noscript template svg iframe canvas audio video textarea select option button datalist title annotation annotation-xml".split())
 #: Of these, those whose content is not parsed for tags.
 RAW = frozenset("script style textarea title iframe noscript".split())
+#: Of the others, those that a start tag of the same name closes.
+FLAT = frozenset("select option button datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a start tag closes, if open inside the nearest of the listed limits.
 CLOSES = {
@@ -95,6 +97,55 @@ def _hint(tag: str, attributes: str, within: bool) -> int:
     return found
 
 
+def _ends(source: str) -> dict[int, int]:
+    """Where each dropped element with an end tag ends, by the place behind its start tag.
+
+    An end tag of a block closes all that is open inside the block, so what is left open in it has no end.
+    """
+    found: dict[int, int] = {}
+    opened: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+    at = 0
+
+    def close(tag: str) -> int:
+        while True:
+            name, start = opened.pop()
+            count[name] -= 1
+            if name == tag:
+                return start
+
+    while (at := source.find("<", at)) >= 0:
+        if source.startswith("<!--", at):
+            stop = source.find("-->", at + 4)
+            at = len(source) if stop < 0 else stop + 3
+            continue
+        if source[at + 1 : at + 2] in ("!", "?"):
+            stop = source.find(">", at)
+            at = len(source) if stop < 0 else stop + 1
+            continue
+        m = _TAG.match(source, at) or _LOOSE.match(source, at)
+        if not m:
+            at += 1
+            continue
+        at, tag = m.end(), m[2].lower()
+        if tag in RAW and not m[1]:
+            stop = _RAW_END[tag].search(source, at)
+            at = stop.end() if stop else len(source)
+        elif tag in RAW or tag in VOID or (tag not in BLOCKS and tag not in DROPPED):
+            continue
+        elif m[1]:
+            if count.get(tag):
+                start = close(tag)
+                if tag in DROPPED:
+                    found[start] = at
+        elif tag in BLOCKS or not m[3].rstrip().endswith("/"):
+            if tag in FLAT and count.get(tag):
+                close(tag)
+            opened.append((tag, at))
+            count[tag] = count.get(tag, 0) + 1
+    return found
+
+
 def parse(source: str) -> Page:
     """The tree of a page; never fails, whatever the markup."""
     page = Page()
@@ -103,6 +154,7 @@ def parse(source: str) -> Page:
     opened: list[tuple[str, int]] = [("html", 0)]
     block, links, within = 0, 0, 0
     at, end = 0, len(source)
+    ends: dict[int, int] | None = None
 
     def close(depth: int) -> None:
         nonlocal block, links, within
@@ -162,16 +214,11 @@ def parse(source: str) -> Page:
             if tag in RAW:
                 stop = _RAW_END[tag].search(source, at)
                 at = stop.end() if stop else end
-            elif not attributes.rstrip().endswith("/"):
-                depth = 1
-                both = re.compile(rf"<(/?){tag}\b[^>]*>", re.I)
-                while depth:
-                    stop = both.search(source, at)
-                    if not stop:
-                        at = end
-                        break
-                    depth += -1 if stop[1] else 1
-                    at = stop.end()
+            else:
+                # without an end tag in the enclosing block only the start tag is skipped
+                if ends is None:
+                    ends = _ends(source)
+                at = ends.get(at, at)
             continue
         if tag in BLOCKS:
             # a block ends an open paragraph, and a heading ends one

@@ -91,3 +91,29 @@ def test_edges(spark):
     assert got.pop((4, "x")) == "\n".join(["Long text."] * 20_000)
     assert got == {(1, "u"): "", (2, None): "", (None, "v"): "Some words are here.", (3, "w"): ""}
     assert extract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def texts(source):
+    return " ".join("".join(t for _, _, t, _ in parse(source).pieces).split())
+
+
+@pytest.mark.parametrize("part", ["<button>Menu", "<svg><path d='M0'>", "<select><option>One<option>Two", "<video>", "<canvas>", "<template>", "<datalist><option>A"])
+def test_unclosed_in_a_header(part):
+    model = fit(labelled([]))
+    for seed in range(4):
+        source, want = page(random.Random(seed), before=f"<header><div>{part}</div></header>", after="<footer><button>Up</button></footer>")
+        assert main_text(source, model) == want
+
+
+def test_ends_of_dropped_elements():
+    assert texts("<div><button>a</div><p>b</p><button>c</button>d") == "abd"
+    assert texts("<p>a</p><button>b<p>c</p><button>d</button>e") == "abce"
+    assert texts("<svg><svg>a</svg>b</svg>c<svg/>d<svg><script></svg></script>e</svg>f") == "cdf"
+    assert texts("a<select><option>b<option>c</select>d<button><div>e</button>f") == "adf"
+    assert texts("a<!-- <button> -->b<button><!-- </button> -->c</button>d") == "abd"
+    assert texts("<button>" * 20_000 + "a") == "a"
+
+
+def test_formulas_and_fallbacks():
+    assert texts("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p>") == "So x=2 holds."
+    assert texts('<p>See <object data="a.pdf"><param name="b">the report</object> here.</p>') == "See the report here."
