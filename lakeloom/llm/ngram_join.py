@@ -10,11 +10,16 @@ t = ceil(num * s / den) with any partner, the first s - t + l tokens share at le
   tokens that aren't costly; it then leaves costly tokens out. A class that shares fewer tokens with all others together than
   any step asks for has no partner. Where no step does (a large group of near copies, a text made of a
   common line) the class is wide.
-* Groups: such wide classes are matched on all their tokens, ordered by how many of them hold each. Before pairs are formed,
-  every class is verified against hubs of its buckets (the class whose tokens are most shared): first the hub of most of its
-  tokens, then, of wide classes, those of the rarest. This joins large groups of near copies by a number of checks in proportion to their size.
-  Then all candidates whose components still differ are verified, so no link between components is lost; pairs inside a
-  component need no check.
+* Wide classes are matched on all their tokens, ordered by how many of them hold each. Every class with shared tokens first meets
+  its hub (of its tokens' most famous classes the one of most tokens).
+* Dense groups: wide classes of one hub, more than GROUP of them, are compared by what sets them apart from the group's centre
+  (the tokens that more than half of them hold), see _group_links. What near copies have in common is in no list there, so no
+  list of pairs grows with the square of the group, and classes near the centre are linked without a pair being formed.
+* Of all other classes the hubs are verified, and then all candidates whose components still differ, so no link between
+  components is lost; pairs inside a component need no check.
+
+A token's list that is long is dealt to several tasks when it is joined with what is known of the token. Tables on the shared
+folder are deleted as soon as their last reader is done.
 
 Verification is exact on the sets. Nothing is capped. Defined results: null text counts as empty; a text without words has no
 shingles, links with nothing and is its own component; fewer than k words: the whole sequence is one shingle; repeated rows are
@@ -25,6 +30,7 @@ each returned, with their class; a null doc_id is returned and never names a com
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +46,12 @@ LADDER = (0.0, 0.01, 0.02, 0.03)
 HEAVY = 32
 #: Below this many rows the wanted ids are broadcast (16 bytes each), above it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Hubs that a wide class is checked against in each further round.
-HUBS = 4
+#: Wide classes of one hub are compared by their differences if they are more than this.
+GROUP = 32
+#: Steps of a group's table of what is in reach.
+STEPS = 64
+#: Rows of one key that a task takes at once where a long list meets its key's one row.
+DEALT = 1000
 
 
 def _least_overlap(s: int, num: int, den: int) -> int:
@@ -61,6 +71,15 @@ def class_of(tokens: np.ndarray) -> int:
     return int(mixed(np.array([total], dtype=np.uint64)).view(np.int64)[0])
 
 
+def dealt(left: DataFrame, right: DataFrame, on: list[str], many: str, by: str) -> DataFrame:
+    """left joined with right, which has one row for each key `on`. Both have the column `many`, equal for equal keys and in
+    proportion to the rows that left has of a key; a key with a large one is dealt to several tasks, by the column `by` of left."""
+    parts = F.ceil(F.col(many) / DEALT)
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.greatest(parts, F.lit(1))))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)) - 1))).drop(many)
+    return salted.join(copies, [*on, "_salt"]).drop("_salt")
+
+
 def class_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, cid, n, prefix) of every row; prefix: the first tokens in hash order, as many as the ladder's last step asks for."""
 
@@ -82,17 +101,16 @@ def class_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return source.mapInArrow(rows, "doc_id long, cid long, n long, prefix array<long>")
 
 
-def _keys(base: DataFrame, num: int, den: int, heavy: int) -> DataFrame:
+def _keys(classes: DataFrame, num: int, den: int, heavy: int) -> DataFrame:
     """(t, cid, n, need, c, wide): the tokens by which each class is found, and how many must match.
 
     At each step of the ladder a class with a partner shares with it at least `least` tokens of its prefix, the step's l for the
     smallest size that a partner can have. So a class that shares fewer with anyone at any step has no partner and is left out.
     Of two classes, the one with the lower step finds the other: the other's prefix holds at least that step's tokens.
     """
-    spread = base.where("n > 0").select("cid", "n", F.posexplode("prefix").alias("pos", "t"))
-    # copies count too: a token of one class with many copies is costly, but then its class is lone on it
-    shared = spread.select("t").groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
-    found = written(spread.join(shared, "t").dropDuplicates(["t", "cid"]))
+    spread = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "t"))
+    shared = spread.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+    found = written(spread.join(shared, "t"))
     overlap = F.floor((F.col("n") * num + den - 1) / den)
     costly = F.col("c") > heavy
 
@@ -118,9 +136,9 @@ def _keys(base: DataFrame, num: int, den: int, heavy: int) -> DataFrame:
     return out
 
 
-def _wide_tokens(keys: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(cid, n, t, c, rank, lone) of wide classes: all their tokens, ordered by the number c of wide classes that hold them (then
-    by hash), and how many only they hold (these come first and are left out)."""
+def _wide_tokens(wanted: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(cid, n, t, c, rank, lone) of the wide classes `wanted`: all their tokens, ordered by the number c of wide classes that
+    hold them (then by hash), and how many only they hold (these come first and are left out)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +146,7 @@ def _wide_tokens(keys: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                 many = len(tokens)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(many, cid), pa.int64()), pa.array(np.full(many, many), pa.int64()), pa.array(tokens.view(np.int64))], ["cid", "n", "t"])
 
-    wide = texts.join(keys.where("wide").select("cid").distinct(), "cid", "left_semi").select("cid", "text")
+    wide = texts.join(wanted, "cid", "left_semi").select("cid", "text")
     tokens = written(wide.mapInArrow(rows, "cid long, n long, t long"))
     counted = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("c")), "t")
     own = Window.partitionBy("cid")
@@ -138,12 +156,11 @@ def _wide_tokens(keys: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return out
 
 
-def _texts(docs: DataFrame, base: DataFrame, keys: DataFrame, k: int) -> DataFrame:
-    """(cid, text) of every class that may have a partner: one of its texts."""
-    wanted = base.join(keys.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("x"))
-    wanted = written(wanted.select(F.col("x.doc_id").alias("doc_id")).distinct())
+def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(cid, text) of the classes wanted(cid, least): one of their texts."""
+    names = wanted.select(F.col("least").alias("doc_id")).distinct()
     if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+        names = F.broadcast(names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,12 +168,89 @@ def _texts(docs: DataFrame, base: DataFrame, keys: DataFrame, k: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(0)], ["cid", "text"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = source.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("text").mapInArrow(rows, "cid long, text string")
-    return written(held.join(keys.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]))
+    held = source.alias("d").join(names.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("text").mapInArrow(rows, "cid long, text string")
+    # a doc_id may stand for several texts, and several rows for one class
+    return written(held.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]))
+
+
+def _groups(wide: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(cid, g, members): the wide classes of each hub that has more than GROUP of them, by hubs(cid, hub). A hub is in its own group."""
+    chosen = hubs.join(wide.select("cid").distinct(), "cid", "left_semi")
+    heads = chosen.groupBy("hub").agg((F.count("*") + 1).alias("members")).where(F.col("members") > GROUP)
+    heads = written(heads)
+    rest = chosen.join(heads, "hub").join(heads.select(F.col("hub").alias("cid")), "cid", "left_anti").select("cid", F.col("hub").alias("g"), "members")
+    out = written(rest.unionByName(heads.select(F.col("hub").alias("cid"), F.col("hub").alias("g"), "members")))
+    dropped(heads)
+    return out
+
+
+def _apart(wide: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """(g, members, cid, n, w, d, lone, diff) of the classes of each group that have half of their tokens and half of the centre's in common
+    with the centre, a set of tokens.
+
+    diff: the tokens that are in one of class and centre only, but for the `lone` ones that no other wide class has; d: the size
+    of the difference, lone ones too. Of two classes with differences of d and e tokens, s of them in both, the sets of n and m
+    tokens have (n + m - d - e + 2 * s) / 2 in common. So with w = d * (num + den) - n * (den - num) they link if and only if
+    2 * (num + den) * s >= w + w'.
+    """
+    held = wide.join(groups, "cid").select("g", "members", "cid", "n", "t", "c", "lone")
+    counts = held.groupBy("g", "t").agg(F.count("*").alias("many"), F.max("members").alias("members"), F.max("c").alias("c"))
+    centre = written(counts.where("2 * many > members").select("g", "t", "members", "c"))
+    common = written(centre.groupBy("g").agg(F.max("members").alias("members"), F.collect_list("t").alias("centre")))
+    inner = dealt(held, centre.drop("members"), ["g", "t"], "c", "cid").groupBy("cid").agg(F.collect_list("t").alias("inner"))
+    # a class's tokens are as many as its text has shingles
+    tokens = held.groupBy("cid").agg(F.first("g").alias("g"), F.first("members").alias("members"), F.first("n").alias("n"), F.first("lone").alias("lone"), F.collect_list("t").alias("tokens"))
+    near = dealt(tokens.join(inner, "cid"), common, ["g"], "members", "cid")
+    near = near.where("2 * size(inner) >= size(centre) and 2 * size(inner) >= n")
+    near = near.withColumn("diff", F.expr("concat(array_except(tokens, inner), array_except(centre, inner))")).withColumn("d", F.size("diff") + F.col("lone"))
+    near = near.withColumn("w", F.col("d") * (num + den) - F.col("n") * (den - num))
+    out = written(near.select("g", "members", "cid", "n", "w", "d", "lone", "diff"))
+    dropped(centre, common)
+    return out
+
+
+def _group_links(apart: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links that join all classes of each group that links reach inside it.
+
+    By the rule of _apart, w + w' <= 0 makes two classes link whatever their differences. So all classes that link in this way with
+    the class of the least w, the middle, are one component. Any other class ("outer") must share tokens of its difference with
+    a partner's. As s is at most d - lone, a partner's w is at most reach = 2 * (num + den) * (d - lone) - w, and the other way round. So
+    a class needs at least ceil((w + w') / (2 * (num + den))) of them, w' the least w of those whose reach is its w or more (by STEPS steps of reach).
+    Both hold one of the rarest of their differences' tokens but for those many, less one. These prefixes are joined, and what they find is verified.
+    """
+    unit = 2 * (num + den)
+    apart = apart.withColumn("reach", unit * (F.col("d") - F.col("lone")) - F.col("w"))
+    least = apart.groupBy("g").agg(F.min(F.struct("w", "cid")).alias("low"), F.max("members").alias("members"), F.min("reach").alias("lo"), F.max("reach").alias("hi"))
+    least = least.select("g", "members", "lo", F.col("low.w").alias("w_low"), F.col("low.cid").alias("middle"), F.expr(f"greatest({unit}L, (hi - lo) div {STEPS} + 1)").alias("step"))
+    seen = dealt(apart, least, ["g"], "members", "cid").withColumn("outer", F.expr("w + w_low > 0"))
+    seen = written(seen)
+    easy = seen.where("not outer and cid <> middle").select(F.col("cid").alias("a"), F.col("middle").alias("b"))
+    steps = seen.groupBy("g", F.expr("(reach - lo) div step").alias("q")).agg(F.min("w").alias("w_all"), F.min(F.when(F.col("outer"), F.col("w"))).alias("w_outer"), F.max("members").alias("members"))
+    steps = steps.groupBy("g").agg(F.collect_list(F.struct("q", "w_all", "w_outer")).alias("steps"), F.max("members").alias("members"))
+    # an outer class may meet any class, any other one only outer ones; no class in reach: null
+    low = "array_min(transform(filter(steps, x -> x.q >= floor((w - lo) / step)), x -> if(outer, x.w_all, x.w_outer)))"
+    both = dealt(seen, steps, ["g"], "members", "cid").withColumn("w_other", F.expr(low)).where("w_other <= reach")
+    both = both.withColumn("need", F.expr(f"greatest(1, cast(ceil((w + w_other) / {unit}D) as long))")).where("need <= d - lone")
+    spread = both.select("g", "cid", "w", "reach", "outer", "d", "need", F.explode("diff").alias("t"))
+    counts = spread.groupBy("g", "t").agg(F.count("*").alias("c"), F.count_if("outer").alias("outers")).where("c > 1 and outers > 0")
+    ranked = spread.join(counts, ["g", "t"])
+    own = Window.partitionBy("cid").orderBy("c", "t")
+    # a class's tokens that are in no list come first; they are those of d that are not held here
+    held = F.count("*").over(Window.partitionBy("cid"))
+    ranked = ranked.withColumn("rank", F.row_number().over(own) - 1 + F.col("d") - held).where("rank <= d - need").select("g", "t", "cid", "w", "reach", "outer")
+    ranked = written(ranked)
+    other = ranked.select("g", "t", *[F.col(c).alias(f"{c}_2") for c in ("cid", "w", "reach", "outer")]).where("outer_2")
+    pairs = ranked.join(other, ["g", "t"]).where("cid <> cid_2 and (not outer or cid < cid_2) and w <= reach_2 and w_2 <= reach").select(F.col("cid").alias("a"), F.col("cid_2").alias("b")).distinct()
+    left = seen.select(F.col("cid").alias("a"), F.col("w").alias("w"), F.col("diff").alias("diff"))
+    right = seen.select(F.col("cid").alias("b"), F.col("w").alias("w_2"), F.col("diff").alias("diff_2"))
+    checked = pairs.join(left, "a").join(right, "b").where(f"{unit} * size(array_intersect(diff, diff_2)) >= w + w_2").select("a", "b")
+    out = written(easy.unionByName(checked))
+    dropped(seen, ranked)
+    return out
 
 
 def _wide_pairs(wide: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): candidates among wide classes of different components, by prefixes in the order of rarity.
+    """(a, b): candidates among wide classes of different components and dense groups g, by prefixes in the order of rarity.
 
     Of a pair the smaller class shares 2 * num / (num + den) of its tokens at least, the larger one num / den; so the smaller's
     short prefix meets the larger's long one. Tokens that only one wide class has fill its prefix first, and then those of few,
@@ -165,13 +259,15 @@ def _wide_pairs(wide: DataFrame, num: int, den: int) -> DataFrame:
     short = F.expr(f"n - floor(({2 * num} * n + {num + den - 1}) / {num + den})")
     long_ = F.expr(f"n - floor(({num} * n + {den - 1}) / {den})")
     near = wide.where(F.col("rank") <= long_).withColumn("short", F.col("rank") <= short)
-    sizes = near.groupBy("t", "comp").count().groupBy("t").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    held = near.join(sizes, "t").select("t", "cid", "n", "lone", "short", "comp", (F.col("comp") == F.col("main")).alias("in_main"))
-    other = held.select("t", *[F.col(c).alias(f"{c}_2") for c in ("cid", "n", "lone", "short", "comp")]).where("not in_main")
+    # what pairs inside need no check: a dense group, else a component
+    near = near.withColumn("set", F.struct(F.col("g").isNull().alias("x"), F.coalesce("g", "comp").alias("y")))
+    sizes = near.groupBy("t", "set").agg(F.count("*").alias("count"), F.max("c").alias("c")).groupBy("t").agg(F.max_by("set", F.struct("count", "set")).alias("main"), F.count("*").alias("sets"), F.max("c").alias("c")).where("sets > 1")
+    held = dealt(near, sizes, ["t"], "c", "cid").select("t", "cid", "n", "lone", "short", "comp", "g", (F.col("set") == F.col("main")).alias("in_main"))
+    other = held.select("t", *[F.col(c).alias(f"{c}_2") for c in ("cid", "n", "lone", "short", "comp", "g")]).where("not in_main")
     # the greatest overlap that lone tokens allow
     most = "least(n - lone, n_2 - lone_2)"
-    # each pair once from each side outside the main component; sizes decide which prefix is the short one
-    fits = f"comp <> comp_2 and (in_main or cid < cid_2) and if((n, cid) < (n_2, cid_2), short, short_2) and {den} * {most} >= {num} * (n + n_2 - {most})"
+    # each pair once from each side outside the main set; sizes decide which prefix is the short one
+    fits = f"comp <> comp_2 and coalesce(g <> g_2, true) and (in_main or cid < cid_2) and if((n, cid) < (n_2, cid_2), short, short_2) and {den} * {most} >= {num} * (n + n_2 - {most})"
     found = held.join(other, "t").where(fits)
     return found.select(F.least("cid", "cid_2").alias("a"), F.greatest("cid", "cid_2").alias("b")).distinct()
 
@@ -195,56 +291,81 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
     left = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
     held = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return held.mapInArrow(rows, "a long, b long")
+    out = written(held.mapInArrow(rows, "a long, b long"))
+    dropped(pairs)
+    return out
 
 
-def ngram_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, heavy: int = HEAVY, hub_rounds: int = 2) -> DataFrame:
+def ngram_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, heavy: int = HEAVY, hub_rounds: int = 1) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row of docs(doc_id, text); component_id: the smallest doc_id reachable by links."""
-    base = written(class_rows(docs, k, num, den))
-    keys = _keys(base, num, den, heavy)
-    texts = _texts(docs, base, keys, k)
-    wide = _wide_tokens(keys, texts, k)
+    whole = written(class_rows(docs, k, num, den))
+    base = written(whole.drop("prefix"))
+    classes = written(whole.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.first("prefix").alias("prefix")))
+    dropped(whole)
+    keys = _keys(classes, num, den, heavy)
+    named = written(classes.drop("prefix"))
+    dropped(classes)
+    texts = _texts(docs, named.join(keys.select("cid").distinct(), "cid", "left_semi").select("cid", "least"), k)
+    wide = _wide_tokens(keys.where("wide").select("cid").distinct(), texts, k)
     narrow = keys.where(F.col("c") <= heavy)
-    wide_places = wide.select("t", "cid", "n", "c", (F.sum("c").over(Window.partitionBy("cid")) / F.col("n")).alias("fame"))
-    places = narrow.where("not wide").select("t", "cid", "n", "c", (F.sum("c").over(Window.partitionBy("cid")) / F.col("n")).alias("fame")).unionByName(wide_places)
-    links, comps = None, None
+    fame = (F.sum("c").over(Window.partitionBy("cid")) / F.col("n")).alias("fame")
+    wide_places = wide.select("t", "cid", "n", "c", F.lit(None).cast("long").alias("need"), fame)
+    places = narrow.where("not wide").select("t", "cid", "n", "c", "need", fame).unionByName(wide_places)
     fits = f"{den} * least(n, m) >= {num} * greatest(n, m)"
+    links: list[DataFrame] = []
+    comps = apart = None
 
     def labelled(rows: DataFrame) -> DataFrame:
         if comps is None:
             return rows.withColumn("comp", F.col("cid"))
         return rows.join(comps, rows.cid == comps.node, "left").select(*rows.columns, F.coalesce("comp", "cid").alias("comp"))
 
+    def grouped(rows: DataFrame) -> DataFrame:
+        if apart is None:
+            return rows.withColumn("g", F.lit(None).cast("long"))
+        return rows.join(apart.select("cid", "g"), "cid", "left")
+
     def ends(x: str, y: str) -> list[F.Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
+    def hubs_of(rows: DataFrame) -> DataFrame:
+        """(cid, hub): of each class the hub of most of its tokens; the hub of a token is its class of most fame. The final round
+        forms all pairs, so a class that shares too little with its hub by these tokens alone has none here."""
+        hubs = rows.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by(F.struct("cid", "n", "comp", "need"), F.struct("fame", F.col("cid").alias("x"))).alias("h"), F.max("c").alias("c"))
+        hubs = hubs.where("lo <> hi").select("t", F.col("h.cid").alias("hub"), F.col("h.n").alias("m"), F.col("h.comp").alias("hub_comp"), F.col("h.need").alias("hub_need"), "c")
+        near = dealt(rows, hubs, ["t"], "c", "cid").where("comp <> hub_comp").where(fits)
+        near = near.groupBy("cid", "hub").agg(F.count("*").alias("shared"), F.min(F.least("need", "hub_need")).alias("need")).where("shared >= coalesce(need, 1)")
+        return near.groupBy("cid").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
+
     for r in range(hub_rounds + 1):
+        spare: list[DataFrame] = []
         if r < hub_rounds:
-            # small groups need no more than the first round
-            now = labelled(places if r == 0 else wide_places)
-            hubs = now.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by(F.struct("cid", "n", "comp"), F.struct("fame", F.col("cid").alias("x"))).alias("h"))
-            hubs = hubs.where("lo <> hi").select("t", F.col("h.cid").alias("hub"), F.col("h.n").alias("m"), F.col("h.comp").alias("hub_comp"))
-            near = now.join(hubs, "t").where("comp <> hub_comp").where(fits).groupBy("cid", "hub").agg(F.count("*").alias("shared"), F.min("c").alias("c"))
-            # first the hub of most tokens, then those of the rarest
-            first = F.struct((-F.col("shared")).alias("x"), "hub") if r == 0 else F.struct("c", "hub")
-            picked = near.groupBy("cid").agg(F.array_sort(F.collect_list(first)).alias("hubs")).select("cid", F.explode(F.slice("hubs", 1, 1 if r == 0 else HUBS)).alias("h")).select("cid", F.col("h.hub").alias("hub"))
-            pairs = picked.select(*ends("cid", "hub")).distinct()
+            # further rounds look for hubs in other components
+            picked = written(hubs_of(labelled(places)))
+            if apart is None:
+                groups = _groups(wide, picked)
+                apart = _apart(wide, groups, num, den)
+                links.append(_group_links(apart, num, den))
+                spare = [groups]
+            pairs = picked.join(apart.select("cid"), "cid", "left_anti").select(*ends("cid", "hub")).distinct()
+            spare.append(picked)
         else:
             now = labelled(narrow)
             sizes = now.groupBy("t", "comp").count().groupBy("t").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
             some = now.join(sizes, "t").where("comp <> main").select("t", F.col("cid").alias("x"), F.col("n").alias("m"), F.col("need").alias("need_x"), F.col("comp").alias("comp_x"), "main", F.col("wide").alias("wide_x"))
             found = some.join(now, "t").where("not (wide and wide_x) and comp <> comp_x and (comp = main or cid < x)").where(fits)
             light = found.groupBy(*ends("cid", "x")).agg(F.count("*").alias("shared"), F.min(F.least("need", "need_x")).alias("need")).where("shared >= need").select("a", "b")
-            pairs = light.unionByName(_wide_pairs(labelled(wide), num, den)).distinct()
-        new = written(_linked(pairs, texts, k, num, den))
-        links = new if links is None else links.unionByName(new)
-        comps = written(components(links))
-
-    classes = base.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(comps, classes.cid == comps.node, "left").select("cid", "least", F.coalesce("comp", "cid").alias("comp"))
-    lowest = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = classes.join(lowest, "comp").select("cid", "component_id")
-    out = base.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "cid").join(named, "cid").select("doc_id", "n_shingles", F.col("cid").alias("class_id"), "component_id")
+            pairs = light.unionByName(_wide_pairs(grouped(labelled(wide)), num, den)).distinct()
+        links.append(_linked(pairs, texts, k, num, den))
+        dropped(comps, *spare)
+        comps = components(reduce(DataFrame.unionByName, links))
+
+    dropped(keys, texts, wide, apart, *links)
+    placed = named.join(comps, named.cid == comps.node, "left").select("cid", "least", F.coalesce("comp", "cid").alias("comp"))
+    lowest = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
+    owners = written(placed.join(lowest, "comp").select("cid", "component_id"))
+    dropped(named, comps)
+    out = base.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "cid").join(owners, "cid").select("doc_id", "n_shingles", F.col("cid").alias("class_id"), "component_id")
     alone = base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 

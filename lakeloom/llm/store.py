@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where it is unset (tests, one machine) a temporary one is made and set."""
+    """The folder named in spark.checkpoint.dir. Where it is unset a temporary one is made and set, on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lakeloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -22,13 +24,15 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lakeloom-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes a table that written() made and that nothing reads any more."""
-    spark = df.sparkSession
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-        if path.getName().startswith("lakeloom-"):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._lakeloom_path = path
+    return found
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables that written() made and that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(df._lakeloom_path)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

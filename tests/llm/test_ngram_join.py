@@ -4,7 +4,7 @@ import re
 import pytest
 
 from lakeloom.llm.components import components
-from lakeloom.llm.ngram_join import keep_one, ngram_join
+from lakeloom.llm.ngram_join import _apart, _group_links, keep_one, ngram_join
 
 SCHEMA = "doc_id long, text string, extra string"
 
@@ -83,3 +83,50 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (3, 3), (2, 1), (20, 19), (19, 18), (18, 17), (17, 16), (16, 20)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 16: 16, 17: 16, 18: 16, 19: 16, 20: 16}
+
+
+def near_copies(seed, n, length=60, most=9):
+    """Copies of one text with up to `most` words replaced, some by words that other copies have too."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(length)]
+    part = [f"p{i}" for i in range(8)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(most)):
+            words[rng.randrange(length)] = rng.choice(["x", "y", f"own{rng.random()}"])
+        if rng.random() < 0.2:
+            words[10:18] = part
+        rows.append((i, " ".join(words), "x"))
+    return rows
+
+
+@pytest.mark.parametrize(("k", "num", "den", "group"), [(3, 9, 10, 32), (5, 4, 5, 4), (1, 9, 10, 8)])
+def test_dense_group(spark, monkeypatch, k, num, den, group):
+    monkeypatch.setattr("lakeloom.llm.ngram_join.GROUP", group)
+    monkeypatch.setattr("lakeloom.llm.ngram_join.DEALT", 10)
+    rows = near_copies(k, 160) + [(d + 1000, t.upper(), x) for d, t, x in near_copies(k, 12)]
+    got = ngram_join(spark.createDataFrame(rows, SCHEMA), k, num, den, 8).collect()
+    want = brute(rows, k, num, den)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert 1 < len({c for _, _, c in want}) < len(rows)
+
+
+def test_group_links(spark):
+    """Inside a group every link between components is found from the differences, and nothing else."""
+    rows = near_copies(5, 90)
+    sets = {d: shingles(t, 2) for d, t, _ in rows}
+    held = {t for s in sets.values() for t in s}
+    number = {t: i for i, t in enumerate(sorted(held))}
+    count = {t: sum(t in s for s in sets.values()) for t in held}
+    wide = [(d, len(s), number[t], count[t], 0, sum(count[x] == 1 for x in s)) for d, s in sets.items() for t in s if count[t] > 1]
+    frame = spark.createDataFrame(wide, "cid long, n long, t long, c long, rank long, lone long")
+    groups = spark.createDataFrame([(d, 1, len(sets)) for d in sets], "cid long, g long, members long")
+    apart = _apart(frame, groups, 4, 5)
+    assert apart.count() == len(sets)
+    links = {(min(r.a, r.b), max(r.a, r.b)) for r in _group_links(apart, 4, 5).collect()}
+    real = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert links <= real
+    assert len(links) < len(real) / 4
+    merged = dict(components(spark.createDataFrame(sorted(links), "a long, b long")).collect())
+    assert all(merged[a] == merged[b] for a, b in real)
