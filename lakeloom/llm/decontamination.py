@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -98,68 +99,84 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return score, last - back, last
 
 
-def _matches(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
-    words_of, ids = items.words, items.ids
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.column(0)
-            out: list[tuple] = []
-            for first, data, offsets in text_slices(batch.column(1)):
-                words, of, starts, ends = word_hashes(data, offsets, ALNUM_ONLY)
-                cuts = np.searchsorted(of, np.arange(len(offsets)))
-                for d, i, begins in items.seeds(words, of):
-                    item, low, high = words_of[i], int(cuts[d]), int(cuts[d + 1])
-                    slack = 4 + len(item) // 3
-                    best, spans = (0, 0, 0), []
-                    for b in begins:
-                        x, y = max(low, b - slack), min(high, b + len(item) + slack)
-                        if spans and x <= spans[-1][1]:
-                            spans[-1][1] = max(spans[-1][1], y)
-                        else:
-                            spans.append([x, y])
-                    for x, y in spans:
-                        if np.isin(item, words[x:y]).sum() / len(item) < threshold:
-                            continue
-                        score, a, z = align(item, words[x:y])
-                        if score > best[0]:
-                            best = (score, x + a, x + z)
-                    share = best[0] / (MATCH * len(item))
-                    if share >= threshold:
-                        passage = data[starts[best[1]] : ends[best[2]]].tobytes().decode(errors="replace")
-                        out.append((names[first + d].as_py(), ids[i], share, best[1] - low, best[2] - low, passage))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "score", "first_word", "last_word", "passage"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, SCHEMA)
+def copies(column: pa.Array, items: Items, threshold: float) -> Iterator[tuple[int, int, float, int, int, str]]:
+    """(row, item's number, score, first word, last word, passage) of each text in column and each item of which it holds a copy."""
+    for first, data, offsets in text_slices(column):
+        words, of, starts, ends = word_hashes(data, offsets, ALNUM_ONLY)
+        cuts = np.searchsorted(of, np.arange(len(offsets)))
+        for d, i, begins in items.seeds(words, of):
+            item, low, high = items.words[i], int(cuts[d]), int(cuts[d + 1])
+            slack = 4 + len(item) // 3
+            best, spans = (0, 0, 0), []
+            for b in begins:
+                x, y = max(low, b - slack), min(high, b + len(item) + slack)
+                if spans and x <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], y)
+                else:
+                    spans.append([x, y])
+            for x, y in spans:
+                if np.isin(item, words[x:y]).sum() / len(item) < threshold:
+                    continue
+                score, a, z = align(item, words[x:y])
+                if score > best[0]:
+                    best = (score, x + a, x + z)
+            share = best[0] / (MATCH * len(item))
+            if share >= threshold:
+                yield first + d, i, share, best[1] - low, best[2] - low, data[starts[best[1]] : ends[best[2]]].tobytes().decode(errors="replace")
+
+
+def blocks(benchmark: DataFrame, n: int) -> Iterator[Items]:
+    """The test items in blocks of BLOCK characters; one empty block if there are none."""
+    block, held, any_ = [], 0, False
+    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
+        block.append((r[0], r[1]))
+        held += len(r[1] or "")
+        if held >= BLOCK:
+            yield Items(block, n)
+            block, held, any_ = [], 0, True
+    if block or not any_:
+        yield Items(block, n)
 
 
 def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word, passage): each document with each test item of which it holds a copy.
 
-    The place is that of the best-scoring copy, in words from 0. Null or wordless texts match nothing. Repeated documents and
-    repeated items each give rows. Null ids are returned as they are. With an empty table on either side the result is empty.
-    Other columns are ignored. An item shorter than n words is found where all of it stands in a row.
+    The place is that of the best-scoring copy (of equal ones the first), in words from 0. Null or wordless texts match nothing.
+    Texts of any length are read whole. Repeated documents and repeated items each give rows. Null ids are returned as they are.
+    With an empty table on either side the result is empty. Other columns are ignored. An item shorter than n words is found where all of it stands in a row.
     """
-    found, block, held = None, [], 0
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def matched(rows: list) -> DataFrame:
-        return _matches(docs, Items(rows, n), threshold)
+    def matched(items: Items) -> DataFrame:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                names = batch.column(0)
+                out = [(names[row].as_py(), items.ids[i], *rest) for row, i, *rest in copies(batch.column(1), items, threshold)]
+                columns = list(zip(*out, strict=True)) if out else [[]] * 6
+                types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "score", "first_word", "last_word", "passage"])
 
-    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
-        block.append((r[0], r[1]))
-        held += len(r[1] or "")
-        if held >= BLOCK:
-            more = matched(block)
-            found, block, held = more if found is None else found.unionByName(more), [], 0
-    if block or found is None:
-        more = matched(block)
-        found = more if found is None else found.unionByName(more)
-    return found
+        return source.mapInArrow(rows, SCHEMA)
+
+    return reduce(DataFrame.unionByName, (matched(items) for items in blocks(benchmark, n)))
 
 
 def without_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
-    """docs without those that hold a copy of a test item."""
-    bad = find_copies(docs, benchmark, n, threshold).select("doc_id").distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id), "left_anti")
+    """docs without the rows whose text holds a copy of a test item.
+
+    Each row is judged by its own text: of rows with one doc_id, null ones too, the clean ones stay. All columns stay as they are. Rows with null
+    or wordless texts stay; with an empty benchmark all rows stay; an empty table gives an empty table.
+    """
+    at = [f.lower() for f in docs.schema.names].index("text")
+
+    def kept(docs: DataFrame, items: Items) -> DataFrame:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for row, *_ in copies(batch.column(at).cast(pa.large_string()), items, threshold):
+                    clean[row] = False
+                yield batch.filter(pa.array(clean))
+
+        return docs.mapInArrow(rows, docs.schema)
+
+    return reduce(kept, blocks(benchmark, n), docs)

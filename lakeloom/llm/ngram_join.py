@@ -35,6 +35,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
 from .store import dropped, written
@@ -297,7 +298,10 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
 
 
 def ngram_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, heavy: int = HEAVY, hub_rounds: int = 1) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of every row of docs(doc_id, text); component_id: the smallest doc_id reachable by links."""
+    """(doc_id, n_shingles, component_id, class_id, component) of every row of docs(doc_id, text).
+
+    component_id: the smallest doc_id reachable by links; class_id: equal for equal sets; component: equal for what links join.
+    """
     whole = written(class_rows(docs, k, num, den))
     base = written(whole.drop("prefix"))
     classes = written(whole.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.first("prefix").alias("prefix")))
@@ -363,17 +367,38 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, heavy: i
     dropped(keys, texts, wide, apart, *links)
     placed = named.join(comps, named.cid == comps.node, "left").select("cid", "least", F.coalesce("comp", "cid").alias("comp"))
     lowest = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    owners = written(placed.join(lowest, "comp").select("cid", "component_id"))
+    owners = written(placed.join(lowest, "comp").select("cid", "component_id", "comp"))
     dropped(named, comps)
-    out = base.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "cid").join(owners, "cid").select("doc_id", "n_shingles", F.col("cid").alias("class_id"), "component_id")
-    alone = base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.col("doc_id").alias("component_id"))
+    none = F.lit(None).cast("long")
+    out = base.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "cid").join(owners, "cid").select("doc_id", "n_shingles", "component_id", F.col("cid").alias("class_id"), F.col("comp").alias("component"))
+    alone = base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("class_id"), none.alias("component"))
     return out.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """docs, one document of each component: the one with the smallest doc_id; of rows with this doc_id and the same text, one.
-    Documents without words link with nothing, so they stay."""
-    found = ngram_join(docs, k, num, den).where("n_shingles = 0 or doc_id <=> component_id").groupBy("doc_id").count()
-    once, again = found.where("count = 1").select("doc_id"), found.where("count > 1").select("doc_id")
+    """docs, one row of each component: one with the smallest doc_id (null only if the component has no other).
+
+    If this id stands in several rows of the component, the one of the smallest class, then text, stays. Rows without words link with nothing, so
+    they all stay. Each row is judged by its own text, also where rows share an id or have none. An empty table gives an empty table.
+    """
+    found = written(ngram_join(docs, k, num, den))
+    names = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.expr("n_shingles = 0 or doc_id <=> component_id")).alias("keep"))
+    once = names.where("rows = 1 and keep").select("doc_id")
     kept = docs.join(once, docs.doc_id.eqNullSafe(once.doc_id), "left_semi")
-    return kept.unionByName(docs.join(again, docs.doc_id.eqNullSafe(again.doc_id), "left_semi").dropDuplicates(["doc_id", "text"]))
+    # ids of several rows: by the class of each row
+    several = names.where("rows > 1").select("doc_id")
+    stay = found.where("n_shingles > 0 and doc_id <=> component_id").groupBy("component").agg(F.min(F.struct("class_id", "doc_id")).alias("x")).select(F.col("x.class_id").alias("_cid"), F.col("x.doc_id").alias("_id"))
+    schema = docs.schema
+    at = [f.lower() for f in schema.names].index("text")
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [class_of(tokens) if len(tokens) else None for tokens in shingle_sets(batch.column(at).cast(pa.large_string()), k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*batch.schema.names, "_cid"])
+
+    held = docs.join(several, docs.doc_id.eqNullSafe(several.doc_id), "left_semi").mapInArrow(classed, StructType([*schema.fields, StructField("_cid", LongType())]))
+    wordless = held.where("_cid is null").drop("_cid")
+    chosen = held.join(stay, (held["_cid"] == stay["_cid"]) & held["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in schema.names])
+    chosen = chosen.groupBy("_cid").agg(F.min_by(row, F.struct("text", F.xxhash64(*[F.col(f"`{c}`") for c in schema.names]))).alias("row")).select("row.*")
+    return kept.unionByName(wordless).unionByName(chosen)

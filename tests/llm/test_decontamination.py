@@ -76,3 +76,38 @@ def test_identically_edited_copies(spark, exact):
     docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS)
     got = {r.doc_id: r.score for r in find_copies(docs, spark.createDataFrame([(0, " ".join(item), "")], ITEMS)).collect()}
     assert got == {i: 0.85 if i < 1000 else 1.0 for i in range(1000 + exact)}
+
+
+def test_rows_are_judged_one_by_one(spark):
+    item = " ".join(f"word{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, item, "", ""), (None, "clean", "", ""), (7, item, "", ""), (7, "clean too", "", ""), (8, None, "", "")], DOCS)
+    items = spark.createDataFrame([(0, item, "")], ITEMS)
+    assert {(r.doc_id, r.text) for r in without_copies(docs, items).collect()} == {(None, "clean"), (7, "clean too"), (8, None)}
+    assert without_copies(docs, items.where("false")).count() == 5
+    assert without_copies(docs.where("false"), items).count() == 0
+
+
+@pytest.mark.parametrize("copies", [1, 4, 5, 50])
+def test_against_brute_force(spark, copies):
+    """Every item aligned with every document, the whole of it; copies of items with a tenth of the words edited in all the ways."""
+    rng = random.Random(copies)
+    words = [f"v{i}" for i in range(60)]
+    items = [[rng.choice(words) + rng.choice("ab") for _ in range(rng.choice([10, 20, 35]))] for _ in range(6)]
+    texts = [[rng.choice(words) + rng.choice("abc") for _ in range(rng.choice([0, 20, 90]))] for _ in range(40)]
+    for item in items[:4]:
+        edited = list(item)
+        for _ in range(1 + len(item) // 10):
+            at = rng.randrange(len(edited))
+            edited[at : at + 1] = rng.choice([["other"], [], [edited[at], "more"]])
+        for _ in range(copies):
+            before = [rng.choice(words) for _ in range(rng.randrange(30))]
+            texts.append([*before, *edited, *before[:5]])
+    docs = spark.createDataFrame([(d, " ".join(t), "", "") for d, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame([(i, " ".join(t), "") for i, t in enumerate(items)], ITEMS)
+    number = {w: i for i, w in enumerate(sorted({w for t in texts + items for w in t}))}
+    coded = lambda t: np.array([number[w] for w in t], np.uint64)
+    scores = {(d, i): align(coded(item), coded(t))[0] / (MATCH * len(item)) for d, t in enumerate(texts) for i, item in enumerate(items) if t}
+    want = {key: score for key, score in scores.items() if score >= 0.5}
+    got = {(r.doc_id, r.item_id): r.score for r in find_copies(docs, bench).collect()}
+    assert got == want
+    assert len(want) >= 4 * copies

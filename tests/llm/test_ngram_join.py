@@ -79,6 +79,14 @@ def test_keep_one(spark):
     assert {r.doc_id for r in kept.collect()} == want
 
 
+def test_keep_one_with_repeated_and_null_ids(spark):
+    text = lambda *words: " ".join(f"{w}{i}" for w in words for i in range(12))
+    rows = [(3, text("a"), "x"), (7, text("a"), "y"), (7, text("b"), "y"), (7, text("b").upper(), "z"), (None, text("c"), "x"), (None, text("c"), "w"), (None, text("d"), "x"), (None, text("b"), "n"), (None, "", "x"), (7, None, "x"), (5, text("e"), "x")]
+    kept = keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = [(3, text("a"), "x"), (7, text("b").upper(), "z"), (None, text("c"), None), (None, text("d"), "x"), (None, "", "x"), (7, None, "x"), (5, text("e"), "x")]
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted((d or 0, t or "") for d, t, _ in want)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (3, 3), (2, 1), (20, 19), (19, 18), (18, 17), (17, 16), (16, 20)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
