@@ -31,22 +31,21 @@ CLOSES = {
 _SCOPE = frozenset("article aside body blockquote button div footer header main nav section table td th".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-#: Words of tags, classes, ids and roles that tell of the parts of a page around its main text. Fixed values.
+#: Words of classes, ids and roles that often stand at the parts of a page around its main text. Fixed values.
 AROUND = frozenset(
     (
         "ad ads advert advertisement adverts banner sponsor sponsored sponsors promo promoted promotion promotions outbrain taboola dfp adsense "
         "nav navbar navigation menu menus breadcrumb breadcrumbs toc pagination pager skip topbar toolbar sitemap "
-        "header masthead footer foot colophon copyright legal imprint credits "
-        "sidebar aside rail widget widgets related recommended recommendations popular trending teaser teasers more "
-        "cookie cookies consent gdpr notice notices alert alerts popup modal overlay banner disclaimer warning paywall "
-        "comment comments commentlist discussion disqus replies reply respond reviews thread "
-        "share sharing social follow subscribe subscription newsletter signup login signin register form search searchbox contact feedback poll survey "
-        "tags tagcloud rating hidden"
+        "masthead footer colophon sidebar aside widget widgets related recommended recommendations "
+        "cookie cookies consent gdpr notice notices alert popup modal overlay paywall "
+        "comment comments commentlist disqus replies share sharing social subscribe subscription newsletter signup login signin search searchbox"
     ).split()
 )
-#: Words that tell of the main text. Fixed values.
+#: Words that often stand at such parts, and as often inside a text. Fixed values.
+UNSURE = frozenset("header foot copyright legal imprint credits rail popular trending teaser teasers more alerts disclaimer warning discussion reply respond reviews thread follow register form contact feedback poll survey tags tagcloud rating".split())
+#: Words that often stand at the main text. Fixed values.
 WITHIN = frozenset("article articlebody post entry story content main maincontent body text blogpost prose hentry".split())
-_AROUND_TAGS = frozenset("nav aside footer form menu dialog search fieldset".split())
+_AROUND_TAGS = frozenset("nav aside footer form menu dialog search".split())
 _WITHIN_TAGS = frozenset("article main".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -55,8 +54,8 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|itemprop)\b\
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
-#: Hints of a node.
-NONE, OUT, IN = 0, 1, 2
+#: Hints of a node: none, a part around the main text, the main text, a word that tells little.
+NONE, OUT, IN, MAYBE = 0, 1, 2, 3
 
 
 class Page:
@@ -87,13 +86,13 @@ def _hint(tag: str, attributes: str, within: bool) -> int:
             # the last telling word of a name counts: post-comments are comments
             told = set()
             for name_ in value.split():
-                words = [w for w in map(str.lower, _WORD.findall(name_)) if w in AROUND or w in WITHIN]
+                words = [w for w in map(str.lower, _WORD.findall(name_)) if w in AROUND or w in WITHIN or w in UNSURE]
                 if words or name_.lower() == "articlebody":
-                    told.add(OUT if words and words[-1] in AROUND else IN)
+                    told.add(IN if not words or words[-1] in WITHIN else OUT if words[-1] in AROUND else MAYBE)
             if told == {OUT}:
                 return OUT
-            if told == {IN}:
-                found = IN
+            if found == NONE and told:
+                found = IN if told == {IN} else MAYBE
     return found
 
 
