@@ -11,8 +11,13 @@ for each doubling above; which group of a size goes to which shard is settled by
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from .ranks import with_slots
 from .store import written
@@ -20,14 +25,13 @@ from .store import written
 EXACT_BITS = 20
 
 
-def lpt(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
-    """(size, first, past the last, shard): which ranks of each size's groups go to which shard. classes: (size, number of groups).
+def lpt(classes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int]]]:
+    """(size, number of its groups that go to each shard), the largest size first. classes: (size, number of groups).
 
     The heap takes one group at a time; of a size with very many groups, all but the last `8 * shards` are dealt by levelling:
     every shard gets as many as bring it up to the same load, which is what the heap would have done.
     """
     heap = [(0, s) for s in range(shards)]
-    out: list[tuple[int, int, int, int]] = []
     for size, count in sorted(classes, reverse=True):
         got = [0] * shards
         left = count
@@ -51,12 +55,18 @@ def lpt(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int
             load, s = heap[0]
             got[s] += 1
             heapq.heapreplace(heap, (load + size, s))
-        first = 0
-        for s in range(shards):
-            if got[s]:
-                out.append((size, first, first + got[s], s))
-                first += got[s]
-    return out
+        yield size, got
+
+
+def plan_table(classes: Iterable[tuple[int, int]], shards: int) -> pa.Table:
+    """(class, upto): one row for each size; shard s takes the groups of ranks from upto[s - 1] to below upto[s]."""
+    sizes, upto = array("q"), array("q")
+    for size, got in lpt(classes, shards):
+        sizes.append(size)
+        upto.extend(accumulate(got))
+    flat = pa.array(np.frombuffer(upto, np.int64) if upto else [], pa.int64())
+    cuts = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * shards)
+    return pa.table({"class": pa.array(np.frombuffer(sizes, np.int64) if sizes else [], pa.int64()), "upto": pa.ListArray.from_arrays(cuts, flat)})
 
 
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -64,7 +74,8 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     size: UTF-8 bytes of the text plus 1; text_crc32: unsigned, of the UTF-8 bytes. Null text counts as empty and is grouped with
     it. slot: 0, 1, 2, ... in each shard. grown_shard is null (it belongs to another law). Repeated rows and null ids are each
-    placed; an empty table gives an empty table; other columns are ignored.
+    placed, equal rows in any order of slots; of groups of one size the order of their hashes decides; texts of any length count
+    whole; an empty table gives an empty table; other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"))
@@ -73,11 +84,10 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     groups = rows.groupBy(*own).agg(F.sum("size").alias("total"))
     unit = f"shiftleft(1L, greatest(length(bin(total)) - {EXACT_BITS}, 0))"
     groups = written(groups.withColumn("class", F.expr(f"total + pmod(-total, {unit})")))
-    classes = [(r[0], r[1]) for r in groups.groupBy("class").count().toLocalIterator()]
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(lpt(classes, shards), "class long, first long, past long, shard int")
-    rank = F.row_number().over(Window.partitionBy("class").orderBy(*own)) - 1
-    ranked = groups.withColumn("rank", rank)
-    placed = ranked.join(plan, "class").where("rank >= first and rank < past").select(*own, "shard")
+    counts = groups.groupBy("class").count().toArrow()
+    classes = zip(counts.column(0).to_numpy().tolist(), counts.column(1).to_numpy().tolist(), strict=True)
+    plan = docs.sparkSession.createDataFrame(plan_table(classes, shards))
+    ranked = with_slots(groups, "class", own, "rank")
+    placed = ranked.join(plan, "class").select(*own, F.expr("cast(size(filter(upto, x -> x <= rank)) as int)").alias("shard"))
     out = with_slots(rows.join(placed, own), "shard", ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from lakeloom.llm.sharding import lpt, shard
+from lakeloom.llm.sharding import lpt, plan_table, shard
 
 SCHEMA = "doc_id long, text string, size string, shard string"
 
@@ -24,12 +24,13 @@ def test_schedule_equals_heap(seed):
     rng = random.Random(seed)
     classes = [(size, rng.choice([1, 2, 7, 500, 3000])) for size in rng.sample(range(1, 5000), 30)] + [(200_000, 1), (90_000, 2)]
     shards = rng.choice([1, 3, 5])
-    plan, got, seen = lpt(classes, shards), Counter(), defaultdict(int)
-    for size, first, past, s in plan:
-        assert first == seen[size] and past > first
-        seen[size] = past
-        got[s] += size * (past - first)
-    assert dict(seen) == dict(classes)
+    got, seen = Counter(), {}
+    for size, counts in lpt(classes, shards):
+        assert size not in seen and len(counts) == shards and min(counts) >= 0
+        seen[size] = sum(counts)
+        for s, count in enumerate(counts):
+            got[s] += size * count
+    assert seen == dict(classes)
     assert sorted(got[s] for s in range(shards)) == loads(classes, shards)
 
 
@@ -57,5 +58,12 @@ def test_rows(spark):
     assert sorted(total.values()) == loads(list(groups.items()), 4)
 
 
+def test_plan_is_small():
+    table = plan_table([(size, 20) for size in range(1, 20_001)], 16)
+    assert table.num_rows == 20_000 and table.nbytes < 20_000 * 150
+    for size, upto in zip(*[c.to_pylist() for c in table.columns], strict=True):
+        assert len(upto) == 16 and upto == sorted(upto) and upto[-1] == 20 and size > 0
+
+
 def test_empty(spark):
     assert shard(spark.createDataFrame([], SCHEMA)).collect() == []
