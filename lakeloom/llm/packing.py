@@ -10,51 +10,53 @@ The histogram is the only thing that the driver holds: m distinct lengths need m
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterable
+
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .ranks import with_slots
 from .store import written
 
 
-def boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
+def boundaries(histogram: Iterable[tuple[int, int]], buckets: int) -> list[int]:
     """The boundaries (the last is the greatest length) that minimise padding; as many as buckets, or one for each length.
 
     best[i] = min over p < i of last[p] + length[i] * (texts up to i - texts up to p) is a lower envelope of lines whose slopes
-    fall and whose queries rise, so each bucket's row takes linear time. All in integers; ties take the earlier cut.
+    fall and whose queries rise, so each bucket's row takes linear time. All in integers; ties take the earlier cut. Held are
+    4 bytes a length and bucket for the cuts, and 7 numbers of 8 bytes a length.
     """
-    histogram = sorted((length, count) for length, count in histogram if count)
-    if not histogram:
-        return []
-    lengths = [length for length, _ in histogram]
-    upto = [0]
-    for _, count in histogram:
+    lengths, upto = array("q"), array("q", [0])
+    for length, count in sorted((length, count) for length, count in histogram if count):
+        lengths.append(length)
         upto.append(upto[-1] + count)
     n = len(lengths)
+    if not n:
+        return []
     buckets = min(buckets, n)
-    last = [0] + [lengths[i - 1] * upto[i] for i in range(1, n + 1)]
-    cuts = [[0] * (n + 1)]
+    last = array("q", [0])
+    last.extend(lengths[i - 1] * upto[i] for i in range(1, n + 1))
+    cuts = [array("i", bytes(4 * (n + 1)))]
+    # the envelope's lines: slopes, bases and the cuts they stand for; those from head on are in use
+    slopes, bases, places = (array("q", bytes(8 * (n + 1))) for _ in range(3))
     for j in range(2, buckets + 1):
-        now, cut = [0] * (n + 1), [0] * (n + 1)
-        lines: list[tuple[int, int, int]] = []
-        head = 0
+        now, cut = array("q", bytes(8 * (n + 1))), array("i", bytes(4 * (n + 1)))
+        head = end = 0
         for i in range(1, n + 1):
             p = i - 1
             if p >= j - 1:
                 slope, base = -upto[p], last[p]
-                while len(lines) - head >= 2:
-                    (s1, b1, _), (s2, b2, _) = lines[-2], lines[-1]
-                    if (base - b1) * (s1 - s2) < (b2 - b1) * (s1 - slope):
-                        lines.pop()
-                    else:
-                        break
-                lines.append((slope, base, p))
+                while end - head >= 2 and (base - bases[end - 2]) * (slopes[end - 2] - slopes[end - 1]) < (bases[end - 1] - bases[end - 2]) * (slopes[end - 2] - slope):
+                    end -= 1
+                slopes[end], bases[end], places[end] = slope, base, p
+                end += 1
             if i < j:
                 continue
             x = lengths[i - 1]
-            while len(lines) - head >= 2 and lines[head + 1][0] * x + lines[head + 1][1] < lines[head][0] * x + lines[head][1]:
+            while end - head >= 2 and slopes[head + 1] * x + bases[head + 1] < slopes[head] * x + bases[head]:
                 head += 1
-            slope, base, p = lines[head]
-            now[i], cut[i] = slope * x + base + x * upto[i], p
+            now[i], cut[i] = slopes[head] * x + bases[head] + x * upto[i], places[head]
         last = now
         cuts.append(cut)
     out, i = [], n
@@ -75,15 +77,17 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536, length: F.Col
     length: the number of tokens, words of the text if not given (null: 0). A batch holds max(1, budget div bucket_length) texts
     of one bucket; so batch rows times bucket_length is within the budget, but for a text that exceeds it alone. Batches are
     numbered from 0 through all buckets; only a bucket's last one may be short. Repeated rows, null ids and empty texts are each
-    packed; an empty table gives an empty table; other columns are ignored.
+    packed, equal rows in any order; texts of any length count whole; an empty table gives an empty table; other columns are ignored.
     """
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (word_count() if length is None else length.cast("long")).alias("n_tokens")))
-    histogram = [(r[0], r[1]) for r in rows.groupBy("n_tokens").count().toLocalIterator()]
-    bounds = boundaries(histogram, buckets)
+    histogram = rows.groupBy("n_tokens").count().toArrow()
+    lengths, counts = (histogram.column(i).to_numpy() for i in range(2))
+    bounds = boundaries(zip(lengths.tolist(), counts.tolist(), strict=True), buckets)
+    held = np.bincount(np.searchsorted(np.array(bounds, np.int64), lengths), counts, minlength=len(bounds)) if bounds else []
     table, first = [], 0
     for b, bound in enumerate(bounds):
         fit = max(1, budget // max(1, bound))
-        count = sum(c for n, c in histogram if (b == 0 or bounds[b - 1] < n) and n <= bound)
+        count = int(held[b])
         table.append((b, bound, fit, first))
         first += -(-count // fit)
     spark = docs.sparkSession
