@@ -39,7 +39,7 @@ published by the Free Software Foundation, either version 3 of the License, or (
 distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
 FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
 
-#: (template, licence, text)
+#: (template, licence, text). Public texts that must be as they are.
 TEMPLATES: list[tuple[str, str, str]] = [
     ("mit_text", "MIT", _MIT),
     ("mit_notice", "MIT", "Released under the MIT License."),
@@ -95,9 +95,10 @@ def _units(text: Column) -> Column:
 
 def scan(docs: DataFrame, percent: int = 80, templates: list[tuple[str, str, str]] = TEMPLATES) -> DataFrame:
     """(doc_id, licence, template, dice, units): for each document and licence the best template, its greatest coefficient, and
-    the number of different units that reach percent / 100 on any of the licence's templates.
+    the number of different units whose best licence it is. A unit counts for the licence of its greatest coefficient, percent / 100
+    or more, only.
 
-    Ties between templates go to the first by name. Rows that share a doc_id count as one document; a null doc_id is one too.
+    Ties between licences, then templates, go to the first by name. Texts of any length are read whole. Rows that share a doc_id count as one document; a null doc_id is one too.
     Null, empty or one-word texts have no bigrams and match nothing; an empty table gives an empty table; other columns are
     ignored. Documents without a licence have no row.
     """
@@ -112,6 +113,9 @@ def scan(docs: DataFrame, percent: int = 80, templates: list[tuple[str, str, str
     near = near.select("doc_id", "unit", "b", "n", F.explode(F.expr(f"filter({_table(templates, percent)}, t -> n between t.low and t.high)")).alias("t"))
     compared = near.select("doc_id", "unit", F.explode(F.array(F.expr("named_struct('template', t.template, 'licence', t.licence, 'common', size(array_intersect(b, t.bigrams)), 'total', n + size(t.bigrams))"))).alias("m"))
     hits = compared.where(f"200 * m.common >= {percent} * m.total").select("doc_id", "unit", "m.licence", "m.template", (F.lit(2.0) * F.col("m.common") / F.col("m.total")).alias("dice"))
+    # of one unit only the best licence counts: a notice of one is near that of its kin
+    first = F.min(F.struct((-F.col("dice")).alias("d"), F.col("licence").alias("l"), F.col("template").alias("t"))).alias("x")
+    hits = hits.groupBy("doc_id", "unit").agg(first).select("doc_id", "unit", F.col("x.l").alias("licence"), F.col("x.t").alias("template"), (-F.col("x.d")).alias("dice"))
     best = F.min(F.struct((-F.col("dice")).alias("d"), F.col("template").alias("t")))
     found = hits.groupBy("doc_id", "licence").agg(best.alias("best"), F.count_distinct("unit").alias("units"))
     return found.select("doc_id", "licence", F.col("best.t").alias("template"), (-F.col("best.d")).alias("dice"), "units")
@@ -134,6 +138,7 @@ s AS (SELECT doc_id, unit, {grams} AS b FROM (SELECT doc_id, unit, string_split(
 m AS (SELECT doc_id, unit, licence, template, len(list_intersect(b, tb)) AS common, len(b) + len(tb) AS total FROM s JOIN t
       ON len(b) * (200 - {percent}) >= len(tb) * {percent} AND len(b) * {percent} <= len(tb) * (200 - {percent})),
 h AS (SELECT doc_id, unit, licence, template, 2.0::DOUBLE * common / total AS dice FROM m WHERE 200 * common >= {percent} * total),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, licence ORDER BY dice DESC, template) AS k, dense_rank() OVER (PARTITION BY doc_id, licence ORDER BY unit) AS d FROM h)
+o AS (SELECT doc_id, unit, licence, template, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, licence, template) AS first FROM h) WHERE first = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, licence ORDER BY dice DESC, template) AS k, dense_rank() OVER (PARTITION BY doc_id, licence ORDER BY unit) AS d FROM o)
 SELECT doc_id, licence, max(template) FILTER (k = 1) AS template, max(dice) AS dice, max(d) AS units FROM r GROUP BY doc_id, licence
 """

@@ -20,12 +20,16 @@ def brute(rows, percent=80):
         held = {" ".join(u.split()) for u in [*plain.split("\n"), *re.split(r"\n[ \n]*\n", plain), plain]}
         for unit in held:
             a = grams(unit)
+            near = []
             for name, licence, body in TEMPLATES:
                 b = {tuple(g.split()) for g in bigrams(body)}
                 if a and 200 * len(a & b) >= percent * (len(a) + len(b)):
-                    key = (doc, licence)
-                    best[key] = min(best.get(key, (0, "~")), (-2 * len(a & b) / (len(a) + len(b)), name))
-                    units.setdefault(key, set()).add(unit)
+                    near.append((-2 * len(a & b) / (len(a) + len(b)), licence, name))
+            if near:
+                score, licence, name = min(near)
+                key = (doc, licence)
+                best[key] = min(best.get(key, (0, "~")), (score, name))
+                units.setdefault(key, set()).add(unit)
     return {(d, lic, n, -s, len(units[d, lic])) for (d, lic), (s, n) in best.items()}
 
 
@@ -73,3 +77,8 @@ def test_plan_is_native(spark):
     plan = scan(spark.createDataFrame([(1, "x", "", "")], SCHEMA))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
+
+
+def test_a_notice_has_one_licence(spark):
+    rows = [(1, "This work is licensed under the GNU Lesser General Public License, version 3.", "", ""), (2, "This work is licensed under the GNU General Public License, version 3.", "", ""), (3, "licensed under the GNU Lesser General Public License, version 3.", "", "")]
+    assert {(r.doc_id, r.licence) for r in scan(spark.createDataFrame(rows, SCHEMA)).collect()} == {(1, "LGPL-3.0"), (2, "GPL-3.0"), (3, "LGPL-3.0")}
