@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 Words = np.ndarray
@@ -516,6 +517,18 @@ def composed(first: Codec) -> Codec:
     return Codec(encode, decode)
 
 
+def _snappy(v: np.ndarray) -> Words:
+    """The values' bytes under the general-purpose byte compressor, behind a word with their number."""
+    data = pa.Codec("snappy").compress(v.astype("<u4").tobytes(), asbytes=True)
+    return np.concatenate([np.array([len(data)], np.uint32), np.frombuffer(data + bytes(-len(data) % 4), "<u4")])
+
+
+def _unsnappy(words: Words, n: int) -> tuple[np.ndarray, int]:
+    size = int(words[0])
+    data = pa.Codec("snappy").decompress(words[1:].tobytes()[:size], decompressed_size=4 * n, asbytes=True)
+    return np.frombuffer(data, "<u4").astype(np.int64), 1 + (size + 3) // 4
+
+
 _VARINT = Codec(lambda v: _varint(v, True), lambda w, n: _unvarint(w, n, True))
 _VBYTE = Codec(lambda v: _varint(v, False), lambda w, n: _unvarint(w, n, False))
 _QUADS = composed(Codec(_group_simple, _ungroup_simple, 4))
@@ -542,6 +555,7 @@ CODECS: dict[str, Codec] = {
     "simdgroupsimple": _QUADS,
     "simdgroupsimple_ringbuf": _QUADS,
     "vsencoding": Codec(_vs, _unvs),
+    "snappy": Codec(_snappy, _unsnappy),
 }
 
 
@@ -551,10 +565,11 @@ def codec(name: str) -> Codec:
     return CODECS[name]
 
 
-def round_trip(arrays: DataFrame, names: list[str] | None = None) -> DataFrame:
+def round_trip(arrays: DataFrame, names: list[str] | None = None, delta: bool = False) -> DataFrame:
     """(codec, array_id, n, words, mismatches) of each codec on each of arrays(array_id, a): values that decoding changes.
 
-    Codecs are registered by name, so a plan holds names only; an unknown name fails before anything runs.
+    delta: the differences of neighbours are coded and summed up again. An array that is not sorted is refused then: its words
+    and mismatches are null. Codecs are registered by name, so a plan holds names only; an unknown name fails before anything runs.
     """
     names = list(CODECS) if names is None else names
     for name in names:
@@ -565,11 +580,15 @@ def round_trip(arrays: DataFrame, names: list[str] | None = None) -> DataFrame:
             out = []
             for r in frame.itertuples():
                 v = np.array(r.a, np.int64)
-                words = codec(r.codec).encode(v)
+                if delta and (np.diff(v) < 0).any():
+                    out.append((r.codec, r.array_id, len(v), None, None))
+                    continue
+                words = codec(r.codec).encode(np.diff(v, prepend=0) if delta else v)
                 back, _ = codec(r.codec).decode(words, len(v))
+                back = np.cumsum(back) if delta else back
                 wrong = len(v) if len(back) != len(v) else int((back != v).sum())
                 out.append((r.codec, r.array_id, len(v), len(words), wrong))
-            yield pd.DataFrame(out, columns=["codec", "array_id", "n", "words", "mismatches"])
+            yield pd.DataFrame(out, columns=["codec", "array_id", "n", "words", "mismatches"]).astype({"words": "Int64", "mismatches": "Int64"})
 
     each = arrays.select("array_id", "a", F.explode(F.array(*[F.lit(n) for n in names])).alias("codec"))
     return each.mapInPandas(rows, "codec string, array_id long, n long, words long, mismatches long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.bits import shared_prefix, varint_bytes
+from ..ranges import latest
 from .index import positions
 
 
@@ -42,17 +43,15 @@ def incremental_sizes(dictionary: DataFrame) -> DataFrame:
 def find(dictionary: DataFrame, probes: DataFrame) -> DataFrame:
     """(key, block_id, pos) of those of probes(key) that the dictionary holds.
 
-    A probe's block is the last one whose first key is not greater. First keys and probes are put in one order and dealt by their
-    first characters; a probe with no first key before it in its part takes the last block of the parts before. Then the block is
+    A probe's block is the last one whose first key is not greater. First keys and different probes are put in one order and dealt to
+    ranges; a probe with no first key before it in its range takes the last block of the ranges before. Then the block is
     searched by an equi-join.
     """
     heads = block_heads(dictionary).select(F.col("first_key").alias("key"), F.col("block_id").alias("blk"), F.lit(0).alias("flag"))
-    mixed = heads.unionByName(probes.select("key", F.lit(None).cast("long").alias("blk"), F.lit(1).alias("flag"))).withColumn("_p", F.substring("key", 1, 2))
-    inside = F.max("blk").over(Window.partitionBy("_p").orderBy("key", "flag").rowsBetween(Window.unboundedPreceding, 0))
-    parts = mixed.groupBy("_p").agg(F.max("blk").alias("_m"))
-    before = parts.select("_p", F.max("_m").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_b"))
-    placed = mixed.withColumn("_i", inside).join(before, "_p").where("flag = 1").select("key", F.coalesce("_i", "_b").alias("block_id"))
-    return placed.join(dictionary.select("block_id", "key", "pos"), ["block_id", "key"]).select("key", "block_id", "pos")
+    mixed = heads.unionByName(probes.select("key").distinct().select("key", F.lit(None).cast("long").alias("blk"), F.lit(1).alias("flag")))
+    placed = latest(mixed, ["key", "flag"], "blk", "block_id").where("flag = 1").select("key", "block_id")
+    found = placed.join(dictionary.select("block_id", "key", "pos"), ["block_id", "key"])
+    return probes.select("key").join(found, "key").select("key", "block_id", "pos")
 
 
 def key_at(dictionary: DataFrame, places: DataFrame) -> DataFrame:

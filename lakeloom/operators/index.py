@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..ranges import numbered, running
 
 #: Rows of a table that one piece of a posting list may cover.
 PIECE = 65_536
@@ -84,21 +86,9 @@ def text_positions(cells: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(starts, keys.key == starts.tokenized).select("key", F.col("start").alias("first_pos"), (F.col("start") + F.col("n") - 1).alias("last_pos"))
 
 
-def running(df: DataFrame, order: str, value: str, prefix: int = 2) -> DataFrame:
-    """df with `start`, the sum of value over all rows before it by order (a string, unique).
-
-    Rows are dealt by their first characters; sums inside and sums of the parts before add up, so no task holds all rows.
-    """
-    dealt = df.withColumn("_p", F.substring(order, 1, prefix))
-    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = dealt.groupBy("_p").agg(F.sum(value).alias("_s"))
-    before = parts.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return dealt.withColumn("_i", inside).join(before, "_p").withColumn("start", (F.col("_b") + F.col("_i")).cast("long")).drop("_p", "_i", "_b")
-
-
 def positions(df: DataFrame, order: str) -> DataFrame:
     """df(order unique) with pos, its place by order from 0."""
-    return running(df.withColumn("_one", F.lit(1)), order, "_one").withColumnRenamed("start", "pos").drop("_one")
+    return numbered(df, [order], "pos")
 
 
 def sampled_keys(cells: DataFrame, n: int = 10_000, seed: int = 7) -> DataFrame:

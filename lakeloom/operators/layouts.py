@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .codec_sizes import posting_bytes
 from .dictionary import blocks, front_sizes, incremental_sizes
-from .index import pieces, running
+from ..ranges import running
+from .index import pieces
 
 #: Bytes of a plain location (three 32-bit ids) and of a key's length or offset.
 LOCATION_BYTES, WORD = 12, 4

@@ -73,3 +73,8 @@ def array_pieces(arrays: DataFrame, size: int = 65_536) -> DataFrame:
 
 def length_between(arrays: DataFrame, least: int, most: int) -> DataFrame:
     return arrays.where(F.size("a").between(least, most))
+
+
+def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows by order: each task keeps n at most."""
+    return df.orderBy(*order).limit(n)

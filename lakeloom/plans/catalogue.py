@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import codecs
 from ..functions.bits import base_name, byte_width, ceil_div, low_high, shared_prefix, split_any, varint_bytes, width, width_least_one
 from ..operators import arrays, codec_sizes, dictionary, encoded, generators, index, layouts, order, profile
+from ..ranges import numbered
 from ..session import ship
 from ..sources import lake
 from ..streaming import windows
@@ -112,18 +113,12 @@ register("profile_info", f"WITH {CELLS} SELECT count(*) AS rows, count(DISTINCT
 for _short, _col in (("rows", "rowid"), ("cols", "colid"), ("tables", "tableid")):
     register(f"hist_linear_{_short}", f"WITH {CELLS}, h AS (SELECT least({_col} // 16, 255) AS bin, count(*) AS n FROM cells GROUP BY 1) SELECT b AS bin, coalesce(n, 0) AS n FROM range(256) r(b) LEFT JOIN h ON bin = b")(lambda s, d, c=_col: profile.linear_histogram(_cells(s, d), c))
     register(f"hist_bitwidth_{_short}", f"WITH {CELLS}, h AS (SELECT CASE WHEN {_col} <= 1 THEN 1 ELSE length(bin({_col})) END AS w, count(*) AS n FROM cells GROUP BY 1) SELECT b AS width, coalesce(n, 0) AS n FROM range(1, 65) r(b) LEFT JOIN h ON w = b")(lambda s, d, c=_col: profile.width_histogram(_cells(s, d), c))
-_CARDS = {"lineitem": ["l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]}
+_CARDS = {"lineitem": lake.COLUMNS_OF["lineitem"]}
 _CARDS_SQL = "c AS (" + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS col_idx, '{c}' AS name, count(DISTINCT {c}) AS card FROM lineitem" for i, c in enumerate(_CARDS["lineitem"])) + ")"
 _cards = lambda s, d: profile.cardinalities(lake.table(s, d, "lineitem"), _CARDS["lineitem"])
 register("column_cardinality_order", f"WITH {_CARDS_SQL} SELECT col_idx, name, card, row_number() OVER (ORDER BY card, col_idx) AS rank_up, row_number() OVER (ORDER BY card DESC, col_idx DESC) AS rank_down FROM c")(lambda s, d: _cards(s, d).selectExpr("col_idx", "name", "card", "CAST(row_number() OVER (ORDER BY card, col_idx) AS BIGINT) AS rank_up", "CAST(row_number() OVER (ORDER BY card DESC, col_idx DESC) AS BIGINT) AS rank_down"))
 register("columns_below_topk", f"WITH {_CARDS_SQL} SELECT * FROM c WHERE card < greatest(5, (SELECT card FROM c ORDER BY card DESC LIMIT 1 OFFSET 2))")(lambda s, d: profile.below_top(_cards(s, d), 3, 5))
 register("total_attribute_values", f"WITH {_CARDS_SQL} SELECT CAST(sum(card) AS BIGINT) AS total_values FROM c")(lambda s, d: profile.total_values(_cards(s, d)))
-_EVERY = lake.COLUMNS_OF["lineitem"]
-_EVERY_SQL = "c AS (" + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS col_idx, '{c}' AS name, count(DISTINCT {c}) AS card FROM lineitem" for i, c in enumerate(_EVERY)) + ")"
-_every = lambda s, d: profile.cardinalities(lake.table(s, d, "lineitem"), _EVERY)
-register("column_cardinality_order_every", ORACLES["column_cardinality_order"].replace(_CARDS_SQL, _EVERY_SQL))(lambda s, d: _every(s, d).selectExpr("col_idx", "name", "card", "CAST(row_number() OVER (ORDER BY card, col_idx) AS BIGINT) AS rank_up", "CAST(row_number() OVER (ORDER BY card DESC, col_idx DESC) AS BIGINT) AS rank_down"))
-register("columns_below_topk_every", ORACLES["columns_below_topk"].replace(_CARDS_SQL, _EVERY_SQL))(lambda s, d: profile.below_top(_every(s, d), 3, 5))
-register("total_attribute_values_every", ORACLES["total_attribute_values"].replace(_CARDS_SQL, _EVERY_SQL))(lambda s, d: profile.total_values(_every(s, d)))
 _VALUES_SQL = "u AS (SELECT 'type' AS col, p_type AS v FROM part UNION ALL SELECT 'brand', p_brand FROM part UNION ALL SELECT 'size', CAST(p_size AS VARCHAR) FROM part)"
 _values = lambda s, d: lake.table(s, d, "part").selectExpr("stack(3, 'type', p_type, 'brand', p_brand, 'size', CAST(p_size AS STRING)) AS (col, v)")
 register("csv_freq_codes", f"WITH {_VALUES_SQL} SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY count(*) DESC, v DESC) - 1 AS code FROM u GROUP BY col, v")(lambda s, d: profile.frequency_codes(_values(s, d), "col", "v"))
@@ -131,7 +126,8 @@ register("csv_domain_codes", f"WITH {_VALUES_SQL} SELECT col, v, row_number() OV
 
 # order, samples
 
-register("sort_order_rank", f"WITH {CELLS} SELECT *, row_number() OVER (ORDER BY tokenized, tableid, colid, rowid) - 1 AS rank FROM cells")(lambda s, d: lake.numbered(_cells(s, d), order.CELL_ORDER, "rank"))
+register("sort_order_rank", f"WITH {CELLS} SELECT *, row_number() OVER (ORDER BY tokenized, tableid, colid, rowid) - 1 AS rank FROM cells")(lambda s, d: numbered(_cells(s, d), order.CELL_ORDER, "rank"))
+register("sort_stop_after", f"WITH {CELLS} SELECT * FROM cells ORDER BY tokenized, tableid, colid, rowid LIMIT 1000")(lambda s, d: order.first_rows(_cells(s, d), order.CELL_ORDER, 1000))
 _UNSORTED = "v AS (SELECT c_custkey - 1 AS pos, c_mktsegment AS cur, lag(c_mktsegment) OVER (ORDER BY c_custkey) AS prev FROM customer)"
 _customers = lambda s, d: lake.table(s, d, "customer").selectExpr("c_custkey - 1 AS pos", "c_mktsegment AS v")
 register("check_sorted_violations", f"WITH {_UNSORTED} SELECT pos, prev, cur FROM v WHERE prev > cur")(lambda s, d: order.violations(_customers(s, d), "pos", "v", 100))
@@ -140,8 +136,7 @@ register("sample_hash_10pct", f"WITH {CELLS} SELECT * FROM cells WHERE (tableid
 register("sample_random", None)(lambda s, d: order.random_sample(_cells(s, d), 0.1))
 _STORED = ["lake", "lake-0.5", "lake-0.1", "lake-0.01"]
 register("sample_pick_best", "SELECT w::DOUBLE AS wanted, min(f)::DOUBLE AS stored, round(w::DOUBLE / min(f)::DOUBLE, 9) AS remaining FROM (VALUES (0.7), (0.3), (0.1), (0.05), (0.002)) x(w) JOIN (VALUES (1.0), (0.5), (0.1), (0.01)) y(f) ON f >= w GROUP BY w")(lambda s, d: order.pick_sample(s.createDataFrame([(n,) for n in _STORED], "name string").select(order.stored_factor(F.col("name")).alias("factor")), s.createDataFrame([(x,) for x in (0.7, 0.3, 0.1, 0.05, 0.002)], "wanted double")))
-register("shuffle_in_blocks", f"WITH {SORTED_SQL} SELECT * FROM a WHERE array_id = 3")(lambda s, d: order.shuffle_in_blocks(_sorted(s, d).where("array_id = 3"), "pos", 16))
-register("shuffle_in_blocks_every", f"WITH {SORTED_SQL} SELECT * FROM a")(lambda s, d: order.shuffle_in_blocks(_sorted(s, d), "pos", 16, by=("array_id",)))
+register("shuffle_in_blocks", f"WITH {SORTED_SQL} SELECT * FROM a")(lambda s, d: order.shuffle_in_blocks(_sorted(s, d), "pos", 16, by=("array_id",)))
 
 # scalars
 
@@ -153,13 +148,15 @@ register("scalar_text", "SELECT p_partkey, list_extract(string_split(replace(p_n
 _dict = lambda s, d, b=16: dictionary.blocks(_cells(s, d).select(F.col("tokenized").alias("key")).distinct(), b)
 _K16, _K8 = KEYS16.format(16, "cells"), KEYS16.format(8, "cells")
 _LCP = "CAST(coalesce(list_max([i FOR i IN range(0, least(length({0}), length({1})) + 1) IF left({0}, i) = left({1}, i)]), 0) // 2 AS BIGINT)"
+def _key_at(spark: SparkSession, held: DataFrame) -> DataFrame:
+    return dictionary.key_at(held, spark.range(held.count()).select(F.col("id").alias("pos")))
+
+
 register("dict_blocks", f"WITH {CELLS}, {_K16} SELECT block_id, count(*) AS n, min(key) AS first_key, max(key) AS last_key FROM k GROUP BY block_id")(lambda s, d: dictionary.block_heads(_dict(s, d)))
 register("dict_front_bytes", f"WITH {CELLS}, {_K8}, p AS (SELECT block_id, min(hex(encode(key))) AS x, max(hex(encode(key))) AS y FROM k GROUP BY block_id), q AS (SELECT block_id, {_LCP.format('x', 'y')} AS prefix FROM p) SELECT block_id, prefix, CAST({VB.format('prefix')} + prefix + sum({VB.format('(octet_length(encode(key)) - prefix)')} + octet_length(encode(key)) - prefix) AS BIGINT) AS bytes FROM k JOIN q USING (block_id) GROUP BY block_id, prefix")(lambda s, d: dictionary.front_sizes(_dict(s, d, 8)))
 register("dict_incr_bytes", f"WITH {CELLS}, {_K16}, p AS (SELECT block_id, octet_length(encode(key)) AS n, hex(encode(key)) AS x, lag(hex(encode(key))) OVER (PARTITION BY block_id ORDER BY pos) AS y FROM k), q AS (SELECT block_id, n, y IS NULL AS first, CASE WHEN y IS NULL THEN 0 ELSE {_LCP.format('x', 'y')} END AS lcp FROM p) SELECT block_id, CAST(sum(lcp) AS BIGINT) AS shared, CAST(sum(CASE WHEN first THEN {VB.format('n')} + n ELSE {VB.format('lcp')} + {VB.format('(n - lcp)')} + n - lcp END) AS BIGINT) AS bytes FROM q GROUP BY block_id")(lambda s, d: dictionary.incremental_sizes(_dict(s, d)))
 register("dict_lookup_block", f"WITH {CELLS}, {_K16}, {PROBES_SQL} SELECT key, block_id, pos FROM probes JOIN k USING (key)")(lambda s, d: dictionary.find(_dict(s, d), _probes(s)))
-register("dict_key_at", f"WITH {CELLS}, {_K16} SELECT pos, key FROM k WHERE pos % 97 = 5")(lambda s, d: dictionary.key_at(_dict(s, d), s.range(5, 1_000_000, 97).select(F.col("id").alias("pos"))))
-ORACLES["dict_key_at"] = f"WITH {CELLS}, {_K16} SELECT pos, key FROM k WHERE pos % 97 = 5 AND pos < 1000000"
-register("dict_key_at_every", f"WITH {CELLS}, {_K16} SELECT pos, key FROM k")(lambda s, d: dictionary.key_at(_dict(s, d), s.range(_dict(s, d).count()).select(F.col("id").alias("pos"))))
+register("dict_key_at", f"WITH {CELLS}, {_K16} SELECT pos, key FROM k")(lambda s, d: _key_at(s, _dict(s, d)))
 register("dict_value_at", f"WITH {CELLS}, {_K16} SELECT pos, key, CAST(length(key) AS BIGINT) AS value FROM k")(lambda s, d: dictionary.with_values(_dict(s, d), _cells(s, d).select(F.col("tokenized").alias("key")).distinct().withColumn("value", F.length("key").cast("long"))))
 register("shared_prefixes", "WITH w AS (SELECT n_name AS a, lag(n_name) OVER (ORDER BY n_name) AS b FROM nation), h AS (SELECT a, b, hex(encode(a)) AS x, hex(encode(b)) AS y FROM w WHERE b IS NOT NULL) SELECT a, b, " + _LCP.format("x", "y") + " AS n FROM h")(lambda s, d: lake.table(s, d, "nation").selectExpr("n_name AS a", "lag(n_name) OVER (ORDER BY n_name) AS b").where("b IS NOT NULL").select("a", "b", shared_prefix(F.col("a"), F.col("b")).alias("n")))
 
@@ -229,6 +226,11 @@ register("codec_summary_real", _SUMMED)(lambda s, d: _trips(s, d, ["copy", "vari
 for _n in codecs.CODECS:
     register(f"codec_roundtrip_{_n}", f"WITH {MIXED_SQL} SELECT '{_n}' AS codec, count(DISTINCT array_id) AS arrays, count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM a")(lambda s, d, n=_n: _trips(s, d, [n]).select("codec", "arrays", "n", "mismatches"))
 
+_DELTA = ["varint", "fastbinarypacking32", "simdfastpfor128", "vsencoding", "snappy"]
+_DELTA_SQL = f"c AS (SELECT unnest({_DELTA}) AS codec)"
+register("codec_roundtrip_delta", f"WITH {SORTED_SQL}, {_DELTA_SQL} SELECT codec, count(DISTINCT array_id) AS arrays, count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM a, c GROUP BY codec")(lambda s, d: codecs.summary(codecs.round_trip(arrays.as_arrays(_sorted(s, d)), _DELTA, delta=True)).select("codec", "arrays", "n", "mismatches"))
+register("codec_delta_refused", f"WITH {MIXED_SQL}, x AS (SELECT array_id, v < lag(v) OVER (PARTITION BY array_id ORDER BY pos) AS down FROM a) SELECT array_id, count(*) AS n FROM x GROUP BY array_id HAVING bool_or(coalesce(down, false))")(lambda s, d: codecs.round_trip(arrays.as_arrays(_mixed(s, d)), ["copy"], delta=True).where("words IS NULL").select("array_id", "n"))
+
 # generators: compared by shape in tests
 
 register("gen_uniform", None)(lambda s, d: generators.uniform(s, 4096, 1 << 17))

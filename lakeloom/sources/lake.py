@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..ranges import numbered
 from ..session import ship
 
 #: Tables of the lake by tableid, with the key that is unique and integer (None: rows are numbered by ORDER_OF).
@@ -44,25 +45,6 @@ def as_text(name: str) -> Column:
     return (F.col(name).cast("decimal(18,2)") if name in DOUBLES else F.col(name)).cast("string")
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "rowid", parts: int = 64) -> DataFrame:
-    """df with a long column 0, 1, 2, ... by `order` (which must be total), without one task that sorts all.
-
-    Bounds that split the order into `parts` ranges are taken from a bounded sample (4096 rows by hash) and become literals, so
-    every evaluation deals the rows alike; each range is numbered by itself and starts where the ranges before it end.
-    """
-    key = F.struct(*order)
-    sample = sorted(df.select(F.struct(*order).alias("k"), F.xxhash64(*order).alias("h")).orderBy("h").limit(4096).select("k.*").collect(), key=lambda r: tuple((v is not None, v) for v in r))
-    picked = [sample[i * len(sample) // parts] for i in range(1, parts)] if len(sample) > parts else []
-    types = dict(df.select(*order).dtypes)
-    bounds = [F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, r, strict=True)]) for r in dict.fromkeys(picked)]
-    part = F.size(F.filter(F.array(*bounds), lambda b: b <= key)) if bounds else F.lit(0)
-    dealt = df.withColumn("_part", part)
-    counts = dealt.groupBy("_part").count()
-    starts = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inside = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    return inside.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_i")).cast("long")).drop("_part", "_start", "_i")
-
-
 def flatten(df: DataFrame, tableid: int, columns: list[str], rowid: Column) -> DataFrame:
     """One row for each cell that is not null."""
     cells = df.select(rowid.cast("long").alias("rowid"), F.posexplode(F.array(*[as_text(c) for c in columns])).alias("colid", "tokenized"))
@@ -77,7 +59,7 @@ def cells(spark: SparkSession, sf_dir: str, tables: list[str] = DEFAULT) -> Data
         if name in KEY_OF:
             found.append(flatten(df, TABLES.index(name), COLUMNS_OF[name], F.col(KEY_OF[name])))
         else:
-            found.append(flatten(numbered(df, ORDER_OF[name]), TABLES.index(name), COLUMNS_OF[name], F.col("rowid")))
+            found.append(flatten(numbered(df, ORDER_OF[name], "rowid"), TABLES.index(name), COLUMNS_OF[name], F.col("rowid")))
     return reduce(DataFrame.unionByName, found)
 
 
