@@ -1,38 +1,5 @@
-"""Tables written to the shared folder, so that later steps don't depend on executors that may be lost."""
+"""Tables written to the shared folder."""
 
-from __future__ import annotations
+from ..store import dropped, shared_dir, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where it is unset a temporary one is made and set, on one machine only."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="lakeloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df, written as Parquet into the shared folder and read again: cuts the lineage and is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lakeloom-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    found._lakeloom_path = path
-    return found
-
-
-def dropped(*tables: DataFrame | None) -> None:
-    """Deletes tables that written() made and that nothing reads any more."""
-    for df in tables:
-        if df is not None:
-            context = df.sparkSession.sparkContext
-            path = context._jvm.org.apache.hadoop.fs.Path(df._lakeloom_path)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["dropped", "shared_dir", "written"]
