@@ -2,8 +2,9 @@
 
 A unit of text is normalised to lower-case words of letters and digits. Its set of word bigrams is compared to each template's by
 Dice's coefficient, 2 * common / (size + template's size). A coefficient of t or more needs a size between t / (2 - t) and
-(2 - t) / t times the template's, so templates outside these bounds are left out, and so are those of which a unit has too few
-bigrams for its size, before single sets are intersected.
+(2 - t) / t times the template's, so templates outside these bounds are left out before any set is intersected. And it needs at
+least the lower bound's number of bigrams in common; where a whole text has fewer, none of its units can have them, so only texts
+that have as many of some template are parted into units.
 
 Units are lines, paragraphs, the whole text, and of each template the best run: consecutive sentences and lines, with no more words
 than (2 - t) / t times the template's. So a licence of several paragraphs in the middle of a text is found, and a notice inside a
@@ -104,10 +105,6 @@ TEMPLATES: list[tuple[str, str, str]] = [
 ]
 
 
-#: From this many bigrams on a unit's are intersected with those of all templates together first. This changes the work only.
-LONG = 40
-
-
 def words_of(text: str) -> list[str]:
     return re.sub(r"[\W_]+", " ", text.lower()).split()
 
@@ -139,7 +136,7 @@ def _table(templates: list[tuple[str, str, str]], percent: int) -> str:
         held = bigrams(text)
         low, high = bounds(len(held), percent)
         rows.append(
-            f"named_struct('template', {_quoted(name)}, 'licence', {_quoted(licence)}, 'low', {low}, 'high', {high}, 'size', {len(held)}, 'words', {most_words(text, percent)}, 'bigrams', array({', '.join(map(_quoted, held))}))"
+            f"named_struct('template', {_quoted(name)}, 'licence', {_quoted(licence)}, 'low', {low}, 'high', {high}, 'words', {most_words(text, percent)}, 'bigrams', array({', '.join(map(_quoted, held))}))"
         )
     return f"array({', '.join(rows)})"
 
@@ -178,7 +175,7 @@ def _runs(percent: int) -> str:
     run = _let(
         h="array_distinct(slice(g, a + 1, e - a))",
         both="size(array_intersect(h, t.bigrams))",
-        out="named_struct('d', -2D * both / (size(h) + t.size), 'long', e - a, 'a', a, 'e', e, 'common', both, 'total', size(h) + t.size, 'template', t.template, 'licence', t.licence)",
+        out="named_struct('d', -2D * both / (size(h) + size(t.bigrams)), 'long', e - a, 'a', a, 'e', e, 'common', both, 'total', size(h) + size(t.bigrams), 'template', t.template, 'licence', t.licence)",
     )
     best = _let(
         hit="filter(sequence(0, size(g) - 1), k -> array_contains(t.bigrams, g[k]))",
@@ -216,19 +213,23 @@ def scan(docs: DataFrame, percent: int = 80, templates: list[tuple[str, str, str
     least = min(bounds(len(bigrams(t)), percent)[0] for _, _, t in templates)
     every = ", ".join(map(_quoted, sorted({g for _, _, t in templates for g in bigrams(t)})))
     table = _table(templates, percent)
-    plain = _once(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), plain=_PLAIN.format("lower(text)"))
-    units = plain.select("doc_id", F.explode(F.expr(_units())).alias("u")).select("doc_id", "u.unit", "u.body")
-    # a unit has one blank fewer than words, and no more bigrams than blanks
-    held = units.where(F.length("unit") - F.length(F.replace("unit", F.lit(" "), F.lit(""))) >= least)
-    sets = _once(held, w="split(unit, ' ')", b="array_distinct(transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i])))").drop("w")
-    sets = sets.select("doc_id", "unit", "body", "b", F.size("b").alias("n"))
-    sets = _once(sets, h=f"if(n < {LONG}, b, array_intersect(b, array({every})))").drop("b")
-    # 200 * common >= percent * (n + size), with no more in common than h and the template have
-    wanted = f"filter({table}, t -> n between t.low and t.high and 200 * size(h) >= {percent} * (n + t.size))"
-    alone = f"transform({wanted}, t -> named_struct('unit', unit, 'template', t.template, 'licence', t.licence, 'common', size(array_intersect(h, t.bigrams)), 'total', n + t.size))"
-    inside = f"filter({table}, t -> size(h) >= t.low and size(array_intersect(h, t.bigrams)) >= t.low)"
-    within = _once(sets, ts=f"if(body is null, array(), {inside})")
-    compared = within.select("doc_id", F.explode(F.expr(f"concat({alone}, if(size(ts) > 0, {_runs(percent)}, array()))")).alias("m"))
+    grams = "array_distinct(transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i])))"
+
+    def sets(rows: DataFrame) -> DataFrame:
+        """rows with b, the bigrams of `unit`. It has one blank fewer than words, and no more bigrams than blanks."""
+        held = rows.where(F.length("unit") - F.length(F.replace("unit", F.lit(" "), F.lit(""))) >= least)
+        return _once(held, w="split(unit, ' ')", b=grams).drop("w")
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    whole = sets(_once(texts, plain=_PLAIN.format("lower(text)"), unit=_WHOLE.format("plain")))
+    known = _once(whole, h=f"array_intersect(b, array({every}))").select("doc_id", "text", "plain", "h")
+    within = f"filter({table}, t -> size(h) >= t.low and size(array_intersect(h, t.bigrams)) >= t.low)"
+    likely = _once(known, names=f"transform({within}, t -> t.template)").where("size(names) > 0")
+    units = sets(likely.select("doc_id", "names", F.explode(F.expr(_units())).alias("u")).select("doc_id", "names", "u.unit", "u.body"))
+    near = f"filter({table}, t -> size(b) between t.low and t.high)"
+    alone = f"transform({near}, t -> named_struct('unit', unit, 'template', t.template, 'licence', t.licence, 'common', size(array_intersect(b, t.bigrams)), 'total', size(b) + size(t.bigrams)))"
+    runs = _let(ts=f"filter({table}, t -> array_contains(names, t.template))", out=_runs(percent))
+    compared = units.select("doc_id", F.explode(F.expr(f"concat({alone}, if(body is null, array(), {runs}))")).alias("m"))
     hits = compared.where(f"200 * m.common >= {percent} * m.total").select("doc_id", "m.unit", "m.licence", "m.template", (F.lit(2.0) * F.col("m.common") / F.col("m.total")).alias("dice"))
     # of one unit only the best licence counts: a notice of one is near that of its kin
     first = F.min(F.struct((-F.col("dice")).alias("d"), F.col("licence").alias("l"), F.col("template").alias("t"))).alias("x")
