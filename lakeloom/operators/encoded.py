@@ -1,24 +1,42 @@
-"""Index layouts as real bytes: a key table and a posting table, and lookups that decode."""
+"""Index layouts as real bytes: coded keys by position, postings by position (in arenas where the layout has one), and lookups."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import blocks as bytes_of
-from .dictionary import blocks
+from ..ranges import latest, numbered, running
+from ..store import dropped, written
 from .index import pieces
-from .layouts import layout
+from .layouts import LAYOUTS, layout
+from .order import CELL_ORDER
 
 #: Keys from which a book of fragments is learned (those with the smallest hash).
 BOOK_KEYS = 2_000
-_CODE = {"incr_adv+dedup+ns_adv": "gve_split"}
+#: Bytes of a buffer; a slice lies in the buffer in which it starts, so one is longer by a slice at most.
+ARENA = 1 << 20
+_CELLS = "tokenized string, tableid long, colid long, rowid long"
 
 
-def posting_code(name: str) -> str:
-    return _CODE.get(name, layout(name).postings)
+@dataclass(frozen=True)
+class Index:
+    """keys(block_id, first_key, data); postings(pos, piece, payload), or slices(pos, piece, arena_id, start, length) of
+    arenas(arena_id, base, data). A key's position is block_id * block + its place in the block."""
+
+    name: str
+    keys: DataFrame
+    postings: DataFrame | None
+    slices: DataFrame | None
+    arenas: DataFrame | None
+    book: bytes_of.ShortStrings | None
+
+    def drop(self) -> None:
+        """Deletes the tables of an index that was built with keep."""
+        dropped(self.keys, self.postings, self.slices, self.arenas)
 
 
 def learn_book(cells: DataFrame) -> bytes_of.ShortStrings:
@@ -26,24 +44,31 @@ def learn_book(cells: DataFrame) -> bytes_of.ShortStrings:
     return bytes_of.ShortStrings.learned([r.tokenized for r in rows])
 
 
-def encode_postings(cells: DataFrame, name: str) -> DataFrame:
-    """(tokenized, piece, payload): location lists as bytes. Layouts that repeat keys have a payload for each cell."""
-    how = posting_code(name)
-    if layout(name).once:
-        lists = pieces(cells).select("tokenized", F.struct("tableid", "colid", "piece").cast("string").alias("piece"), F.flatten(F.transform("locs", lambda x: F.array(x.tableid, x.colid, x.rowid))).alias("ints"))
-    else:
-        lists = cells.select("tokenized", F.lit("").alias("piece"), F.array("tableid", "colid", "rowid").alias("ints"))
+def placed(cells: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """keys(pos, key) and lists(pos, piece, ints). Positions go by text where keys are stored once, by cell where they repeat."""
+    ids = lambda x: F.array(x.tableid, x.colid, x.rowid)
+    if not layout(name).once:
+        rows = numbered(cells.select(*CELL_ORDER), CELL_ORDER, "pos")
+        return rows.select("pos", F.col("tokenized").alias("key")), rows.select("pos", F.lit("").alias("piece"), F.array("tableid", "colid", "rowid").alias("ints"))
+    keys = numbered(cells.select(F.col("tokenized").alias("key")).distinct(), ["key"], "pos")
+    lists = pieces(cells).join(keys.withColumnRenamed("key", "tokenized"), "tokenized")
+    return keys.select("pos", "key"), lists.select("pos", F.concat_ws("/", "tableid", "colid", "piece").alias("piece"), F.flatten(F.transform("locs", ids)).alias("ints"))
+
+
+def encode_postings(lists: DataFrame, name: str) -> DataFrame:
+    """(pos, piece, payload): location lists as bytes."""
+    how = layout(name).postings
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"tokenized": frame.tokenized, "piece": frame.piece, "payload": [bytes_of.encode_postings([int(x) for x in i], how) for i in frame.ints]})
+            yield pd.DataFrame({"pos": frame.pos, "piece": frame.piece, "payload": [bytes_of.encode_postings([int(x) for x in i], how) for i in frame.ints]})
 
-    return lists.mapInPandas(rows, "tokenized string, piece string, payload binary")
+    return lists.mapInPandas(rows, "pos long, piece string, payload binary")
 
 
 def decode_postings(postings: DataFrame, name: str) -> DataFrame:
-    """The cells of encode_postings's rows."""
-    how = posting_code(name)
+    """The cells of postings(tokenized, payload)."""
+    how = layout(name).postings
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -53,14 +78,14 @@ def decode_postings(postings: DataFrame, name: str) -> DataFrame:
                 out += [(key, *ints[i : i + 3]) for i in range(0, len(ints), 3)]
             yield pd.DataFrame(out, columns=["tokenized", "tableid", "colid", "rowid"])
 
-    return postings.select("tokenized", "payload").mapInPandas(rows, "tokenized string, tableid long, colid long, rowid long")
+    return postings.select("tokenized", "payload").mapInPandas(rows, _CELLS)
 
 
-def encode_keys(cells: DataFrame, name: str, book: bytes_of.ShortStrings | None = None) -> DataFrame:
-    """(block_id, first_key, data): the distinct keys of a layout in coded blocks (blocks of one key for plain and short keys)."""
+def encode_keys(keys: DataFrame, name: str, book: bytes_of.ShortStrings | None = None) -> DataFrame:
+    """(block_id, first_key, data): keys(pos, key) in coded blocks (blocks of one key for plain and short keys)."""
     x = layout(name)
-    keys = blocks(cells.select(F.col("tokenized").alias("key")).distinct(), max(1, x.block))
-    held = keys.groupBy("block_id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    block = F.floor(F.col("pos") / max(1, x.block)).cast("long").alias("block_id")
+    held = keys.groupBy(block).agg(F.array_sort(F.collect_list("key")).alias("keys"))
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -99,14 +124,101 @@ def _bytes_keys(data: bytes, how: str, book: bytes_of.ShortStrings | None) -> li
     return [book.decode(data) if how == "short" else data.decode()]
 
 
-def round_trip(cells: DataFrame, name: str) -> DataFrame:
-    """The cells after a layout's keys and postings were written as bytes and read back."""
+def in_arenas(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """slices(pos, piece, arena_id, start, length) and arenas(arena_id, base, data): payloads one after the other by position."""
+    rows = running(postings.withColumn("length", F.octet_length("payload").cast("long")), ["pos", "piece"], "length")
+    rows = rows.withColumn("arena_id", F.floor(F.col("start") / ARENA).cast("long"))
+    held = rows.groupBy("arena_id").agg(F.min("start").alias("base"), F.array_sort(F.collect_list(F.struct("start", "payload"))).alias("held"))
+    joined = F.unhex(F.array_join(F.transform("held", lambda x: F.hex(x.payload)), ""))
+    return rows.select("pos", "piece", "arena_id", "start", "length"), held.select("arena_id", "base", joined.alias("data"))
+
+
+def build(cells: DataFrame, name: str, keep: bool = False) -> Index:
+    """The index of a layout; keep: its tables are written, so that lookups read bytes."""
+    held = written if keep else (lambda df: df)
     book = learn_book(cells) if layout(name).keys == "short" else None
-    keys = decode_keys(encode_keys(cells, name, book), name, book).select(F.col("key").alias("tokenized"))
-    return decode_postings(encode_postings(cells, name).join(keys, "tokenized", "left_semi"), name)
+    keys, lists = placed(cells, name)
+    coded, postings = held(encode_keys(keys, name, book)), encode_postings(lists, name)
+    if not layout(name).arena:
+        return Index(name, coded, held(postings), None, None, book)
+    slices, arenas = in_arenas(postings)
+    return Index(name, coded, None, held(slices), held(arenas), book)
+
+
+def payloads(index: Index, places: DataFrame) -> DataFrame:
+    """(tokenized, payload) of places(pos, key): read by position, out of the arenas where there are some."""
+    at = places.select("pos", F.col("key").alias("tokenized"))
+    if index.arenas is None:
+        return index.postings.join(at, "pos").select("tokenized", "payload")
+    slice_ = F.expr("substring(data, CAST(start - base + 1 AS INT), CAST(length AS INT))")
+    return index.slices.join(at, "pos").join(index.arenas, "arena_id").select("tokenized", slice_.alias("payload"))
 
 
-def lookup(cells_index: DataFrame, name: str, keys: DataFrame) -> DataFrame:
-    """Cells of keys(key) from encoded postings: only the payloads found are decoded."""
-    found = cells_index.join(keys, cells_index.tokenized == keys.key, "left_semi")
-    return decode_postings(found, name)
+def round_trip(cells: DataFrame, name: str) -> DataFrame:
+    """The cells after a layout's keys and postings were made bytes and read back; texts come from the coded keys only."""
+    index = build(cells, name)
+    return decode_postings(payloads(index, decode_keys(index.keys, name, index.book)), name)
+
+
+def find_keys(index: Index, probes: DataFrame) -> DataFrame:
+    """(pos, key) of those of probes(key) that the index holds.
+
+    Plain and short keys: the probe is coded and compared with coded keys. Blocks: the last one that starts below the probe and all that
+    start with it (repeated keys) are candidates; only these are decoded.
+    """
+    x, book, wanted = layout(index.name), index.book, probes.select("key").distinct()
+    if not x.block:
+
+        def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield pd.DataFrame({"key": frame.key, "data": [_key_bytes([k], x.keys, book) for k in frame.key]})
+
+        return index.keys.join(wanted.mapInPandas(coded, "key string, data binary"), "data").select(F.col("block_id").alias("pos"), "key")
+    heads = index.keys.select(F.col("first_key").alias("key"), F.col("block_id").alias("blk"), F.lit(1).alias("flag"))
+    mixed = heads.unionByName(wanted.select("key", F.lit(None).cast("long").alias("blk"), F.lit(0).alias("flag")))
+    below = latest(mixed, ["key", "flag", "blk"], "blk", "block_id").where("flag = 0 AND block_id IS NOT NULL").select("key", "block_id")
+    same = wanted.join(heads, "key").select("key", F.col("blk").alias("block_id"))
+    candidates = below.unionByName(same).join(index.keys.select("block_id", "data"), "block_id")
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for key, block, data in zip(frame.key, frame.block_id, frame.data, strict=True):
+                out += [(block * x.block + i, key) for i, k in enumerate(_bytes_keys(bytes(data), x.keys, book)) if k == key]
+            yield pd.DataFrame(out, columns=["pos", "key"]).astype({"pos": "int64"})
+
+    return candidates.select("key", "block_id", "data").mapInPandas(search, "pos long, key string")
+
+
+def lookup(index: Index, probes: DataFrame) -> DataFrame:
+    """Cells of probes(key): coded keys are searched, and only the payloads found are decoded."""
+    return decode_postings(payloads(index, find_keys(index, probes)), index.name)
+
+
+def real_sizes(cells: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(layout, cells, keys, blocks, payloads, key_bytes, posting_bytes), counted from the bytes themselves. Layouts that store keys or postings
+    alike share one count."""
+    names = list(LAYOUTS) if names is None else names
+    spark = cells.sparkSession
+    total = cells.agg(F.count("*").alias("cells"))
+    keyed, posted = {}, {}
+    for name in names:
+        x = layout(name)
+        keys, lists = placed(cells, name)
+        k, p = f"{x.keys}/{x.once}/{x.block}", f"{x.postings}/{x.once}"
+        if k not in keyed:
+            book = learn_book(cells) if x.keys == "short" else None
+            coded = encode_keys(keys, name, book).agg(F.count("*").alias("blocks"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).cast("long").alias("key_bytes"))
+            keyed[k] = coded.crossJoin(keys.agg(F.count("*").alias("keys"))).select(F.lit(k).alias("k"), "keys", "blocks", "key_bytes")
+        if p not in posted:
+            posted[p] = encode_postings(lists, name).agg(F.lit(p).alias("p"), F.count("*").alias("payloads"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).cast("long").alias("posting_bytes"))
+    which = spark.createDataFrame([(n, f"{layout(n).keys}/{layout(n).once}/{layout(n).block}", f"{layout(n).postings}/{layout(n).once}") for n in names], "layout string, k string, p string")
+    one = lambda frames: written(_union(list(frames.values())))
+    return which.join(one(keyed), "k").join(one(posted), "p").crossJoin(F.broadcast(total)).select("layout", "cells", "keys", "blocks", "payloads", "key_bytes", "posting_bytes")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
+    return out

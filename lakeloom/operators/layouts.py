@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.bits import byte_width, ceil_div, varint_bytes
+from ..ranges import numbered, running
 from .codec_sizes import posting_bytes
-from .dictionary import blocks, front_sizes, incremental_sizes
-from ..ranges import running
-from .index import pieces
-
-#: Bytes of a plain location (three 32-bit ids) and of a key's length or offset.
-LOCATION_BYTES, WORD = 12, 4
+from .dictionary import front_sizes, incremental_sizes
+from .index import PIECE
+from .order import CELL_ORDER
 
 
 @dataclass(frozen=True)
 class Layout:
-    """keys: plain, short, front or incr; once: each key is stored once; postings: plain, gve, vbyte, pfor or pfor_split."""
+    """keys: plain, short, front or incr; once: each key is stored once; postings: plain, gve, gve_split, vbyte, pfor or pfor_split;
+    block: keys coded together; arena: payloads lie in buffers."""
 
     keys: str
     once: bool
@@ -44,7 +44,7 @@ LAYOUTS: dict[str, Layout] = {
     "incr+dedup": Layout("incr", True, "plain", 16),
     "incr+dedup+ns": Layout("incr", True, "gve", 16),
     "incr_adv+dedup+ns": Layout("incr", True, "gve", 16),
-    "incr_adv+dedup+ns_adv": Layout("incr", True, "gve", 16),
+    "incr_adv+dedup+ns_adv": Layout("incr", True, "gve_split", 16),
     "vbyte+ns+dedup": Layout("plain", True, "vbyte"),
     "pfor+dedup": Layout("plain", True, "pfor", arena=True),
     "pfor_split+dedup": Layout("plain", True, "pfor_split", arena=True),
@@ -59,31 +59,57 @@ def layout(name: str) -> Layout:
     return LAYOUTS[name]
 
 
-def build(cells: DataFrame, name: str) -> DataFrame:
-    """The index of a layout as rows: cells sorted by text where keys repeat, sorted location pieces where they don't."""
-    return pieces(cells) if layout(name).once else cells.sortWithinPartitions("tokenized", "tableid", "colid", "rowid")
-
-
 def arena_offsets(cells: DataFrame) -> DataFrame:
     """(tokenized, start, length): each text's slice of one buffer of group-varint postings in the order of texts."""
     sized = posting_bytes(cells).select("tokenized", F.col("gve").alias("length"))
     return running(sized, "tokenized", "length").select("tokenized", "start", "length")
 
 
+#: The layouts whose sizes a model gives; short keys depend on a learned book, pfor on the values of each block.
+MODELLED = [n for n, x in LAYOUTS.items() if x.keys != "short" and not x.postings.startswith("pfor")]
+
+
+def _grouped_bytes(n: Column, widths: Column) -> Column:
+    """Bytes of n group varints whose byte widths sum up to `widths`: a word that counts them, widths, values, whole words."""
+    return 4 * ceil_div(4 + ceil_div(n, 4) + widths, 4)
+
+
+def _framed_bytes(size: Column) -> Column:
+    return varint_bytes(size) + size
+
+
+def payload_sizes(lists: DataFrame) -> DataFrame:
+    """(n, plain, gve, gve_split, vbyte): bytes of the payload of each of lists(n, t, c, r, v), where n locations have one tableid of t bytes,
+    byte widths of colid and rowid sum up to c and r, and their varints to v bytes."""
+    n, t, c, r = F.col("n"), F.col("t"), F.col("c"), F.col("r")
+    head = varint_bytes(3 * n)
+    return lists.select(
+        "n",
+        (head + 12 * n).alias("plain"),
+        (head + _grouped_bytes(3 * n, n * t + c + r)).alias("gve"),
+        (head + _framed_bytes(_grouped_bytes(n, t + n - 1)) + _framed_bytes(_grouped_bytes(2 * n, c + r))).alias("gve_split"),
+        (head + _framed_bytes(F.col("v")) + _framed_bytes(_grouped_bytes(n, n * t))).alias("vbyte"),
+    )
+
+
 def modelled_sizes(cells: DataFrame) -> DataFrame:
-    """(layout, cells, keys, key_bytes, posting_bytes) of the layouts whose keys are plain, front or incrementally coded once and
-    whose postings are plain, group varint or vbyte."""
-    per = posting_bytes(cells).withColumn("size", F.octet_length("tokenized").cast("long"))
-    keys = blocks(per.select(F.col("tokenized").alias("key")), 16)
-    coded = incremental_sizes(keys).agg(F.sum("bytes").alias("incr"))
-    front = front_sizes(blocks(per.select(F.col("tokenized").alias("key")), 8)).agg(F.sum("bytes").alias("front"))
-    one = per.agg(F.count("*").alias("keys"), F.sum("n").alias("cells"), F.sum(F.col("size") * F.col("n")).alias("repeated"), F.sum("size").alias("plain"), F.sum("gve").alias("gve"), F.sum("vbyte").alias("vbyte"))
-    all_ = one.crossJoin(F.broadcast(coded)).crossJoin(F.broadcast(front))
+    """(layout, cells, keys, blocks, payloads, key_bytes, posting_bytes) of the MODELLED layouts, without coding anything."""
+    sized = cells.select("tokenized", *CELL_ORDER[1:], byte_width(F.col("tableid")).alias("t"), byte_width(F.col("colid")).alias("c"), byte_width(F.col("rowid")).alias("r"), (varint_bytes(F.col("colid")) + varint_bytes(F.col("rowid"))).alias("v"))
+    grouped = sized.groupBy("tokenized", "tableid", "colid", F.floor(F.col("rowid") / PIECE)).agg(F.count("*").alias("n"), F.max("t").alias("t"), *[F.sum(x).alias(x) for x in "crv"])
+    total = lambda df, end: payload_sizes(df).agg(F.sum("n").alias(f"cells_{end}"), F.count("*").alias(f"payloads_{end}"), *[F.sum(x).cast("long").alias(f"{x}_{end}") for x in ("plain", "gve", "gve_split", "vbyte")])
+    size = F.octet_length("tokenized").cast("long")
+    texts = cells.groupBy("tokenized").agg(F.count("*").alias("n")).agg(F.count("*").alias("keys"), F.sum(size).alias("plain_keys_once"), F.sum(size * F.col("n")).alias("plain_keys_each"))
+    once = numbered(cells.select(F.col("tokenized").alias("key")).distinct(), ["key"], "pos")
+    each = numbered(cells.select(*CELL_ORDER), CELL_ORDER, "pos").withColumnRenamed("tokenized", "key")
+    in_blocks = lambda df, n: df.select("key", "pos", F.floor(F.col("pos") / n).cast("long").alias("block_id"))
+    one = total(grouped, "once").crossJoin(total(sized.withColumn("n", F.lit(1).cast("long")), "each")).crossJoin(texts)
+    for name, df, sizes, n in (("front_once", once, front_sizes, 8), ("front_each", each, front_sizes, 8), ("incr_once", once, incremental_sizes, 16), ("incr_each", each, incremental_sizes, 8)):
+        one = one.crossJoin(sizes(in_blocks(df, n)).agg(F.sum("bytes").alias(name)))
     rows = []
-    for name, x in LAYOUTS.items():
-        if x.keys == "short" or x.postings.startswith("pfor") or (not x.once and (x.keys != "plain" or x.postings != "plain")):
-            continue
-        key = F.col("repeated") + WORD * F.col("cells") if not x.once else F.col({"plain": "plain", "front": "front", "incr": "incr"}[x.keys]) + (WORD * F.col("keys") if x.keys == "plain" else 0)
-        posting = {"plain": LOCATION_BYTES * F.col("cells"), "gve": F.col("gve"), "vbyte": F.col("vbyte")}[x.postings]
-        rows.append(F.struct(F.lit(name).alias("layout"), "cells", "keys", key.cast("long").alias("key_bytes"), posting.cast("long").alias("posting_bytes")))
-    return all_.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    for name in MODELLED:
+        x = LAYOUTS[name]
+        end = "once" if x.once else "each"
+        keys = F.col("keys" if x.once else "cells_once")
+        coded = F.col(f"plain_keys_{end}" if x.keys == "plain" else f"{x.keys}_{end}")
+        rows.append(F.struct(F.lit(name).alias("layout"), F.col("cells_once").alias("cells"), keys.alias("keys"), ceil_div(keys, max(1, x.block)).cast("long").alias("blocks"), F.col(f"payloads_{end}").alias("payloads"), coded.cast("long").alias("key_bytes"), F.col(f"{x.postings}_{end}").alias("posting_bytes")))
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")

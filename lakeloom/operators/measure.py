@@ -1,4 +1,4 @@
-"""Measuring an index layout: build it, look keys up, report size and times."""
+"""Measuring an index layout: build it as bytes, look keys up in it, report size and times."""
 
 from __future__ import annotations
 
@@ -6,24 +6,31 @@ import time
 
 from pyspark.sql import DataFrame, functions as F
 
-from .index import lookup_batch, sampled_keys
-from .layouts import build, layout, modelled_sizes
+from .encoded import Index, build, lookup
+from .index import sampled_keys
+from .layouts import layout
+
+
+def stored_bytes(index: Index) -> int:
+    """Bytes of coded keys and payloads."""
+    payloads = index.slices.agg(F.sum("length")) if index.postings is None else index.postings.agg(F.sum(F.octet_length("payload")))
+    return (index.keys.agg(F.sum(F.octet_length("data"))).first()[0] or 0) + (payloads.first()[0] or 0)
 
 
 def measure(cells: DataFrame, name: str, table: str, keys: int = 10_000, multi_proc: bool = False, label: str = "") -> DataFrame:
-    """One measurement record of a layout over cells. Bytes are modelled (null for layouts without a model); the mean lookup time
-    is the batch's time divided by its number of keys."""
+    """One measurement record of a layout over cells. The index is written, its bytes are counted, and keys are looked up in what was
+    written; the mean lookup time is the batch's time divided by its number of keys. The index is deleted in the end."""
     layout(name)
     spark = cells.sparkSession
+    total = cells.count()
     began = time.perf_counter_ns()
-    build(cells, name).selectExpr("count(*) AS n").first()
+    index = build(cells, name, keep=True)
     built = time.perf_counter_ns() - began
     chosen = sampled_keys(cells, keys)
     wanted = chosen.count()
     began = time.perf_counter_ns()
-    lookup_batch(cells, chosen).selectExpr("count(*) AS n").first()
+    lookup(index, chosen).write.format("noop").mode("overwrite").save()
     looked = (time.perf_counter_ns() - began) // max(1, wanted)
-    size = modelled_sizes(cells).where(F.col("layout") == name).select((F.col("key_bytes") + F.col("posting_bytes")).alias("b")).first()
-    total = cells.count()
-    row = (total, size.b if size else None, built, built, looked, name, table, multi_proc, label)
+    row = (total, stored_bytes(index), built, built, looked, name, table, multi_proc, label)
+    index.drop()
     return spark.createDataFrame([row], "cells long, bytes long, build_duration_nanosec long, build_duration_total_nanosec long, retr_duration_avg_nanosec long, algorithm string, table string, multi_proc boolean, label string")

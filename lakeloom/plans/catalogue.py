@@ -167,21 +167,47 @@ for _name in ("vbyte", "gve", "stream"):
     register(f"posting_{_name}_bytes", f"WITH {_POST} SELECT tokenized, n, {_name} AS bytes FROM p")(lambda s, d, c=_name: codec_sizes.posting_bytes(_cells(s, d)).select("tokenized", "n", F.col(c).cast("long").alias("bytes")))
 register("posting_split_bytes", f"WITH {CELLS}, x AS (SELECT tokenized, colid, rowid, tableid - coalesce(lag(tableid) OVER (PARTITION BY tokenized ORDER BY tableid, colid, rowid), 0) AS tableid FROM cells), y AS (SELECT tokenized, count(*) AS n, sum({BW.format('tableid')}) AS t, sum({BW.format('colid')}) AS c, sum({BW.format('rowid')}) AS r FROM x GROUP BY tokenized) SELECT run, CAST(sum(n) AS BIGINT) AS n, CAST(sum(b + (n + 3) // 4) AS BIGINT) AS bytes FROM (SELECT 'tableid' AS run, n, t AS b FROM y UNION ALL SELECT 'colid', n, c FROM y UNION ALL SELECT 'rowid', n, r FROM y) GROUP BY run")(lambda s, d: codec_sizes.split_bytes(_cells(s, d)))
 register("arena_offsets", f"WITH {_POST} SELECT tokenized, CAST(sum(gve) OVER (ORDER BY tokenized) - gve AS BIGINT) AS start, gve AS length FROM p")(lambda s, d: layouts.arena_offsets(_cells(s, d)))
-_FRONT8 = ORACLES["dict_front_bytes"].split(", p AS", 1)[1]
-_LAYOUT_SQL = f"""WITH {_POST}, one AS (SELECT count(*) AS keys, CAST(sum(n) AS BIGINT) AS cells, CAST(sum(octet_length(encode(tokenized)) * n) AS BIGINT) AS repeated, CAST(sum(octet_length(encode(tokenized))) AS BIGINT) AS plain, CAST(sum(gve) AS BIGINT) AS gve, CAST(sum(vbyte) AS BIGINT) AS vbyte FROM p),
-inc AS (SELECT CAST(sum(bytes) AS BIGINT) AS incr FROM ({ORACLES["dict_incr_bytes"]})), fro AS (SELECT CAST(sum(bytes) AS BIGINT) AS front FROM ({ORACLES["dict_front_bytes"]}))
-"""
-_layout_rows = []
-for _n, _x in layouts.LAYOUTS.items():
-    if _x.keys == "short" or _x.postings.startswith("pfor") or (not _x.once and (_x.keys != "plain" or _x.postings != "plain")):
-        continue
-    _key = "repeated + 4 * cells" if not _x.once else {"plain": "plain + 4 * keys", "front": "front", "incr": "incr"}[_x.keys]
-    _layout_rows.append(f"SELECT '{_n}' AS layout, cells, keys, {_key} AS key_bytes, {'12 * cells' if _x.postings == 'plain' else _x.postings} AS posting_bytes FROM one, inc, fro")
-register("layout_summary", _LAYOUT_SQL + " UNION ALL ".join(_layout_rows))(lambda s, d: layouts.modelled_sizes(_cells(s, d)))
+
+
+def _layout_sql() -> str:
+    """Sizes of every layout without short keys and pfor, written out: payloads of pieces (once) and of cells (each), then keys."""
+    gw = lambda n, w: f"(4 * ((4 + ({n} + 3) // 4 + {w} + 3) // 4))"
+    framed = lambda x: f"({VB.format(x)} + {x})"
+    sums = f"max({BW.format('tableid')}) AS t, sum({BW.format('colid')}) AS c, sum({BW.format('rowid')}) AS r, sum({VB.format('colid')} + {VB.format('rowid')}) AS v"
+    payload = f"{VB.format('(3 * n)')} AS head, 12 * n AS plain, {gw('(3 * n)', '(n * t + c + r)')} AS gve, {framed(gw('n', '(t + n - 1)'))} + {framed(gw('(2 * n)', '(c + r)'))} AS gve_split, {framed('v')} + {framed(gw('n', '(n * t)'))} AS vbyte"
+    total = "count(*) AS payloads, sum(head + plain) AS plain, sum(head + gve) AS gve, sum(head + gve_split) AS gve_split, sum(head + vbyte) AS vbyte"
+    front = lambda k: f"SELECT sum(b) FROM (SELECT {VB.format('prefix')} + prefix + sum({VB.format('(octet_length(encode(key)) - prefix)')} + octet_length(encode(key)) - prefix) AS b FROM {k} JOIN (SELECT block_id, CASE WHEN x = y THEN length(x) // 2 ELSE {_LCP.format('x', 'y')} END AS prefix FROM (SELECT block_id, min(hex(encode(key))) AS x, max(hex(encode(key))) AS y FROM {k} GROUP BY block_id)) USING (block_id) GROUP BY block_id, prefix)"
+    incr = lambda k: f"SELECT sum(CASE WHEN first THEN {framed('n')} ELSE {VB.format('lcp')} + {framed('(n - lcp)')} END) FROM (SELECT n, y IS NULL AS first, CASE WHEN y IS NULL THEN 0 WHEN x = y THEN n ELSE {_LCP.format('x', 'y')} END AS lcp FROM (SELECT octet_length(encode(key)) AS n, hex(encode(key)) AS x, lag(hex(encode(key))) OVER (PARTITION BY block_id ORDER BY pos) AS y FROM {k}))"
+    each = lambda n: f"(SELECT tokenized AS key, pos, pos // {n} AS block_id FROM (SELECT tokenized, row_number() OVER (ORDER BY tokenized) - 1 AS pos FROM cells))"
+    once = each("{}").replace("FROM cells", "FROM (SELECT DISTINCT tokenized FROM cells)").format
+    parts = [
+        CELLS,
+        f"once8 AS {once(8)}, once16 AS {once(16)}, each8 AS {each(8)}",
+        f"p AS (SELECT count(*) AS n, {sums} FROM cells GROUP BY tokenized, tableid, colid, rowid // {index.PIECE}), q AS (SELECT 1 AS n, {sums} FROM cells GROUP BY tokenized, tableid, colid, rowid)",
+        f"po AS (SELECT {total} FROM (SELECT {payload} FROM p)), pe AS (SELECT {total} FROM (SELECT {payload} FROM q))",
+        "size AS (SELECT count(*) AS cells, count(DISTINCT tokenized) AS keys, sum(octet_length(encode(tokenized))) AS plain_each, (SELECT sum(octet_length(encode(key))) FROM once8) AS plain_once FROM cells)",
+        f"coded AS (SELECT ({front('once8')}) AS front_once, ({front('each8')}) AS front_each, ({incr('once16')}) AS incr_once, ({incr('each8')}) AS incr_each)",
+    ]
+    rows = []
+    #: name, keys, block, postings: as the layouts are defined, not read from the table of layouts
+    for names, keys, block, posting, end in (
+        ("baseline baselinex", "plain", 1, "plain", "each"), ("ns ns_arena", "plain", 1, "gve", "each"), ("frontcoding", "front", 8, "plain", "each"), ("incr", "incr", 8, "plain", "each"),
+        ("dedup_hash dedup_btree", "plain", 1, "plain", "once"), ("ns+dedup", "plain", 1, "gve", "once"), ("frontcoding+dedup", "front", 8, "plain", "once"), ("incr+dedup", "incr", 16, "plain", "once"),
+        ("incr+dedup+ns incr_adv+dedup+ns", "incr", 16, "gve", "once"), ("incr_adv+dedup+ns_adv", "incr", 16, "gve_split", "once"), ("vbyte+ns+dedup vbyte+arena+ns+dedup", "plain", 1, "vbyte", "once"), ("vbyte+ns+incr+dedup", "incr", 16, "vbyte", "once"),
+    ):
+        n = "keys" if end == "once" else "cells"
+        rows += [f"SELECT '{x}' AS layout, cells, {n} AS keys, CAST(({n} + {block - 1}) // {block} AS BIGINT) AS blocks, p{end[0]}.payloads AS payloads, CAST({keys}_{end} AS BIGINT) AS key_bytes, CAST(p{end[0]}.{posting} AS BIGINT) AS posting_bytes FROM size, coded, po, pe" for x in names.split()]
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(rows)
+
+
+register("layout_summary", _layout_sql())(lambda s, d: layouts.modelled_sizes(_cells(s, d)))
+register("layout_bytes", _layout_sql())(lambda s, d: encoded.real_sizes(_cells(s, d), layouts.MODELLED))
+register("layout_bytes_learned", None)(lambda s, d: encoded.real_sizes(_cells(s, d), [n for n in layouts.LAYOUTS if n not in layouts.MODELLED]))
 
 for _n in layouts.LAYOUTS:
     register(f"layout_roundtrip_{_n}", f"WITH {CELLS} SELECT * FROM cells")(lambda s, d, n=_n: encoded.round_trip(_cells(s, d), n))
-register("lookup_encoded", f"WITH {CELLS}, {PROBES_SQL} SELECT tokenized, tableid, colid, rowid FROM cells WHERE tokenized IN (SELECT key FROM probes)")(lambda s, d: encoded.lookup(encoded.encode_postings(_cells(s, d), "pfor_split+dedup"), "pfor_split+dedup", _probes(s)))
+for _n, _layout in (("lookup_encoded", "pfor_split+dedup"), ("lookup_in_arena", "ns_arena"), ("lookup_by_short_key", "smaz+ns+dedup"), ("lookup_in_front_blocks", "frontcoding"), ("lookup_in_incremental_blocks", "incr_adv+dedup+ns_adv")):
+    register(_n, f"WITH {CELLS}, {PROBES_SQL} SELECT tokenized, tableid, colid, rowid FROM cells WHERE tokenized IN (SELECT key FROM probes)")(lambda s, d, x=_layout: encoded.lookup(encoded.build(_cells(s, d), x), _probes(s)))
 
 # arrays
 

@@ -34,9 +34,9 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_i")).drop("_part", "_i", "_start")
 
 
-def running(df: DataFrame, order: str, value: str) -> DataFrame:
-    """df with `start`, the sum of value over all rows before it by order (a unique column)."""
-    rows = ranged(df, [order])
+def running(df: DataFrame, order: str | list[str], value: str) -> DataFrame:
+    """df with `start`, the sum of value over all rows before it by order (unique)."""
+    rows = ranged(df, [order] if isinstance(order, str) else order)
     starts = before(rows.groupBy("_part").agg(F.sum(value).alias("n")), "n", "_start")
     inside = Window.partitionBy("_part").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
     summed = rows.withColumn("_sum", F.coalesce(F.sum(value).over(inside), F.lit(0)))
