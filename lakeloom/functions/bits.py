@@ -73,3 +73,13 @@ def divisible(n: Column, k: int) -> Column:
 def split_any(s: Column, delimiters: str) -> Column:
     """The parts of a string between any of several delimiter characters; empty parts are dropped."""
     return F.filter(F.split(s, "[" + "".join("\\" + c for c in delimiters) + "]"), lambda x: x != "")
+
+
+def lookahead_width(a: Column, budget: int = 32) -> Column:
+    """The least width w of 1 to 30 bits for which the first budget div w values (all of a shorter array, one at least) fit into w bits each, so that
+    the most of them share a word of `budget` bits; null for an empty array or where none fits."""
+    fits = lambda w: F.aggregate(F.slice(a, 1, max(1, budget // w)), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y)) < (1 << w)
+    found = F.when(F.size(a) == 0, None)
+    for w in range(1, 31):
+        found = found.when(fits(w), w)
+    return found.cast("long")

@@ -5,6 +5,7 @@ Layouts are this library's own; the rules by which widths and selectors are chos
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -422,8 +423,9 @@ WORD_CODERS = {
 _LANES = [(32, 1), (16, 2), (10, 3), (8, 4), (6, 5), (5, 6), (4, 8), (3, 10), (2, 16), (1, 32)]
 
 
-def _group_simple(v: np.ndarray) -> Words:
-    """Fours of values share a width, that of all four or-ed; each lane's word holds as many fours as a selector allows."""
+def _group_simple(v: np.ndarray, gap: bool = False) -> Words:
+    """Fours of values share a width, that of all four or-ed; each lane's word holds as many fours as a selector allows. gap: the words of
+    the selectors are as many as one for each four would take, so that lanes can be written before the selectors are known."""
     quads = v.reshape(-1, 4)
     w = bits(np.bitwise_or.reduce(quads, axis=1)) if len(quads) else np.zeros(0, np.int64)
     selectors, lanes, at = [], [], 0
@@ -435,14 +437,16 @@ def _group_simple(v: np.ndarray) -> Words:
                 lanes += [sum(int(x) << b * i for i, x in enumerate(quads[at : at + m, lane])) for lane in range(4)]
                 at += m
                 break
-    return np.concatenate([np.array([len(selectors)], np.uint32), pack(np.array(selectors, np.int64), 4), np.array(lanes, np.uint32)])
+    head = pack(np.array(selectors, np.int64), 4)
+    spare = packed_words(len(quads), 4) - len(head) if gap else 0
+    return np.concatenate([np.array([len(selectors)], np.uint32), head, np.zeros(spare, np.uint32), np.array(lanes, np.uint32)])
 
 
-def _ungroup_simple(words: Words, n: int) -> tuple[np.ndarray, int]:
+def _ungroup_simple(words: Words, n: int, gap: bool = False) -> tuple[np.ndarray, int]:
     count = int(words[0])
-    head = packed_words(count, 4)
+    head = packed_words(n // 4 if gap else count, 4)
     out, at, left = [np.zeros((0, 4), np.int64)], 1 + head, n // 4
-    for s in unpack(words[1 : 1 + head], 4, count).tolist():
+    for s in unpack(words[1 : 1 + packed_words(count, 4)], 4, count).tolist():
         c, b = _LANES[s]
         m = min(c, left)
         out.append(np.array([[int(words[at + lane]) >> b * i & (1 << b) - 1 for lane in range(4)] for i in range(m)], np.int64).reshape(m, 4))
@@ -451,52 +455,55 @@ def _ungroup_simple(words: Words, n: int) -> tuple[np.ndarray, int]:
     return np.concatenate(out).ravel(), at
 
 
-VS_LENGTHS = (1, 2, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+# fixed values: lengths of runs, lengths of runs of zeros, and the widths that a run may have
+VS_RUNS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16)
+VS_ZERO_RUNS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16, 32)
+VS_WIDTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 16, 20, 32)
+#: Bits of a run's head: its length and its width, by number.
+VS_HEAD = 8
 
 
-def vs_partition(w: list[int]) -> list[int]:
-    """Indexes into VS_LENGTHS of the runs that take the fewest bits in all (10 a run, and each run's greatest width a value)."""
+def vs_partition(w: list[int]) -> list[tuple[int, int]]:
+    """(length, width) of the runs that take the fewest bits in all, for values of widths w: a shortest path over the places between them."""
     n = len(w)
-    cost, cut = [0.0] + [float("inf")] * n, [0] * (n + 1)
+    cost, cut = [0] + [1 << 60] * n, [(0, 0)] * (n + 1)
+    rounded = [VS_WIDTHS[bisect_left(VS_WIDTHS, x)] for x in range(33)]
     for i in range(n):
-        top, reach = 0, 0
-        for s, length in enumerate(VS_LENGTHS):
-            if i + length > n:
+        top, so_far = 0, cost[i] + VS_HEAD
+        for length in range(1, min(VS_ZERO_RUNS[-1], n - i) + 1):
+            top = max(top, w[i + length - 1])
+            if top and length > VS_RUNS[-1]:
                 break
-            top = max([top, *w[i + reach : i + length]])
-            reach = length
-            if (c := cost[i] + 10 + length * top) < cost[i + length]:
-                cost[i + length], cut[i + length] = c, s
+            b = rounded[top]
+            if (c := so_far + length * b) < cost[i + length] and length in (VS_RUNS if top else VS_ZERO_RUNS):
+                cost[i + length], cut[i + length] = c, (length, b)
     out, at = [], n
     while at:
         out.append(cut[at])
-        at -= VS_LENGTHS[cut[at]]
+        at -= cut[at][0]
     return out[::-1]
 
 
 def _vs(v: np.ndarray) -> Words:
-    w = bits(v).tolist()
-    runs = vs_partition(w)
-    heads, body, at = [], [], 0
-    for s in runs:
-        part = v[at : at + VS_LENGTHS[s]]
-        b = int(bits(part).max())
-        heads.append(s | b << 4)
-        body.append(((part[:, None] >> np.arange(b)) & 1).astype(np.uint8).ravel())
-        at += len(part)
-    flat = np.concatenate([np.zeros(0, np.uint8), *body])
+    heads, body, at = [], [np.zeros(0, np.uint8)], 0
+    for length, b in vs_partition(bits(v).tolist()):
+        heads.append((VS_RUNS if b else VS_ZERO_RUNS).index(length) | VS_WIDTHS.index(b) << 4)
+        body.append(((v[at : at + length, None] >> np.arange(b)) & 1).astype(np.uint8).ravel())
+        at += length
+    flat = np.concatenate(body)
     packed = np.packbits(np.pad(flat, (0, -len(flat) % 32)), bitorder="little").view(np.uint32)
-    return np.concatenate([np.array([len(runs)], np.uint32), pack(np.array(heads, np.int64), 10), packed])
+    return np.concatenate([np.array([len(heads)], np.uint32), pack(np.array(heads, np.int64), VS_HEAD), packed])
 
 
 def _unvs(words: Words, n: int) -> tuple[np.ndarray, int]:
     count = int(words[0])
-    head = packed_words(count, 10)
+    head = packed_words(count, VS_HEAD)
     flat = np.unpackbits(np.ascontiguousarray(words[1 + head :]).view(np.uint8), bitorder="little")
     out, at = [np.zeros(0, np.int64)], 0
-    for h in unpack(words[1 : 1 + head], 10, count).tolist():
-        length, b = VS_LENGTHS[h & 15], h >> 4
-        out.append((flat[at : at + length * b].reshape(length, b).astype(np.int64) << np.arange(b)).sum(axis=1) if b else np.zeros(length, np.int64))
+    for h in unpack(words[1 : 1 + head], VS_HEAD, count).tolist():
+        b = VS_WIDTHS[h >> 4]
+        length = (VS_RUNS if b else VS_ZERO_RUNS)[h & 15]
+        out.append((flat[at : at + length * b].reshape(length, b).astype(np.int64) << np.arange(b)).sum(axis=1))
         at += length * b
     return np.concatenate(out), 1 + head + packed_words(at, 1)
 
@@ -553,7 +560,7 @@ CODECS: dict[str, Codec] = {
     **{f"{p}optpfor": composed(_patching(128, "simple16", optpfor_width)) for p in ("", "simd")},
     **WORD_CODERS,
     "simdgroupsimple": _QUADS,
-    "simdgroupsimple_ringbuf": _QUADS,
+    "simdgroupsimple_ringbuf": composed(Codec(lambda v: _group_simple(v, True), lambda w, n: _ungroup_simple(w, n, True), 4)),
     "vsencoding": Codec(_vs, _unvs),
     "snappy": Codec(_snappy, _unsnappy),
 }

@@ -28,7 +28,7 @@ def _clustered(rng: np.random.Generator, n: int, low: int, high: int) -> list[np
             out.append(np.arange(low, high))
             continue
         if n < 10:
-            out.append(np.sort(rng.choice(high - low, n, replace=False)) + low)
+            out.append(_distinct(rng, n, high - low) + low)
             continue
         half = n // 2
         cut = int(rng.integers(low + half, high - (n - half) + 1))
@@ -36,7 +36,7 @@ def _clustered(rng: np.random.Generator, n: int, low: int, high: int) -> list[np
         left = rng.random() < 0.5
         if p <= 0.25:  # one side spread evenly
             even, rest = ((half, low, cut), (n - half, cut, high)) if left else ((n - half, cut, high), (half, low, cut))
-            out.append(np.sort(rng.choice(even[2] - even[1], even[0], replace=False)) + even[1])
+            out.append(_distinct(rng, even[0], even[2] - even[1]) + even[1])
             open_.append(rest)
         else:
             open_ += [(half, low, cut), (n - half, cut, high)]
@@ -77,3 +77,50 @@ def zipf(spark: SparkSession, n: int, exponent: float, domain: int, seed: int =
 def masked(spark: SparkSession, n: int, bits: int, seed: int = 7) -> DataFrame:
     """n values of `bits` random bits."""
     return spark.range(n).select(F.col("id").alias("pos"), F.xxhash64("id", F.lit(seed)).bitwiseAND(F.lit((1 << bits) - 1)).alias("v"))
+
+
+def _distinct(rng: np.random.Generator, n: int, below: int) -> np.ndarray:
+    """n distinct sorted values below `below`, every set as likely: from repeated draws, or by what is left out where most are taken."""
+    if 2 * n > below:
+        kept = np.ones(below, bool)
+        kept[_distinct(rng, below - n, below)] = False
+        return np.flatnonzero(kept)
+    held = np.zeros(0, np.int64)
+    while len(held) < n:
+        held = np.unique(np.concatenate([held, rng.integers(0, below, n - len(held) + 16)]))
+    return np.sort(rng.permutation(held)[:n])
+
+
+#: The sets of arrays of the codec benchmark, as kind, number of arrays, their length, bound of the values. `short` sets take 2^20
+#: values in all for a length of 2^15 or 2^20.
+MODES = {
+    "uniformdenseclassic": ("uniform", 1 << 5, 1 << 18, 1 << 27),
+    "uniformsparseclassic": ("uniform", 1 << 14, 1 << 9, 1 << 27),
+    "clusterdenseclassic": ("clustered", 1 << 5, 1 << 18, 1 << 27),
+    "clustersparseclassic": ("clustered", 1 << 14, 1 << 9, 1 << 27),
+    "uniformdense": ("uniform", 1 << 3, 1 << 22, 1 << 29),
+    "uniformsparse": ("uniform", 1 << 13, 1 << 12, 1 << 29),
+    "clusterdense": ("clustered", 1, 1 << 23, 1 << 26),
+    "clustersparse": ("clustered", 1 << 13, 1 << 12, 1 << 26),
+}
+for _kind in ("cluster", "uniform"):
+    for _end, _all, _lengths in (("dynamic", 25, (15, 20, 25)), ("dynamicsmall", 20, (15, 20))):
+        MODES |= {f"{_kind}{_end}-{k}": ("clustered" if _kind == "cluster" else "uniform", 1 << _all - k, 1 << k, 1 << 29) for k in _lengths}
+
+
+def benchmark_arrays(spark: SparkSession, mode: str, seed: int = 7, count: int | None = None) -> DataFrame:
+    """(array_id, a) of a mode, `count` arrays instead of its own number if given. Each array is made by one task from its own seed; an unknown
+    mode is refused."""
+    if mode not in MODES:
+        raise ValueError(f"no mode {mode!r}; there are {', '.join(MODES)}")
+    kind, arrays, n, below = MODES[mode]
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in frame.id.tolist():
+                rng = np.random.default_rng([seed, i])
+                a = _distinct(rng, n, below) if kind == "uniform" else np.sort(np.concatenate(_clustered(rng, n, 0, below)))
+                yield pd.DataFrame({"array_id": [i], "a": [a.astype(np.int64)]})
+
+    made = arrays if count is None else count
+    return spark.range(0, made, 1, max(1, min(made, made * n >> 18))).mapInPandas(rows, "array_id long, a array<long>")

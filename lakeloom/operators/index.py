@@ -46,6 +46,12 @@ def flat_ints(cells: DataFrame) -> DataFrame:
     return cells.groupBy("tokenized").agg((F.count("*") * 3).alias("n_ints"), F.sum(F.col("tableid") + F.col("colid") + F.col("rowid")).alias("total"))
 
 
+def flat_lists(cells: DataFrame) -> DataFrame:
+    """(tokenized, tableid, colid, piece, ints): each piece's locations as one list of integers, three for each location."""
+    ids = lambda x: F.array(x.tableid, x.colid, x.rowid)
+    return pieces(cells).select("tokenized", "tableid", "colid", "piece", F.flatten(F.transform("locs", ids)).alias("ints"))
+
+
 def triples(cells: DataFrame) -> DataFrame:
     """Locations as lists of three integers, and back."""
     return cells.select("tokenized", F.array(*LOCATION).alias("ints")).select("tokenized", *[F.element_at("ints", i + 1).alias(c) for i, c in enumerate(LOCATION)])

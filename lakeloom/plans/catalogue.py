@@ -8,7 +8,7 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import codecs
-from ..functions.bits import base_name, byte_width, ceil_div, low_high, shared_prefix, split_any, varint_bytes, width, width_least_one
+from ..functions.bits import base_name, byte_width, ceil_div, lookahead_width, low_high, shared_prefix, split_any, varint_bytes, width, width_least_one
 from ..operators import arrays, codec_sizes, dictionary, encoded, generators, index, layouts, order, profile
 from ..ranges import numbered
 from ..session import ship
@@ -98,6 +98,8 @@ register("idx_dedup", f"WITH {CELLS}, s AS (SELECT tokenized, count(*) AS n, min
 register("idx_dedup_tokens", f"WITH {TOKENS} SELECT tokenized, count(*) AS n, min(rowid) AS first_doc, max(rowid) AS last_doc FROM tokens GROUP BY tokenized")(lambda s, d: _tokens(s, d).groupBy("tokenized").agg(F.count("*").alias("n"), F.min("rowid").alias("first_doc"), F.max("rowid").alias("last_doc")))
 register("idx_dedup_flat_ints", f"WITH {CELLS} SELECT tokenized, count(*) * 3 AS n_ints, CAST(sum(tableid + colid + rowid) AS BIGINT) AS total FROM cells GROUP BY tokenized")(lambda s, d: index.flat_ints(_cells(s, d)))
 register("idx_pieces", f"WITH {CELLS} SELECT tokenized, tableid, colid, CAST(rowid // 65536 AS BIGINT) AS piece, count(*) AS n FROM cells GROUP BY ALL")(lambda s, d: index.pieces(_cells(s, d)).select("tokenized", "tableid", "colid", "piece", F.size("locs").cast("long").alias("n")))
+register("idx_flat_lists", f"WITH {CELLS} SELECT tokenized, tableid, colid, CAST(rowid // 65536 AS BIGINT) AS piece, string_agg(tableid || ' ' || colid || ' ' || rowid, ' ' ORDER BY rowid) AS ints FROM cells GROUP BY ALL")(lambda s, d: index.flat_lists(_cells(s, d)).select("tokenized", "tableid", "colid", "piece", F.array_join("ints", " ").alias("ints")))
+register("idx_ordered", f"WITH {CELLS} SELECT tokenized, tableid, colid, CAST(rowid // 65536 AS BIGINT) AS piece, count(*) AS n, min(rowid) AS first_rowid FROM cells GROUP BY ALL")(lambda s, d: index.ordered_pieces(_cells(s, d)).select("tokenized", "tableid", "colid", "piece", F.size("locs").cast("long").alias("n"), F.col("locs")[0]["rowid"].alias("first_rowid")))
 register("idx_explode_roundtrip", f"WITH {CELLS} SELECT * FROM cells")(lambda s, d: index.exploded(index.pieces(_cells(s, d))))
 register("lookup_single", f"WITH {CELLS} SELECT * FROM cells WHERE tokenized = 'ASIA'")(lambda s, d: index.lookup(_cells(s, d), "ASIA"))
 register("lookup_batch", f"WITH {CELLS}, {PROBES_SQL} SELECT key, tableid, colid, rowid FROM probes JOIN cells ON key = tokenized")(lambda s, d: index.lookup_batch(_cells(s, d), _probes(s)))
@@ -219,6 +221,11 @@ _GAPS = f"{SORTED_SQL}, g AS (SELECT array_id, v - lag(v) OVER (PARTITION BY arr
 register("gap_width_hist", f"WITH {_GAPS} SELECT {WIDTH.format('v')} AS width, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM h), 9) AS share FROM h GROUP BY 1")(lambda s, d: profile.shares(arrays.gaps(_sorted(s, d)), width(F.col("v"))))
 register("array_length_hist", f"WITH {SORTED_SQL}, l AS (SELECT array_id, count(*) AS v FROM a GROUP BY array_id) SELECT {WIDTH.format('v')} AS width, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM l), 9) AS share FROM l GROUP BY 1")(lambda s, d: profile.shares(arrays.lengths(_sorted(s, d)), width(F.col("n"))))
 register("entropy_bits", f"WITH {MIXED_SQL}, c AS (SELECT v, count(*)::DOUBLE AS c FROM a GROUP BY v), t AS (SELECT sum(c) AS t FROM c) SELECT CAST(sum(c) AS BIGINT) AS n, round(-sum(c / t * log2(c / t)), 6) AS shannon, round(sum(c / t * {WIDTH.format('v')}), 6) AS databits FROM c, t")(lambda s, d: profile.entropy(_mixed(s, d), "v"))
+register("value_width_hist", f"WITH {MIXED_SQL} SELECT {WIDTH.format('v')} AS width, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM a), 9) AS share FROM a GROUP BY 1")(lambda s, d: profile.shares(_mixed(s, d), width(F.col("v"))))
+for _n, _delta, _least in (("entropy_tool", True, 2), ("entropy_tool_nodelta", False, 500)):
+    register(_n, f"WITH {SORTED_SQL}, k AS (SELECT *, count(*) OVER (PARTITION BY array_id) AS n FROM a), d AS (SELECT array_id, {'v - coalesce(lag(v) OVER (PARTITION BY array_id ORDER BY pos), 0)' if _delta else 'v'} AS v FROM k WHERE n >= {_least}), c AS (SELECT v, count(*)::DOUBLE AS c FROM d GROUP BY v), t AS (SELECT sum(c) AS t FROM c) SELECT (SELECT count(DISTINCT array_id) FROM d) AS arrays, CAST(sum(c) AS BIGINT) AS n, round(-sum(c / t * log2(c / t)), 6) AS shannon, round(sum(c / t * {WIDTH.format('v')}), 6) AS databits FROM c, t")(lambda s, d, x=_delta, n=_least: profile.entropy_of_arrays(_sorted(s, d), x, n))
+register("lookahead_widths", f"WITH {MIXED_SQL}, l AS (SELECT array_id, pos // 32 AS blk, list(v ORDER BY pos) AS x FROM a GROUP BY 1, 2) SELECT array_id, blk, CAST(list_min([w FOR w IN range(1, 31) IF list_max(x[1:greatest(1, 32 // w)]) < (1 << w)]) AS BIGINT) AS width FROM l")(lambda s, d: _mixed(s, d).groupBy("array_id", F.floor(F.col("pos") / 32).cast("long").alias("blk")).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("x")).select("array_id", "blk", lookahead_width(F.transform("x", lambda y: y.v)).alias("width")))
+register("benchmark_arrays", f"WITH {SORTED_SQL}, l AS (SELECT array_id, count(*) AS n FROM a GROUP BY array_id HAVING count(*) BETWEEN 10 AND 100000 ORDER BY array_id LIMIT 9) SELECT array_id, pos // 64 AS piece, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM a JOIN l USING (array_id) GROUP BY 1, 2")(lambda s, d: order.chosen(arrays.as_arrays(_sorted(s, d)), 10, 100_000, 9, 64).select("array_id", "piece", "n", F.aggregate("a", F.lit(0).cast("long"), lambda x, y: x + y).alias("total")))
 register("block_max_bits", f"WITH {MIXED_SQL}, b AS (SELECT array_id * 1000000 + pos // 128 AS block, bit_or(v) AS o FROM a GROUP BY 1) SELECT block, {WIDTH.format('o')} AS bits FROM b")(lambda s, d: profile.max_bits(_mixed(s, d).selectExpr("array_id * 1000000 + CAST(pos DIV 128 AS BIGINT) AS block", "v"), "block", "v"))
 register("unsorted_arrays", f"WITH {MIXED_SQL}, x AS (SELECT array_id, v < lag(v) OVER (PARTITION BY array_id ORDER BY pos) AS down FROM a) SELECT DISTINCT array_id FROM x WHERE down")(lambda s, d: arrays.unsorted_arrays(_mixed(s, d)))
 _PIECES = 100
@@ -261,6 +268,7 @@ register("codec_delta_refused", f"WITH {MIXED_SQL}, x AS (SELECT array_id, v < l
 
 register("gen_uniform", None)(lambda s, d: generators.uniform(s, 4096, 1 << 17))
 register("gen_clustered", None)(lambda s, d: ship(s) or generators.clustered(s, 4096, 1 << 20))
+register("gen_benchmark", None)(lambda s, d: ship(s) or generators.benchmark_arrays(s, "clustersparse", count=256))
 register("gen_zipf", None)(lambda s, d: ship(s) or generators.zipf(s, 10_000, 1.0, 1 << 12))
 
 # extensions

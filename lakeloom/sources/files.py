@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.blocks import read_varint, varint
 from ..operators.order import CELL_ORDER, random_sample, stored_factor
 
 # cell tables
@@ -64,13 +65,25 @@ def database_options(env: dict[str, str] | None = None, host: str = "localhost")
     return {"url": f"jdbc:postgresql://{host}/{env['DATABASE_DB']}", "user": env["DATABASE_USER"], "password": env["DATABASE_PASSWORD"]}
 
 
-def read_database(spark: SparkSession, name: str, options: dict[str, str], parts: int = 16, most_table: int = 1 << 20) -> DataFrame:
-    """Cells of a database table, read by ranges of tableid at once, with filters and columns pushed to the database; needs a JDBC
-    driver on the class path."""
+def read_database(spark: SparkSession, name: str, options: dict[str, str], parts: int = 16, ordered: bool = False) -> DataFrame:
+    """Cells of a database table, sorted by text if wanted. Ranges of tableid between the table's own least and greatest are read at once, with
+    filters and columns pushed to the database; needs a JDBC driver on the class path."""
     if not name.replace("_", "").isalnum():
         raise ValueError("not a table's name")
-    reader = spark.read.format("jdbc").options(**options).option("dbtable", name).option("partitionColumn", "tableid").option("lowerBound", 0).option("upperBound", most_table).option("numPartitions", parts)
-    return reader.load().select(*CELL_ORDER)
+    reader = spark.read.format("jdbc").options(**options)
+    ends = reader.option("query", f'SELECT min("tableid") AS lo, max("tableid") AS hi FROM {name}').load().first()
+    reader = spark.read.format("jdbc").options(**options).option("dbtable", name)
+    if ends[0] is not None and ends[1] > ends[0]:
+        reader = reader.option("partitionColumn", "tableid").option("lowerBound", ends[0]).option("upperBound", ends[1] + 1).option("numPartitions", min(parts, ends[1] - ends[0] + 1))
+    cells = reader.load()
+    cells = cells.toDF(*[c.lower() for c in cells.columns]).select(F.col("tokenized"), *[F.col(c).cast("long").alias(c) for c in CELL_ORDER[1:]])
+    return cells.orderBy(*CELL_ORDER) if ordered else cells
+
+
+def export_database(spark: SparkSession, name: str, path: str, options: dict[str, str], parts: int = 16, mode: str = "errorifexists") -> DataFrame:
+    """Writes a database table as a cell table sorted by text, and reads that back. Sorted on the cluster, not in the database."""
+    write_cells(read_database(spark, name, options, parts), path, mode)
+    return read_cells(spark, path)
 
 
 def source(spark: SparkSession, name: str, database: bool = False, factor: float = 1.0) -> DataFrame:
@@ -81,33 +94,13 @@ def source(spark: SparkSession, name: str, database: bool = False, factor: float
 # record files: length, kind (0: same text as before, 1: text), text length and bytes, three ids; all numbers as varints
 
 
-def _varint(x: int) -> bytes:
-    out = bytearray()
-    while x > 127:
-        out.append(x & 127 | 128)
-        x >>= 7
-    out.append(x)
-    return bytes(out)
-
-
-def _read_varint(data: bytes, at: int) -> tuple[int, int]:
-    x = shift = 0
-    while True:
-        byte = data[at]
-        at += 1
-        x |= (byte & 127) << shift
-        shift += 7
-        if byte < 128:
-            return x, at
-
-
 def encode_records(rows: list[tuple[str, int, int, int]]) -> bytes:
     """Cells as records; the text of a record that repeats the one before it is left out."""
     out, last = bytearray(), None
     for text, *ids in rows:
-        body = bytes([0]) if text == last else b"\1" + _varint(len(text.encode())) + text.encode()
-        body += b"".join(map(_varint, ids))
-        out += _varint(len(body)) + body
+        body = bytes([0]) if text == last else b"\1" + varint(len(text.encode())) + text.encode()
+        body += b"".join(map(varint, ids))
+        out += varint(len(body)) + body
         last = text
     return bytes(out)
 
@@ -115,19 +108,19 @@ def encode_records(rows: list[tuple[str, int, int, int]]) -> bytes:
 def decode_records(data: bytes) -> Iterator[tuple[str, int, int, int]]:
     at, last = 0, ""
     while at < len(data):
-        size, at = _read_varint(data, at)
+        size, at = read_varint(data, at)
         end = at + size
         if end > len(data):
             raise ValueError("a record is cut off")
         kind, at = data[at], at + 1
         if kind == 1:
-            n, at = _read_varint(data, at)
+            n, at = read_varint(data, at)
             last, at = data[at : at + n].decode(), at + n
         elif kind:
             raise ValueError(f"unknown kind {kind}")
         ids = []
         for _ in range(3):
-            x, at = _read_varint(data, at)
+            x, at = read_varint(data, at)
             ids.append(x)
         if at != end:
             raise ValueError("a record has another length than it says")

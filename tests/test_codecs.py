@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lakeloom.functions.codecs import CODECS, VS_LENGTHS, bits, codec, fastpfor_width, newpfor_width, optpfor_width, pack, pfor_width, unpack, vs_partition
+from lakeloom.functions.codecs import CODECS, VS_HEAD, VS_RUNS, VS_WIDTHS, VS_ZERO_RUNS, bits, codec, fastpfor_width, newpfor_width, optpfor_width, pack, pfor_width, unpack, vs_partition
 
 NARROW = {"simple9", "simple16"}
 
@@ -65,13 +65,35 @@ def test_widths():
     assert optpfor_width(v) in (0, 1)
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", range(8))
 def test_vs_partition_is_optimal(seed):
-    w = np.random.default_rng(seed).integers(0, 9, 9).tolist()
+    n = 11
+    w = (np.random.default_rng(seed).integers(0, 15, n) * (np.random.default_rng(seed + 99).random(n) < 0.4 + seed / 15)).tolist()
+
+    def size(part):
+        """Bits of a run, none if there is no such run."""
+        top = next(b for b in VS_WIDTHS if b >= max(part))
+        return VS_HEAD + len(part) * top if len(part) in (VS_RUNS if top else VS_ZERO_RUNS) else None
 
     def least(at):
-        return 0 if at == 9 else min(10 + n * max(w[at : at + n]) + least(at + n) for n in VS_LENGTHS if at + n <= 9)
+        return 0 if at == n else min(s + least(at + k) for k in range(1, n - at + 1) if (s := size(w[at : at + k])) is not None)
+
+    runs, at, bits_ = vs_partition(w), 0, 0
+    for length, b in runs:
+        assert max(w[at : at + length]) <= b
+        bits_ += VS_HEAD + length * b
+        at += length
+    assert at == n and bits_ == least(0)
+
+
+def test_vs_runs_of_zeros():
+    assert [x for x, _ in vs_partition([0] * 64)] == [32, 32]
+    assert 15 not in [x for x, _ in vs_partition([0] * 15)]
+
 
-    runs = [VS_LENGTHS[s] for s in vs_partition(w)]
-    assert sum(runs) == 9
-    assert sum(10 + n * max(w[sum(runs[:i]) : sum(runs[: i + 1])]) for i, n in enumerate(runs)) == least(0)
+@pytest.mark.parametrize("n", [0, 4, 32, 400])
+def test_ring_buffer_keeps_a_gap(n):
+    v = np.arange(n) % 2
+    tight, wide = (codec(c).encode(v) for c in ("simdgroupsimple", "simdgroupsimple_ringbuf"))
+    used = -(-len(range(0, n // 4, 32)) * 4 // 32)
+    assert len(wide) - len(tight) == -(-n // 4 * 4 // 32) - used

@@ -131,3 +131,35 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     assert sliding.agg({"n": "sum"}).first()[0] == 4 * events.count()
     sessions = windows.drained(windows.sessions(windows.read_events(spark, str(tmp_path / "in"), 3)), "sessions", str(tmp_path / "c3"))
     assert sessions.agg({"n": "sum"}).first()[0] == events.count()
+
+
+def test_database(spark, tmp_path, sf_dir):
+    """A database inside the JVM stands for the real one."""
+    cells = lake.cells(spark, sf_dir, ["nation", "customer"])
+    options = {"url": f"jdbc:derby:directory:{tmp_path}/db;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    cells.write.format("jdbc").options(**options).option("dbtable", "lake").option("createTableColumnTypes", "tokenized VARCHAR(200)").save()
+    read = files.read_database(spark, "lake", options, parts=2)
+    want = sorted(map(tuple, cells.collect()))
+    assert read.rdd.getNumPartitions() == 2 and sorted(map(tuple, read.collect())) == want
+    assert [tuple(r) for r in files.read_database(spark, "lake", options, ordered=True).collect()] == want
+    out = files.export_database(spark, "lake", str(tmp_path / "out"), options)
+    assert sorted(map(tuple, out.collect())) == want
+    with pytest.raises(ValueError):
+        files.read_database(spark, "lake; x", options)
+
+
+def test_benchmark_arrays(spark):
+    for mode, n, below in (("clustersparse", 1 << 12, 1 << 26), ("uniformsparseclassic", 1 << 9, 1 << 27)):
+        rows = generators.benchmark_arrays(spark, mode, count=5).collect()
+        assert len(rows) == 5 and all(len(r.a) == n and r.a == sorted(set(r.a)) and 0 <= r.a[0] and r.a[-1] < below for r in rows)
+        assert sorted(rows) == sorted(generators.benchmark_arrays(spark, mode, count=5).collect())
+    with pytest.raises(ValueError):
+        generators.benchmark_arrays(spark, "vclusterdynamic")
+
+
+def test_lookahead(spark):
+    from lakeloom.functions.bits import lookahead_width
+
+    held = [[1] * 40, [0, 3], [1 << 29], [1 << 30], [], [1, 1, 200], [1] * 10 + [2] * 30]
+    got = spark.createDataFrame([(i, a) for i, a in enumerate(held)], "i long, a array<long>").select("i", lookahead_width(F.col("a")).alias("w"))
+    assert {r.i: r.w for r in got.collect()} == {0: 1, 1: 2, 2: 30, 3: None, 4: None, 5: 8, 6: 2}
