@@ -572,10 +572,10 @@ def codec(name: str) -> Codec:
     return CODECS[name]
 
 
-def round_trip(arrays: DataFrame, names: list[str] | None = None, delta: bool = False) -> DataFrame:
-    """(codec, array_id, n, words, mismatches) of each codec on each of arrays(array_id, a): values that decoding changes.
+def round_trip(pieces: DataFrame, names: list[str] | None = None, delta: bool = False) -> DataFrame:
+    """(codec, array_id, piece, n, words, mismatches) of each codec on each of pieces(array_id, piece, a): values that decoding changes.
 
-    delta: the differences of neighbours are coded and summed up again. An array that is not sorted is refused then: its words
+    delta: the differences of neighbours are coded and summed up again. A piece that is not sorted is refused then: its words
     and mismatches are null. Codecs are registered by name, so a plan holds names only; an unknown name fails before anything runs.
     """
     names = list(CODECS) if names is None else names
@@ -588,20 +588,20 @@ def round_trip(arrays: DataFrame, names: list[str] | None = None, delta: bool =
             for r in frame.itertuples():
                 v = np.array(r.a, np.int64)
                 if delta and (np.diff(v) < 0).any():
-                    out.append((r.codec, r.array_id, len(v), None, None))
+                    out.append((r.codec, r.array_id, r.piece, len(v), None, None))
                     continue
                 words = codec(r.codec).encode(np.diff(v, prepend=0) if delta else v)
                 back, _ = codec(r.codec).decode(words, len(v))
                 back = np.cumsum(back) if delta else back
                 wrong = len(v) if len(back) != len(v) else int((back != v).sum())
-                out.append((r.codec, r.array_id, len(v), len(words), wrong))
-            yield pd.DataFrame(out, columns=["codec", "array_id", "n", "words", "mismatches"]).astype({"words": "Int64", "mismatches": "Int64"})
+                out.append((r.codec, r.array_id, r.piece, len(v), len(words), wrong))
+            yield pd.DataFrame(out, columns=["codec", "array_id", "piece", "n", "words", "mismatches"]).astype({"words": "Int64", "mismatches": "Int64"})
 
-    each = arrays.select("array_id", "a", F.explode(F.array(*[F.lit(n) for n in names])).alias("codec"))
-    return each.mapInPandas(rows, "codec string, array_id long, n long, words long, mismatches long")
+    each = pieces.select("array_id", "piece", "a", F.explode(F.array(*[F.lit(n) for n in names])).alias("codec"))
+    return each.mapInPandas(rows, "codec string, array_id long, piece long, n long, words long, mismatches long")
 
 
 def summary(trips: DataFrame) -> DataFrame:
     """(codec, arrays, n, words, mismatches, bits_per_int) over all arrays."""
-    sums = trips.groupBy("codec").agg(F.count("*").alias("arrays"), *[F.sum(c).alias(c) for c in ("n", "words", "mismatches")])
+    sums = trips.groupBy("codec").agg(F.count_distinct("array_id").alias("arrays"), *[F.sum(c).alias(c) for c in ("n", "words", "mismatches")])
     return sums.withColumn("bits_per_int", F.round(F.col("words").cast("double") * 32 / F.col("n"), 6))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.bits import byte_width, ceil_div, varint_bytes, width
+from .arrays import BLOCK
 
 NEW_WIDTHS = [*range(14), 16, 20]
 
@@ -80,17 +81,17 @@ def simd_packing(values: DataFrame) -> DataFrame:
 
 
 def array_words(values: DataFrame) -> DataFrame:
-    """(codec, arrays, n, words, bits_per_int) of the codecs whose size is a sum over values."""
+    """(codec, arrays, n, words, bits_per_int) of the codecs whose size is a sum over values; arrays are coded in pieces of BLOCK values."""
     v = F.col("v")
-    per = values.groupBy("array_id").agg(F.count("*").alias("n"), F.sum(varint_bytes(v)).alias("vb"), F.sum(byte_width(v)).alias("bw"))
+    per = values.groupBy("array_id", F.floor(F.col("pos") / BLOCK)).agg(F.count("*").alias("n"), F.sum(varint_bytes(v)).alias("vb"), F.sum(byte_width(v)).alias("bw"))
     control = ceil_div(F.col("n"), 4)
     sizes = F.array(
         F.struct(F.lit("copy").alias("codec"), F.col("n").alias("words")),
         *[F.struct(F.lit(name).alias("codec"), ceil_div(F.col("vb"), 4).alias("words")) for name in ("varint", "vbyte", "maskedvbyte")],
         *[F.struct(F.lit(name).alias("codec"), ceil_div(4 + control + F.col("bw"), 4).alias("words")) for name in ("streamvbyte", "varintgb")],
     )
-    rows = per.select("array_id", "n", F.explode(sizes).alias("x")).select("n", "x.codec", "x.words")
-    sums = rows.groupBy("codec").agg(F.count("*").alias("arrays"), F.sum("n").alias("n"), F.sum("words").alias("words"))
+    rows = per.select("array_id", "n", F.explode(sizes).alias("x")).select("array_id", "n", "x.codec", "x.words")
+    sums = rows.groupBy("codec").agg(F.count_distinct("array_id").alias("arrays"), F.sum("n").alias("n"), F.sum("words").alias("words"))
     return sums.withColumn("bits_per_int", F.round(F.col("words").cast("double") * 32 / F.col("n"), 6))
 
 

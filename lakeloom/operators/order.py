@@ -75,14 +75,6 @@ def length_between(arrays: DataFrame, least: int, most: int) -> DataFrame:
     return arrays.where(F.size("a").between(least, most))
 
 
-def chosen(arrays: DataFrame, least: int = 1, most: int | None = None, count: int | None = None, split: int | None = None) -> DataFrame:
-    """The arrays(array_id, a) that a benchmark takes: those of `least` to `most` values, the `count` first ones of these by array_id, cut into
-    pieces of `split` values (array_id, piece, n, a) if wanted."""
-    held = length_between(arrays, least, (1 << 31) - 1 if most is None else most)
-    held = held if count is None else held.orderBy("array_id").limit(count)
-    return held if split is None else array_pieces(held, split)
-
-
 def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """The first n rows by order: each task keeps n at most."""
     return df.orderBy(*order).limit(n)

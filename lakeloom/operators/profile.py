@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.bits import width, width_least_one
-from .arrays import delta, lengths
+from .arrays import delta, selected
 
 
 def info(cells: DataFrame) -> DataFrame:
@@ -83,8 +83,6 @@ def domain_codes(values: DataFrame, group: str, value: str) -> DataFrame:
 def entropy_of_arrays(a: DataFrame, with_delta: bool = True, least: int = 2, count: int | None = None) -> DataFrame:
     """One row (arrays, n, shannon, databits) of arrays a(array_id, pos, v): those with `least` values or more, the `count` first of these by
     array_id; by default of the differences of neighbours, the first value staying."""
-    kept = lengths(a).where(F.col("n") >= least)
-    kept = (kept if count is None else kept.orderBy("array_id").limit(count)).select("array_id")
-    held = a.join(kept, "array_id", "left_semi")
+    held = selected(a, least, None, count)
     bits = entropy(delta(held) if with_delta else held, "v")
-    return kept.agg(F.count("*").alias("arrays")).crossJoin(bits)
+    return held.agg(F.count_distinct("array_id").alias("arrays")).crossJoin(bits)

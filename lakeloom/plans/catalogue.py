@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import codecs
 from ..functions.bits import base_name, byte_width, ceil_div, lookahead_width, low_high, shared_prefix, split_any, varint_bytes, width, width_least_one
 from ..operators import arrays, codec_sizes, dictionary, encoded, generators, index, layouts, order, profile
-from ..ranges import numbered
+from ..ranges import numbered, numbered_within
 from ..session import ship
 from ..sources import lake
 from ..streaming import windows
@@ -75,11 +75,14 @@ def _probes(spark: SparkSession) -> DataFrame:
 
 
 def _sorted(spark: SparkSession, d: str) -> DataFrame:
-    return lake.table(spark, d, "orders").selectExpr("o_custkey % 32 AS array_id", "CAST(row_number() OVER (PARTITION BY o_custkey % 32 ORDER BY o_orderkey) - 1 AS BIGINT) AS pos", "o_orderkey AS v")
+    rows = lake.table(spark, d, "orders").selectExpr("o_custkey % 32 AS array_id", "o_orderkey AS v")
+    return numbered_within(rows, "array_id", ["v"], "pos").select("array_id", "pos", "v")
 
 
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
-    return lake.table(spark, d, "lineitem").selectExpr("l_suppkey % 16 AS array_id", f"CAST(row_number() OVER (PARTITION BY l_suppkey % 16 ORDER BY {_MIXED_ORDER}) - 1 AS BIGINT) AS pos", f"{_MIXED_V} AS v")
+    order_ = lake.ORDER_OF["lineitem"]
+    rows = lake.table(spark, d, "lineitem").selectExpr("l_suppkey % 16 AS array_id", f"{_MIXED_V} AS v", *order_)
+    return numbered_within(rows, "array_id", order_, "pos").select("array_id", "pos", "v")
 
 
 # cells
@@ -225,13 +228,13 @@ register("value_width_hist", f"WITH {MIXED_SQL} SELECT {WIDTH.format('v')} AS wi
 for _n, _delta, _least in (("entropy_tool", True, 2), ("entropy_tool_nodelta", False, 500)):
     register(_n, f"WITH {SORTED_SQL}, k AS (SELECT *, count(*) OVER (PARTITION BY array_id) AS n FROM a), d AS (SELECT array_id, {'v - coalesce(lag(v) OVER (PARTITION BY array_id ORDER BY pos), 0)' if _delta else 'v'} AS v FROM k WHERE n >= {_least}), c AS (SELECT v, count(*)::DOUBLE AS c FROM d GROUP BY v), t AS (SELECT sum(c) AS t FROM c) SELECT (SELECT count(DISTINCT array_id) FROM d) AS arrays, CAST(sum(c) AS BIGINT) AS n, round(-sum(c / t * log2(c / t)), 6) AS shannon, round(sum(c / t * {WIDTH.format('v')}), 6) AS databits FROM c, t")(lambda s, d, x=_delta, n=_least: profile.entropy_of_arrays(_sorted(s, d), x, n))
 register("lookahead_widths", f"WITH {MIXED_SQL}, l AS (SELECT array_id, pos // 32 AS blk, list(v ORDER BY pos) AS x FROM a GROUP BY 1, 2) SELECT array_id, blk, CAST(list_min([w FOR w IN range(1, 31) IF list_max(x[1:greatest(1, 32 // w)]) < (1 << w)]) AS BIGINT) AS width FROM l")(lambda s, d: _mixed(s, d).groupBy("array_id", F.floor(F.col("pos") / 32).cast("long").alias("blk")).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("x")).select("array_id", "blk", lookahead_width(F.transform("x", lambda y: y.v)).alias("width")))
-register("benchmark_arrays", f"WITH {SORTED_SQL}, l AS (SELECT array_id, count(*) AS n FROM a GROUP BY array_id HAVING count(*) BETWEEN 10 AND 100000 ORDER BY array_id LIMIT 9) SELECT array_id, pos // 64 AS piece, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM a JOIN l USING (array_id) GROUP BY 1, 2")(lambda s, d: order.chosen(arrays.as_arrays(_sorted(s, d)), 10, 100_000, 9, 64).select("array_id", "piece", "n", F.aggregate("a", F.lit(0).cast("long"), lambda x, y: x + y).alias("total")))
+register("benchmark_arrays", f"WITH {SORTED_SQL}, l AS (SELECT array_id, count(*) AS n FROM a GROUP BY array_id HAVING count(*) BETWEEN 10 AND 100000 ORDER BY array_id LIMIT 9) SELECT array_id, pos // 64 AS piece, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM a JOIN l USING (array_id) GROUP BY 1, 2")(lambda s, d: arrays.as_pieces(arrays.selected(_sorted(s, d), 10, 100_000, 9), 64).select("array_id", "piece", F.size("a").cast("long").alias("n"), F.aggregate("a", F.lit(0).cast("long"), lambda x, y: x + y).alias("total")))
 register("block_max_bits", f"WITH {MIXED_SQL}, b AS (SELECT array_id * 1000000 + pos // 128 AS block, bit_or(v) AS o FROM a GROUP BY 1) SELECT block, {WIDTH.format('o')} AS bits FROM b")(lambda s, d: profile.max_bits(_mixed(s, d).selectExpr("array_id * 1000000 + CAST(pos DIV 128 AS BIGINT) AS block", "v"), "block", "v"))
 register("unsorted_arrays", f"WITH {MIXED_SQL}, x AS (SELECT array_id, v < lag(v) OVER (PARTITION BY array_id ORDER BY pos) AS down FROM a) SELECT DISTINCT array_id FROM x WHERE down")(lambda s, d: arrays.unsorted_arrays(_mixed(s, d)))
 _PIECES = 100
-register("split_long_arrays", f"WITH {SORTED_SQL}, x AS (SELECT array_id, pos // {_PIECES} AS piece, v FROM a) SELECT array_id, piece, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM x GROUP BY array_id, piece")(lambda s, d: order.array_pieces(arrays.as_arrays(_sorted(s, d)), _PIECES).select("array_id", "piece", "n", F.aggregate("a", F.lit(0).cast("long"), lambda x, y: x + y).alias("total")))
+register("split_long_arrays", f"WITH {SORTED_SQL}, x AS (SELECT array_id, pos // {_PIECES} AS piece, v FROM a) SELECT array_id, piece, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM x GROUP BY array_id, piece")(lambda s, d: arrays.as_pieces(_sorted(s, d), _PIECES).select("array_id", "piece", F.size("a").cast("long").alias("n"), F.aggregate("a", F.lit(0).cast("long"), lambda x, y: x + y).alias("total")))
 register("length_classes", f"WITH {TOKENS}, l AS (SELECT rowid, count(*) AS v FROM tokens GROUP BY rowid) SELECT {WIDTH.format('v')} AS class, count(*) AS n FROM l GROUP BY 1")(lambda s, d: _tokens(s, d).groupBy("rowid").count().groupBy(width(F.col("count")).alias("class")).agg(F.count("*").alias("n")))
-register("arrays_by_length", f"WITH {SORTED_SQL} SELECT array_id, count(*) AS n FROM a GROUP BY array_id HAVING count(*) BETWEEN 100 AND 600")(lambda s, d: order.length_between(arrays.as_arrays(_sorted(s, d)), 100, 600).select("array_id", F.size("a").cast("long").alias("n")))
+register("arrays_by_length", f"WITH {SORTED_SQL} SELECT array_id, count(*) AS n FROM a GROUP BY array_id HAVING count(*) BETWEEN 100 AND 600")(lambda s, d: arrays.lengths(arrays.selected(_sorted(s, d), 100, 600)))
 
 # codec sizes and choices
 
@@ -251,18 +254,18 @@ register("codec_pfor_cost", f"WITH {_TABLE}, s AS (SELECT array_id, b, sum(e)::D
 for _n, _m in (("codec_binarypack_words", 8), ("codec_binarypack16_words", 16), ("codec_bp128_words", 32)):
     register(_n, f"WITH {MIXED_SQL}, w AS (SELECT array_id, pos // {4 * _m} AS blk, pos % {4 * _m} // {_m} AS m, max({WIDTH.format('v')}) AS b, count(*) AS n FROM a GROUP BY 1, 2, 3) SELECT array_id, blk, CAST(1 + sum(({_m} * b + 31) // 32) AS BIGINT) AS words FROM w GROUP BY array_id, blk HAVING sum(n) = {4 * _m}")(lambda s, d, m=_m: codec_sizes.binary_packing(_mixed(s, d), m))
 register("codec_simdbp_words", f"WITH {MIXED_SQL}, w AS (SELECT array_id, pos // 128 AS blk, max({WIDTH.format('v')}) AS b FROM a GROUP BY 1, 2 HAVING count(*) = 128) SELECT array_id, CAST(1 + 4 * ((count(*) + 15) // 16) + sum(4 * b) AS BIGINT) AS words FROM w GROUP BY array_id")(lambda s, d: codec_sizes.simd_packing(_mixed(s, d)))
-_SUMS = f"{MIXED_SQL}, s AS (SELECT array_id, count(*) AS n, CAST(sum({VB.format('v')}) AS BIGINT) AS vb, CAST(sum({BW.format('v')}) AS BIGINT) AS bw FROM a GROUP BY array_id), x AS (SELECT 'copy' AS codec, n, n AS words FROM s" + "".join(f" UNION ALL SELECT '{c}', n, (vb + 3) // 4 FROM s" for c in ("varint", "vbyte", "maskedvbyte")) + "".join(f" UNION ALL SELECT '{c}', n, (4 + (n + 3) // 4 + bw + 3) // 4 FROM s" for c in ("streamvbyte", "varintgb")) + ")"
-_SUMMED = f"WITH {_SUMS} SELECT codec, count(*) AS arrays, CAST(sum(n) AS BIGINT) AS n, CAST(sum(words) AS BIGINT) AS words, round(sum(words)::DOUBLE * 32 / sum(n)::DOUBLE, 6) AS bits_per_int FROM x GROUP BY codec"
+_SUMS = f"{MIXED_SQL}, s AS (SELECT array_id, count(*) AS n, CAST(sum({VB.format('v')}) AS BIGINT) AS vb, CAST(sum({BW.format('v')}) AS BIGINT) AS bw FROM a GROUP BY array_id, pos // 65536), x AS (SELECT 'copy' AS codec, array_id, n, n AS words FROM s" + "".join(f" UNION ALL SELECT '{c}', array_id, n, (vb + 3) // 4 FROM s" for c in ("varint", "vbyte", "maskedvbyte")) + "".join(f" UNION ALL SELECT '{c}', array_id, n, (4 + (n + 3) // 4 + bw + 3) // 4 FROM s" for c in ("streamvbyte", "varintgb")) + ")"
+_SUMMED = f"WITH {_SUMS} SELECT codec, count(DISTINCT array_id) AS arrays, CAST(sum(n) AS BIGINT) AS n, CAST(sum(words) AS BIGINT) AS words, round(sum(words)::DOUBLE * 32 / sum(n)::DOUBLE, 6) AS bits_per_int FROM x GROUP BY codec"
 register("codec_summary", _SUMMED)(lambda s, d: codec_sizes.array_words(_mixed(s, d)))
-_trips = lambda s, d, names=None: codecs.summary(codecs.round_trip(arrays.as_arrays(_mixed(s, d)), names))
+_trips = lambda s, d, names=None: codecs.summary(codecs.round_trip(arrays.as_pieces(_mixed(s, d)), names))
 register("codec_summary_real", _SUMMED)(lambda s, d: _trips(s, d, ["copy", "varint", "vbyte", "maskedvbyte", "streamvbyte", "varintgb"]).drop("mismatches"))
 for _n in codecs.CODECS:
     register(f"codec_roundtrip_{_n}", f"WITH {MIXED_SQL} SELECT '{_n}' AS codec, count(DISTINCT array_id) AS arrays, count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM a")(lambda s, d, n=_n: _trips(s, d, [n]).select("codec", "arrays", "n", "mismatches"))
 
 _DELTA = ["varint", "fastbinarypacking32", "simdfastpfor128", "vsencoding", "snappy"]
 _DELTA_SQL = f"c AS (SELECT unnest({_DELTA}) AS codec)"
-register("codec_roundtrip_delta", f"WITH {SORTED_SQL}, {_DELTA_SQL} SELECT codec, count(DISTINCT array_id) AS arrays, count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM a, c GROUP BY codec")(lambda s, d: codecs.summary(codecs.round_trip(arrays.as_arrays(_sorted(s, d)), _DELTA, delta=True)).select("codec", "arrays", "n", "mismatches"))
-register("codec_delta_refused", f"WITH {MIXED_SQL}, x AS (SELECT array_id, v < lag(v) OVER (PARTITION BY array_id ORDER BY pos) AS down FROM a) SELECT array_id, count(*) AS n FROM x GROUP BY array_id HAVING bool_or(coalesce(down, false))")(lambda s, d: codecs.round_trip(arrays.as_arrays(_mixed(s, d)), ["copy"], delta=True).where("words IS NULL").select("array_id", "n"))
+register("codec_roundtrip_delta", f"WITH {SORTED_SQL}, {_DELTA_SQL} SELECT codec, count(DISTINCT array_id) AS arrays, count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM a, c GROUP BY codec")(lambda s, d: codecs.summary(codecs.round_trip(arrays.as_pieces(_sorted(s, d)), _DELTA, delta=True)).select("codec", "arrays", "n", "mismatches"))
+register("codec_delta_refused", f"WITH {MIXED_SQL}, x AS (SELECT array_id, pos // 65536 AS piece, v < lag(v) OVER (PARTITION BY array_id, pos // 65536 ORDER BY pos) AS down FROM a) SELECT array_id, piece, count(*) AS n FROM x GROUP BY array_id, piece HAVING bool_or(coalesce(down, false))")(lambda s, d: codecs.round_trip(arrays.as_pieces(_mixed(s, d)), ["copy"], delta=True).where("words IS NULL").select("array_id", "piece", "n"))
 
 # generators: compared by shape in tests
 

@@ -34,6 +34,16 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_i")).drop("_part", "_i", "_start")
 
 
+def numbered_within(df: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """df with a long column 0, 1, 2, ... by `order` inside each value of `by`. One value may hold any share of the rows: it is spread over ranges, and
+    only its counts in these are summed up."""
+    rows = ranged(df, [by, *order])
+    held = rows.groupBy(by, "_part").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    lower = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = held.select(by, "_part", (F.coalesce(F.sum("_n").over(lower), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(shift, [by, "_part"]).withColumn(name, F.col("_i") + F.col("_shift")).drop("_part", "_i", "_shift")
+
+
 def running(df: DataFrame, order: str | list[str], value: str) -> DataFrame:
     """df with `start`, the sum of value over all rows before it by order (unique)."""
     rows = ranged(df, [order] if isinstance(order, str) else order)
