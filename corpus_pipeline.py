@@ -15,7 +15,11 @@ from lakeloom.session import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that the classifier chain, trained on the labels, calls toxic."""
+    """docs without those that the classifier chain, trained on the labels, calls toxic.
+
+    Each row is judged by its own text, a null one as empty; repeated rows and null ids fare alike. Without labels nothing is dropped.
+    An empty table gives an empty table. All columns stay, extra ones with any name too.
+    """
     ship(spark)
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 

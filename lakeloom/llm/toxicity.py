@@ -103,7 +103,7 @@ def fitted(rows: Rows, earlier: np.ndarray, wanted: np.ndarray, size: int) -> Li
     """A penalised logistic model; a word's value is its smoothed log-odds, so words that tell nothing stay near 0."""
     n, m = len(wanted), earlier.shape[1]
     if not n or wanted.all() or not wanted.any():
-        rate = (wanted.sum() + 0.5) / (n + 1)
+        rate = (wanted.sum() + 0.5) / (n + 2)  # below a half without rows
         return Link(np.zeros(size), np.zeros(m), float(np.log(rate / (1 - rate))))
     yes, no = rows.back(wanted * 1.0, size) + 1, rows.back(1.0 - wanted, size) + 1
     odds = np.log(yes / yes.sum() * no.sum() / no)
@@ -160,7 +160,7 @@ class Chain:
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, most_rows: int = 2_000, most_words: int = 32_768, least_rows: int = 3) -> Chain:
     """A chain fitted on most_rows labelled documents at most. Labels that name no document, or with a null, are not used; of
-    several labels of a document the greater toxic and the lesser quality hold."""
+    several labels of a document the greater toxic and the lesser quality hold; of several texts with one id that with the least hash."""
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality")).where("toxic is not null and quality is not null")
     marks = marks.select("label_id", F.xxhash64("label_id").alias("h"), *[F.expr(sql).cast("int").alias(f"y{j}") for j, sql in enumerate(categories.values())])
     ids = docs.select(F.col("doc_id").cast("long").alias("label_id")).distinct()
@@ -175,9 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
 
     names = [f"y{j}" for j in range(len(categories))]
     texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text"))
-    held = texts.join(F.broadcast(chosen), "label_id").select("text", "h", "label_id", *names)
-    # repeated documents would leave the bound: one row for each label
-    held = held.mapInArrow(rows, ", ".join(["h long", "label_id long", *[f"{n} int" for n in names], "words array<long>"])).groupBy("label_id").agg(*[F.first(c).alias(c) for c in ("h", *names, "words")])
+    held = texts.join(F.broadcast(chosen), "label_id").select("text", "h", "label_id", *names, F.xxhash64("text").alias("t"))
+    # repeated documents would leave the bound: one row for each label, that of the text with the least hash
+    held = held.mapInArrow(rows, ", ".join(["h long", "label_id long", *[f"{n} int" for n in names], "t long", "words array<long>"]))
+    held = held.groupBy("label_id").agg(F.min_by(F.struct("h", *names, "words"), "t").alias("x")).select("label_id", "x.*")
     got = held.toArrow().sort_by([("h", "ascending"), ("label_id", "ascending")])
     words = got.column("words").combine_chunks()
     flat, cuts = words.values.to_numpy().view(np.uint64), words.offsets.to_numpy().astype(np.int64)
@@ -213,7 +214,8 @@ def score(docs: DataFrame, model: Chain, threshold: float = 0.5) -> DataFrame:
     """(doc_id, p_<category> for each category, rejected) of every row of docs(doc_id, text).
 
     rejected: the first category's probability is threshold or more. Null text counts as empty; an empty text gets the models'
-    bias; repeated rows and null ids are each scored; an empty table gives an empty table; other columns are ignored.
+    bias; repeated rows and null ids are each scored; an empty table gives an empty table; other columns are ignored. A model without
+    labelled rows rejects nothing. Texts of any length are scored whole.
     """
     names = [f"p_{n}" for n in model.names]
 
@@ -233,7 +235,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CA
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows that the chain rejects; all columns stay as they are."""
+    """docs without the rows that the chain rejects, each judged by its own text; all columns stay as they are. Edges as in score."""
     model = train(docs, labels)
     schema = docs.schema
     at = [f.lower() for f in schema.names].index("text")

@@ -55,7 +55,17 @@ def test_empty_tables(spark):
     docs, labels, _ = made(40)
     none = spark.createDataFrame([], LABELS)
     assert toxicity(spark.createDataFrame([], DOCS), spark.createDataFrame(labels, LABELS)).count() == 0
-    assert toxicity(spark.createDataFrame(docs, DOCS), none).where("rejected").count() in (0, 40)
+    assert toxicity(spark.createDataFrame(docs, DOCS), none).where("rejected").count() == 0
+    assert without_toxic(spark.createDataFrame(docs, DOCS), none).count() == 40
+
+
+def test_repeated_ids_train_alike_in_any_order(spark):
+    docs, labels, _ = made(120)
+    docs += [(i, f"grolm another text {i % 5}", "en", 0.0) for i in range(0, 60, 3)] * 2
+    marks = spark.createDataFrame(labels, LABELS)
+    one, other = (train(spark.createDataFrame(d, DOCS).repartition(n), marks) for d, n in ((docs, 1), (docs[::-1], 7)))
+    assert (one.keys == other.keys).all()
+    assert all((a.words == b.words).all() and a.bias == b.bias for a, b in zip(one.links, other.links, strict=True))
 
 
 def test_out_of_fold(spark):
