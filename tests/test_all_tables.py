@@ -49,7 +49,7 @@ def con(sf_dir):
     return con
 
 
-CHECKED = ["lake_cells", "lake_entry_count", "idx_dedup", "idx_pieces", "lookup_single", "lookup_batch", "lookup_positions", "count_occurrences", "keys_sample_positions", "profile_info", "hist_bitwidth_rows", "sort_order_rank", "sample_hash_10pct", "dict_blocks", "dict_front_bytes", "dict_lookup_block", "posting_vbyte_bytes", "arena_offsets", "layout_summary", "layout_roundtrip_pfor_split+dedup", "layout_roundtrip_smaz+dedup", "lookup_encoded", "ext_column_overlap"]
+CHECKED = ["lake_cells", "lake_entry_count", "idx_dedup", "idx_pieces", "lookup_single", "lookup_batch", "lookup_positions", "count_occurrences", "keys_sample_positions", "profile_info", "hist_bitwidth_rows", "sort_order_rank", "sample_hash_10pct", "dict_blocks", "dict_front_bytes", "dict_lookup_block", "posting_vbyte_bytes", "arena_offsets", "layout_summary", "layout_roundtrip_pfor_split+dedup", "layout_roundtrip_smaz+dedup", "lookup_encoded", "lookup_in_front_blocks", "idx_flat_lists", "ext_column_overlap"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
