@@ -1,224 +1,284 @@
-"""Index layouts as real bytes: coded keys by position, postings by position (in arenas where the layout has one), and lookups."""
+"""Index layouts as real bytes: coded keys and postings in bundles that follow the order of cells, and lookups in them.
+
+Cells are sorted once into Spark's ranges, and each range is coded as it comes out of the sort, without another shuffle. A bundle is a run of
+cells: its keys in coded blocks, its payloads one after the other in a buffer, and of each payload the place of its key. It ends between two
+blocks of keys where it can, so a key is stored again only where a range ends inside it or where one block of keys has more cells than a bundle.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import blocks as bytes_of
-from ..ranges import latest, numbered, running
+from ..functions import batches, blocks as bytes_of
+from ..ranges import latest, running
 from ..store import dropped, written
-from .index import pieces
-from .layouts import LAYOUTS, layout
+from .index import PIECE
+from .layouts import LAYOUTS, Layout, layout
 from .order import CELL_ORDER
 
 #: Keys from which a book of fragments is learned (those with the smallest hash).
 BOOK_KEYS = 2_000
-#: Bytes of a buffer; a slice lies in the buffer in which it starts, so one is longer by a slice at most.
-ARENA = 1 << 20
+#: Bytes of a buffer at most, and of a payload for each of its cells.
+ARENA, CELL_BYTES = 1 << 20, 32
+#: Cells of a bundle, and bytes of their texts, after which it ends.
+BUNDLE, BUNDLE_BYTES = 1 << 16, 8 << 20
 _CELLS = "tokenized string, tableid long, colid long, rowid long"
+#: Offsets of coded blocks in `keys`, of each payload the place of its key, offsets of payloads in `payloads`: integers of 8 bytes.
+_BUNDLE = "first_key string, last_key string, n_keys long, n_cells long, blocks binary, keys binary, places binary, cuts binary, payloads binary"
 
 
 @dataclass(frozen=True)
 class Index:
-    """keys(block_id, first_key, data); postings(pos, piece, payload), or slices(pos, piece, arena_id, start, length) of
-    arenas(arena_id, base, data). A key's position is block_id * block + its place in the block."""
+    """bundles(bundle_id, first_key, last_key, n_keys, n_cells, blocks, keys, places, cuts, payloads), ordered by bundle_id."""
 
     name: str
-    keys: DataFrame
-    postings: DataFrame | None
-    slices: DataFrame | None
-    arenas: DataFrame | None
+    bundles: DataFrame
     book: bytes_of.ShortStrings | None
 
-    def drop(self) -> None:
-        """Deletes the tables of an index that was built with keep."""
-        dropped(self.keys, self.postings, self.slices, self.arenas)
+    @property
+    def slices(self) -> DataFrame:
+        """(arena_id, start, length) of every payload; start counts from the first buffer on."""
 
+        def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for arena, base, cuts in zip(frame.arena_id, frame.base, frame.cuts, strict=True):
+                    cuts = np.frombuffer(cuts, np.int64)
+                    yield pd.DataFrame({"arena_id": arena, "start": base + cuts[:-1], "length": np.diff(cuts)})
 
-def learn_book(cells: DataFrame) -> bytes_of.ShortStrings:
-    rows = cells.select("tokenized", F.xxhash64("tokenized").alias("h")).distinct().orderBy("h", "tokenized").limit(BOOK_KEYS).collect()
-    return bytes_of.ShortStrings.learned([r.tokenized for r in rows])
+        return self._based().select("arena_id", "base", "cuts").mapInPandas(rows, "arena_id long, start long, length long")
 
+    @property
+    def arenas(self) -> DataFrame:
+        """(arena_id, base, data): the buffers of payloads."""
+        return self._based().select("arena_id", "base", "data")
 
-def placed(cells: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """keys(pos, key) and lists(pos, piece, ints). Positions go by text where keys are stored once, by cell where they repeat."""
-    ids = lambda x: F.array(x.tableid, x.colid, x.rowid)
-    if not layout(name).once:
-        rows = numbered(cells.select(*CELL_ORDER), CELL_ORDER, "pos")
-        return rows.select("pos", F.col("tokenized").alias("key")), rows.select("pos", F.lit("").alias("piece"), F.array("tableid", "colid", "rowid").alias("ints"))
-    keys = numbered(cells.select(F.col("tokenized").alias("key")).distinct(), ["key"], "pos")
-    lists = pieces(cells).join(keys.withColumnRenamed("key", "tokenized"), "tokenized")
-    return keys.select("pos", "key"), lists.select("pos", F.concat_ws("/", "tableid", "colid", "piece").alias("piece"), F.flatten(F.transform("locs", ids)).alias("ints"))
+    def _based(self) -> DataFrame:
+        held = self.bundles.select(F.col("bundle_id").alias("arena_id"), "cuts", F.col("payloads").alias("data"), F.octet_length("payloads").cast("long").alias("size"))
+        return running(held, "arena_id", "size").withColumnRenamed("start", "base")
 
+    def drop(self) -> None:
+        """Deletes the table of the index."""
+        dropped(self.bundles)
 
-def encode_postings(lists: DataFrame, name: str) -> DataFrame:
-    """(pos, piece, payload): location lists as bytes."""
-    how = layout(name).postings
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"pos": frame.pos, "piece": frame.piece, "payload": [bytes_of.encode_postings([int(x) for x in i], how) for i in frame.ints]})
+def learn_book(cells: DataFrame) -> bytes_of.ShortStrings:
+    rows = cells.select("tokenized", F.xxhash64("tokenized").alias("h")).distinct().orderBy("h", "tokenized").limit(BOOK_KEYS).collect()
+    return bytes_of.ShortStrings.learned([r.tokenized for r in rows])
 
-    return lists.mapInPandas(rows, "pos long, piece string, payload binary")
 
+class _Bundler:
+    """Sorted cells to bundles of a layout."""
+
+    def __init__(self, x: Layout, book: bytes_of.ShortStrings | None, arena: int, full: int):
+        self.x, self.book, self.arena, self.full = x, book, arena, full
+        self.block = max(1, x.block)
+        self.held: list[pa.RecordBatch] = []
+        self.cells = self.bytes = 0
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Takes a batch, gives the bundles that are full."""
+        at = batches.from_arrow(batch.column(0))[1]
+        first = 0
+        while first < len(at) - 1:
+            # as many rows as fit, one at least
+            room = min(first + self.full - self.cells, int(np.searchsorted(at, at[first] + BUNDLE_BYTES - self.bytes, "right")) - 1)
+            last = min(len(at) - 1, max(room, first + 1))
+            self.held.append(batch.slice(first, last - first))
+            self.cells, self.bytes = self.cells + last - first, self.bytes + int(at[last] - at[first])
+            first = last
+            if self.cells >= self.full or self.bytes >= BUNDLE_BYTES or first < len(at) - 1:
+                yield from self.flush(False)
+
+    def flush(self, over: bool) -> Iterator[pa.RecordBatch]:
+        if not self.cells:
+            return
+        columns = [pa.concat_arrays([b.column(i) for b in self.held]) for i in range(4)]
+        keys, ids = batches.from_arrow(columns[0]), np.stack([c.to_numpy() for c in columns[1:]], axis=1)
+        new = changes(keys) if self.x.once else np.ones(len(ids), bool)
+        heads = np.flatnonzero(new)
+        end = len(ids)
+        if not over and len(heads) > self.block:
+            # the block of keys that the next cells may go on with stays
+            end = int(heads[(len(heads) - 1) // self.block * self.block])
+        heads = heads[heads < end]
+        rest = [c.slice(end) for c in columns]
+        self.held = [pa.RecordBatch.from_arrays(rest, ["tokenized", *CELL_ORDER[1:]])] if len(rest[0]) else []
+        self.cells, self.bytes = len(rest[0]), int(keys[1][-1] - keys[1][end])
+        for first, last in self._buffers(heads, end):
+            mine = heads[np.searchsorted(heads, first, "right") - 1 : np.searchsorted(heads, last)]
+            yield self._bundle(columns[0], keys, ids, np.maximum(mine, first), first, last)
+
+    def _buffers(self, heads: np.ndarray, end: int) -> Iterator[tuple[int, int]]:
+        """The parts of cells whose payloads fill one buffer each; one where the layout has no buffers. No code takes more than CELL_BYTES a cell."""
+        step = max(1, self.arena // CELL_BYTES) if self.x.arena else end
+        first = 0
+        while first < end:
+            last = min(end, first + step)
+            # between two blocks of keys where there is one
+            cut = heads[:: self.block]
+            cut = cut[(cut > first) & (cut <= last)]
+            last = int(cut[-1]) if len(cut) and last < end else last
+            yield first, last
+            first = last
+
+    def _bundle(self, texts: pa.Array, keys: batches.Ragged, ids: np.ndarray, heads: np.ndarray, first: int, last: int) -> pa.RecordBatch:
+        ids = ids[first:last]
+        data, start, size = batches.runs(keys)
+        own = batches.joined((data, start[heads], size[heads]))
+        place = np.zeros(last - first, np.int64)
+        place[heads - first] = 1
+        place = np.cumsum(place) - 1
+        coded = batches.encode_keys(own, np.arange(0, len(heads), self.block), self.x.keys, self.book)
+        begins = np.arange(last - first)
+        if self.x.once:
+            run = np.stack([place, ids[:, 0], ids[:, 1], ids[:, 2] // PIECE], axis=1)
+            begins = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]).any(axis=1)]))
+        payloads, cuts = batches.encode_postings(ids.ravel(), 3 * np.diff(np.append(begins, last - first)), self.x.postings)
+        raw = [coded[1], coded[0], place[begins], cuts, payloads]
+        values = [texts[first].as_py(), texts[last - 1].as_py(), len(heads), last - first, *[x.tobytes() for x in raw]]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in _BUNDLE.split(", ")])
+
+
+def changes(keys: batches.Ragged) -> np.ndarray:
+    """Which of sorted keys differ from the one before."""
+    data, start, size = batches.runs(keys)
+    before = np.maximum(np.arange(len(size)) - 1, 0)
+    alike = np.flatnonzero((size == size[before]) & (np.arange(len(size)) > 0))
+    out = np.ones(len(size), bool)
+    out[alike] = batches.shared(data, start[alike], size[alike], start[alike - 1], size[alike]) < size[alike]
+    return out
 
-def decode_postings(postings: DataFrame, name: str) -> DataFrame:
-    """The cells of postings(tokenized, payload)."""
-    how = layout(name).postings
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def coded(cells: DataFrame, name: str, book: bytes_of.ShortStrings | None) -> DataFrame:
+    """The bundles of a layout, in the order of cells."""
+    x, arena, full = layout(name), ARENA, BUNDLE
+
+    def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Bundler(x, book, arena, full)
         for frame in frames:
-            out = []
-            for key, payload in zip(frame.tokenized, frame.payload, strict=True):
-                ints = bytes_of.decode_postings(bytes(payload), how)
-                out += [(key, *ints[i : i + 3]) for i in range(0, len(ints), 3)]
-            yield pd.DataFrame(out, columns=["tokenized", "tableid", "colid", "rowid"])
+            yield from held.add(frame)
+        yield from held.flush(True)
 
-    return postings.select("tokenized", "payload").mapInPandas(rows, _CELLS)
+    placed = cells.select(*CELL_ORDER).repartitionByRange(*CELL_ORDER).sortWithinPartitions(*CELL_ORDER)
+    return placed.mapInArrow(rows, _BUNDLE)
 
 
-def encode_keys(keys: DataFrame, name: str, book: bytes_of.ShortStrings | None = None) -> DataFrame:
-    """(block_id, first_key, data): keys(pos, key) in coded blocks (blocks of one key for plain and short keys)."""
-    x = layout(name)
-    block = F.floor(F.col("pos") / max(1, x.block)).cast("long").alias("block_id")
-    held = keys.groupBy(block).agg(F.array_sort(F.collect_list("key")).alias("keys"))
+def _ints(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.int64)
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"block_id": frame.block_id, "first_key": [k[0] for k in frame["keys"]], "data": [_key_bytes(list(k), x.keys, book) for k in frame["keys"]]})
 
-    return held.mapInPandas(rows, "block_id long, first_key string, data binary")
+def _decoded(keys: batches.Ragged, places: np.ndarray, payloads: batches.Ragged, how: str) -> Iterator[pa.RecordBatch]:
+    """The cells of payloads, whose keys stand at `places`."""
+    ints, sizes = batches.decode_postings(payloads, how)
+    ids, key = ints.reshape(-1, 3), np.repeat(places, sizes // 3)
+    data, start, size = batches.runs(keys)
+    grown = np.cumsum(size[key])
+    first = 0
+    while first < len(key):
+        # one key may stand in many cells: rows go out by their bytes
+        last = max(first + 1, int(np.searchsorted(grown, (grown[first - 1] if first else 0) + BUNDLE_BYTES, "right")))
+        mine = key[first:last]
+        texts = batches.to_arrow(batches.joined((data, start[mine], size[mine])), pa.string())
+        yield pa.RecordBatch.from_arrays([texts, *[pa.array(np.ascontiguousarray(ids[first:last, i])) for i in range(3)]], CELL_ORDER)
+        first = last
 
 
-def decode_keys(coded: DataFrame, name: str, book: bytes_of.ShortStrings | None = None) -> DataFrame:
-    """(pos, key) of all keys."""
+def _uncoded(bundles: DataFrame, name: str, book: bytes_of.ShortStrings | None) -> DataFrame:
+    """All cells of bundles, from their bytes."""
     x = layout(name)
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            out = []
-            for block, data in zip(frame.block_id, frame.data, strict=True):
-                out += [(block * max(1, x.block) + i, k) for i, k in enumerate(_bytes_keys(bytes(data), x.keys, book))]
-            yield pd.DataFrame(out, columns=["pos", "key"])
+            for blocks, keys, places, cuts, payloads in zip(*[c.to_pylist() for c in frame.columns], strict=True):
+                texts, _ = batches.decode_keys((np.frombuffer(keys, np.uint8), _ints(blocks)), x.keys, book)
+                yield from _decoded(texts, _ints(places), (np.frombuffer(payloads, np.uint8), _ints(cuts)), x.postings)
 
-    return coded.select("block_id", "data").mapInPandas(rows, "pos long, key string")
+    return bundles.select("blocks", "keys", "places", "cuts", "payloads").mapInArrow(rows, _CELLS)
 
 
-def _key_bytes(keys: list[str], how: str, book: bytes_of.ShortStrings | None) -> bytes:
-    if how == "front":
-        return bytes_of.front(keys)
-    if how == "incr":
-        return bytes_of.incremental(keys)
-    return book.encode(keys[0]) if how == "short" else keys[0].encode()
-
-
-def _bytes_keys(data: bytes, how: str, book: bytes_of.ShortStrings | None) -> list[str]:
-    if how == "front":
-        return bytes_of.unfront(data)
-    if how == "incr":
-        return bytes_of.unincremental(data)
-    return [book.decode(data) if how == "short" else data.decode()]
-
-
-def in_arenas(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """slices(pos, piece, arena_id, start, length) and arenas(arena_id, base, data): payloads one after the other by position."""
-    rows = running(postings.withColumn("length", F.octet_length("payload").cast("long")), ["pos", "piece"], "length")
-    rows = rows.withColumn("arena_id", F.floor(F.col("start") / ARENA).cast("long"))
-    held = rows.groupBy("arena_id").agg(F.min("start").alias("base"), F.array_sort(F.collect_list(F.struct("start", "payload"))).alias("held"))
-    joined = F.unhex(F.array_join(F.transform("held", lambda x: F.hex(x.payload)), ""))
-    return rows.select("pos", "piece", "arena_id", "start", "length"), held.select("arena_id", "base", joined.alias("data"))
+def _book(cells: DataFrame, name: str) -> bytes_of.ShortStrings | None:
+    return learn_book(cells) if layout(name).keys == "short" else None
 
 
 def build(cells: DataFrame, name: str, keep: bool = False) -> Index:
-    """The index of a layout; keep: its tables are written, so that lookups read bytes."""
-    held = written if keep else (lambda df: df)
-    book = learn_book(cells) if layout(name).keys == "short" else None
-    keys, lists = placed(cells, name)
-    coded, postings = held(encode_keys(keys, name, book)), encode_postings(lists, name)
-    if not layout(name).arena:
-        return Index(name, coded, held(postings), None, None, book)
-    slices, arenas = in_arenas(postings)
-    return Index(name, coded, None, held(slices), held(arenas), book)
-
-
-def payloads(index: Index, places: DataFrame) -> DataFrame:
-    """(tokenized, payload) of places(pos, key): read by position, out of the arenas where there are some."""
-    at = places.select("pos", F.col("key").alias("tokenized"))
-    if index.arenas is None:
-        return index.postings.join(at, "pos").select("tokenized", "payload")
-    slice_ = F.expr("substring(data, CAST(start - base + 1 AS INT), CAST(length AS INT))")
-    return index.slices.join(at, "pos").join(index.arenas, "arena_id").select("tokenized", slice_.alias("payload"))
+    """The index of a layout, written, so that lookups read bytes; keep: its caller drops it."""
+    book = _book(cells, name)
+    return Index(name, written(coded(cells, name, book).withColumn("bundle_id", F.monotonically_increasing_id())), book)
 
 
 def round_trip(cells: DataFrame, name: str) -> DataFrame:
     """The cells after a layout's keys and postings were made bytes and read back; texts come from the coded keys only."""
-    index = build(cells, name)
-    return decode_postings(payloads(index, decode_keys(index.keys, name, index.book)), name)
+    book = _book(cells, name)
+    return _uncoded(coded(cells, name, book), name, book)
 
 
-def find_keys(index: Index, probes: DataFrame) -> DataFrame:
-    """(pos, key) of those of probes(key) that the index holds.
-
-    Plain and short keys: the probe is coded and compared with coded keys. Blocks: the last one that starts below the probe and all that
-    start with it (repeated keys) are candidates; only these are decoded.
-    """
-    x, book, wanted = layout(index.name), index.book, probes.select("key").distinct()
-    if not x.block:
+def candidates(index: Index, probes: DataFrame) -> DataFrame:
+    """(key, bundle_id) of the bundles that may hold each of probes(key): the last one that begins below it and all that begin with it."""
+    wanted = probes.select("key").distinct()
+    heads = index.bundles.select(F.col("first_key").alias("key"), F.col("bundle_id").alias("blk"), F.lit(1).alias("flag"))
+    mixed = heads.unionByName(wanted.select("key", F.lit(None).cast("long").alias("blk"), F.lit(0).alias("flag")))
+    below = latest(mixed, ["key", "flag", "blk"], "blk", "bundle_id").where("flag = 0 AND bundle_id IS NOT NULL").select("key", "bundle_id")
+    return below.unionByName(wanted.join(heads, "key").select("key", F.col("blk").alias("bundle_id")))
 
-        def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                yield pd.DataFrame({"key": frame.key, "data": [_key_bytes([k], x.keys, book) for k in frame.key]})
 
-        return index.keys.join(wanted.mapInPandas(coded, "key string, data binary"), "data").select(F.col("block_id").alias("pos"), "key")
-    heads = index.keys.select(F.col("first_key").alias("key"), F.col("block_id").alias("blk"), F.lit(1).alias("flag"))
-    mixed = heads.unionByName(wanted.select("key", F.lit(None).cast("long").alias("blk"), F.lit(0).alias("flag")))
-    below = latest(mixed, ["key", "flag", "blk"], "blk", "block_id").where("flag = 0 AND block_id IS NOT NULL").select("key", "block_id")
-    same = wanted.join(heads, "key").select("key", F.col("blk").alias("block_id"))
-    candidates = below.unionByName(same).join(index.keys.select("block_id", "data"), "block_id")
+def lookup(index: Index, probes: DataFrame) -> DataFrame:
+    """Cells of probes(key). Probes are compared with coded keys (plain and short keys), or with the keys of the only blocks that may hold them; only the
+    payloads found are decoded."""
+    x, book = layout(index.name), index.book
+    asked = candidates(index, probes).groupBy("bundle_id").agg(F.collect_set("key").alias("probes"))
+    held = index.bundles.select("bundle_id", "blocks", "keys", "places", "cuts", "payloads").join(asked, "bundle_id").drop("bundle_id")
 
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            out = []
-            for key, block, data in zip(frame.key, frame.block_id, frame.data, strict=True):
-                out += [(block * x.block + i, key) for i, k in enumerate(_bytes_keys(bytes(data), x.keys, book)) if k == key]
-            yield pd.DataFrame(out, columns=["pos", "key"]).astype({"pos": "int64"})
+            for blocks, keys, places, cuts, payloads, probes in zip(*[c.to_pylist() for c in frame.columns], strict=True):
+                found, texts = _found(keys, _ints(blocks), probes, x, book)
+                places, (data, start, size) = _ints(places), batches.runs((np.frombuffer(payloads, np.uint8), _ints(cuts)))
+                mine = np.flatnonzero(np.isin(places, found))
+                if len(mine):
+                    raw = [texts[i].encode() for i in found.tolist()]
+                    own = np.frombuffer(b"".join(raw), np.uint8), batches.offsets_of(np.array([len(r) for r in raw], np.int64))
+                    yield from _decoded(own, np.searchsorted(found, places[mine]), batches.joined((data, start[mine], size[mine])), x.postings)
 
-    return candidates.select("key", "block_id", "data").mapInPandas(search, "pos long, key string")
+    return held.mapInArrow(rows, _CELLS)
 
 
-def lookup(index: Index, probes: DataFrame) -> DataFrame:
-    """Cells of probes(key): coded keys are searched, and only the payloads found are decoded."""
-    return decode_postings(payloads(index, find_keys(index, probes)), index.name)
+def _found(keys: bytes, cuts: np.ndarray, probes: list[str], x: Layout, book: bytes_of.ShortStrings | None) -> tuple[np.ndarray, dict[int, str]]:
+    """Places of a bundle's keys that are among the probes, in order, and their texts."""
+    if not x.block:
+        wanted = {(p.encode() if x.keys == "plain" else book.encode(p)): p for p in probes}
+        near = np.flatnonzero(np.isin(np.diff(cuts), [len(w) for w in wanted])).tolist()
+        texts = {i: wanted[k] for i in near if (k := keys[cuts[i] : cuts[i + 1]]) in wanted}
+        return np.array(list(texts), np.int64), texts
+    first_of = lambda i: _block(keys[cuts[i] : cuts[i + 1]], x.keys)[0].encode()
+    texts = {}
+    for probe in probes:
+        raw, low, high = probe.encode(), 0, len(cuts) - 1
+        while low < high:  # the first block that begins with the probe or after it; the one before may hold it too
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if first_of(middle) < raw else (low, middle)
+        for i in range(max(0, low - 1), len(cuts) - 1):
+            held = _block(keys[cuts[i] : cuts[i + 1]], x.keys)
+            if held[0].encode() > raw:
+                break
+            texts |= {i * x.block + j: k for j, k in enumerate(held) if k == probe}
+    return np.array(sorted(texts), np.int64), texts
+
+
+def _block(data: bytes, how: str) -> list[str]:
+    return bytes_of.unfront(data) if how == "front" else bytes_of.unincremental(data)
 
 
 def real_sizes(cells: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(layout, cells, keys, blocks, payloads, key_bytes, posting_bytes), counted from the bytes themselves. Layouts that store keys or postings
-    alike share one count."""
+    """(layout, cells, keys, blocks, payloads, key_bytes, posting_bytes), counted from the bytes themselves. Blocks of keys are those of the whole order, lists
+    those of whole pieces."""
+    from .tally import sizes
+
     names = list(LAYOUTS) if names is None else names
-    spark = cells.sparkSession
-    total = cells.agg(F.count("*").alias("cells"))
-    keyed, posted = {}, {}
-    for name in names:
-        x = layout(name)
-        keys, lists = placed(cells, name)
-        k, p = f"{x.keys}/{x.once}/{x.block}", f"{x.postings}/{x.once}"
-        if k not in keyed:
-            book = learn_book(cells) if x.keys == "short" else None
-            coded = encode_keys(keys, name, book).agg(F.count("*").alias("blocks"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).cast("long").alias("key_bytes"))
-            keyed[k] = coded.crossJoin(keys.agg(F.count("*").alias("keys"))).select(F.lit(k).alias("k"), "keys", "blocks", "key_bytes")
-        if p not in posted:
-            posted[p] = encode_postings(lists, name).agg(F.lit(p).alias("p"), F.count("*").alias("payloads"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).cast("long").alias("posting_bytes"))
-    which = spark.createDataFrame([(n, f"{layout(n).keys}/{layout(n).once}/{layout(n).block}", f"{layout(n).postings}/{layout(n).once}") for n in names], "layout string, k string, p string")
-    one = lambda frames: written(_union(list(frames.values())))
-    return which.join(one(keyed), "k").join(one(posted), "p").crossJoin(F.broadcast(total)).select("layout", "cells", "keys", "blocks", "payloads", "key_bytes", "posting_bytes")
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for df in frames[1:]:
-        out = out.unionByName(df)
-    return out
+    return sizes(cells, names, book=learn_book(cells) if any(layout(n).keys == "short" for n in names) else None)

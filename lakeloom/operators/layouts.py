@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.bits import byte_width, ceil_div, varint_bytes
-from ..ranges import numbered, running
+from ..functions import batches
+from ..ranges import running
 from .codec_sizes import posting_bytes
-from .dictionary import front_sizes, incremental_sizes
-from .index import PIECE
-from .order import CELL_ORDER
 
 
 @dataclass(frozen=True)
@@ -69,47 +67,55 @@ def arena_offsets(cells: DataFrame) -> DataFrame:
 MODELLED = [n for n, x in LAYOUTS.items() if x.keys != "short" and not x.postings.startswith("pfor")]
 
 
-def _grouped_bytes(n: Column, widths: Column) -> Column:
-    """Bytes of n group varints whose byte widths sum up to `widths`: a word that counts them, widths, values, whole words."""
-    return 4 * ceil_div(4 + ceil_div(n, 4) + widths, 4)
-
-
-def _framed_bytes(size: Column) -> Column:
-    return varint_bytes(size) + size
+def _widths(x: np.ndarray) -> np.ndarray:
+    return 1 + (x >= 1 << 8).astype(np.int64) + (x >= 1 << 16) + (x >= 1 << 24)
 
 
-def payload_sizes(lists: DataFrame) -> DataFrame:
-    """(n, plain, gve, gve_split, vbyte): bytes of the payload of each of lists(n, t, c, r, v), where n locations have one tableid of t bytes,
-    byte widths of colid and rowid sum up to c and r, and their varints to v bytes."""
-    n, t, c, r = F.col("n"), F.col("t"), F.col("c"), F.col("r")
-    head = varint_bytes(3 * n)
-    return lists.select(
-        "n",
-        (head + 12 * n).alias("plain"),
-        (head + _grouped_bytes(3 * n, n * t + c + r)).alias("gve"),
-        (head + _framed_bytes(_grouped_bytes(n, t + n - 1)) + _framed_bytes(_grouped_bytes(2 * n, c + r))).alias("gve_split"),
-        (head + _framed_bytes(F.col("v")) + _framed_bytes(_grouped_bytes(n, n * t))).alias("vbyte"),
-    )
+def _grouped_bytes(n: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Bytes of n group varints whose byte widths sum up to `widths`: a word that counts them, widths, values, whole words."""
+    return -(-(4 + -(-n // 4) + widths) // 4) * 4
+
+
+def _framed_bytes(size: np.ndarray) -> np.ndarray:
+    return batches.varint_sizes(size) + size
+
+
+def model_list_bytes(how: str, ints: np.ndarray, sizes: np.ndarray) -> int:
+    """Bytes of the payloads of lists of sizes[i] integers (tableid, colid, rowid, ...) by formula; a list has one tableid."""
+    n, ids = sizes // 3, ints.reshape(-1, 3)
+    summed = lambda x: np.diff(batches.offsets_of(x)[np.append(0, np.cumsum(n))])
+    t, (c, r) = _widths(ids[np.cumsum(n) - n, 0]) if len(ids) else n, (summed(_widths(ids[:, i])) for i in (1, 2))
+    if how == "plain":
+        body = 12 * n
+    elif how == "gve":
+        body = _grouped_bytes(3 * n, n * t + c + r)
+    elif how == "gve_split":
+        body = _framed_bytes(_grouped_bytes(n, t + n - 1)) + _framed_bytes(_grouped_bytes(2 * n, c + r))
+    elif how == "vbyte":
+        body = _framed_bytes(summed(batches.varint_sizes(ids[:, 1]) + batches.varint_sizes(ids[:, 2]))) + _framed_bytes(_grouped_bytes(n, n * t))
+    else:
+        raise ValueError(f"no model of {how!r}")
+    return int((batches.varint_sizes(sizes) + body).sum())
+
+
+def model_key_bytes(how: str, keys: batches.Ragged, firsts: np.ndarray, book: object = None) -> int:
+    """Bytes of sorted keys in blocks that begin at `firsts`, by formula. A block's common prefix is that of its first and last key."""
+    data, start, size = batches.runs(keys)
+    if how == "plain":
+        return int(size.sum())
+    ends = np.append(firsts[1:], len(size))
+    if how == "front":
+        p = batches.shared(data, start[firsts], size[firsts], start[ends - 1], size[ends - 1])
+        return int(_framed_bytes(p).sum() + _framed_bytes(size - np.repeat(p, ends - firsts)).sum())
+    if how != "incr":
+        raise ValueError(f"no model of {how!r}")
+    more = np.setdiff1d(np.arange(len(size)), firsts, assume_unique=True)
+    p = batches.shared(data, start[more - 1], size[more - 1], start[more], size[more])
+    return int(_framed_bytes(size[firsts]).sum() + batches.varint_sizes(p).sum() + _framed_bytes(size[more] - p).sum())
 
 
 def modelled_sizes(cells: DataFrame) -> DataFrame:
     """(layout, cells, keys, blocks, payloads, key_bytes, posting_bytes) of the MODELLED layouts, without coding anything."""
-    sized = cells.select("tokenized", *CELL_ORDER[1:], byte_width(F.col("tableid")).alias("t"), byte_width(F.col("colid")).alias("c"), byte_width(F.col("rowid")).alias("r"), (varint_bytes(F.col("colid")) + varint_bytes(F.col("rowid"))).alias("v"))
-    grouped = sized.groupBy("tokenized", "tableid", "colid", F.floor(F.col("rowid") / PIECE)).agg(F.count("*").alias("n"), F.max("t").alias("t"), *[F.sum(x).alias(x) for x in "crv"])
-    total = lambda df, end: payload_sizes(df).agg(F.sum("n").alias(f"cells_{end}"), F.count("*").alias(f"payloads_{end}"), *[F.sum(x).cast("long").alias(f"{x}_{end}") for x in ("plain", "gve", "gve_split", "vbyte")])
-    size = F.octet_length("tokenized").cast("long")
-    texts = cells.groupBy("tokenized").agg(F.count("*").alias("n")).agg(F.count("*").alias("keys"), F.sum(size).alias("plain_keys_once"), F.sum(size * F.col("n")).alias("plain_keys_each"))
-    once = numbered(cells.select(F.col("tokenized").alias("key")).distinct(), ["key"], "pos")
-    each = numbered(cells.select(*CELL_ORDER), CELL_ORDER, "pos").withColumnRenamed("tokenized", "key")
-    in_blocks = lambda df, n: df.select("key", "pos", F.floor(F.col("pos") / n).cast("long").alias("block_id"))
-    one = total(grouped, "once").crossJoin(total(sized.withColumn("n", F.lit(1).cast("long")), "each")).crossJoin(texts)
-    for name, df, sizes, n in (("front_once", once, front_sizes, 8), ("front_each", each, front_sizes, 8), ("incr_once", once, incremental_sizes, 16), ("incr_each", each, incremental_sizes, 8)):
-        one = one.crossJoin(sizes(in_blocks(df, n)).agg(F.sum("bytes").alias(name)))
-    rows = []
-    for name in MODELLED:
-        x = LAYOUTS[name]
-        end = "once" if x.once else "each"
-        keys = F.col("keys" if x.once else "cells_once")
-        coded = F.col(f"plain_keys_{end}" if x.keys == "plain" else f"{x.keys}_{end}")
-        rows.append(F.struct(F.lit(name).alias("layout"), F.col("cells_once").alias("cells"), keys.alias("keys"), ceil_div(keys, max(1, x.block)).cast("long").alias("blocks"), F.col(f"payloads_{end}").alias("payloads"), coded.cast("long").alias("key_bytes"), F.col(f"{x.postings}_{end}").alias("posting_bytes")))
-    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    from .tally import sizes
+
+    return sizes(cells, MODELLED, keys_by=model_key_bytes, lists_by=model_list_bytes)

@@ -13,8 +13,7 @@ from .layouts import layout
 
 def stored_bytes(index: Index) -> int:
     """Bytes of coded keys and payloads."""
-    payloads = index.slices.agg(F.sum("length")) if index.postings is None else index.postings.agg(F.sum(F.octet_length("payload")))
-    return (index.keys.agg(F.sum(F.octet_length("data"))).first()[0] or 0) + (payloads.first()[0] or 0)
+    return index.bundles.agg(F.sum(F.octet_length("keys").cast("long") + F.octet_length("payloads"))).first()[0] or 0
 
 
 def measure(cells: DataFrame, name: str, table: str, keys: int = 10_000, multi_proc: bool = False, label: str = "") -> DataFrame:
