@@ -27,7 +27,7 @@ BOOK_KEYS = 2_000
 #: Bytes of a buffer at most, and of a payload for each of its cells.
 ARENA, CELL_BYTES = 1 << 20, 32
 #: Cells of a bundle, and bytes of their texts, after which it ends.
-BUNDLE, BUNDLE_BYTES = 1 << 16, 8 << 20
+BUNDLE, BUNDLE_BYTES = 1 << 16, 2 << 20
 _CELLS = "tokenized string, tableid long, colid long, rowid long"
 #: Offsets of coded blocks in `keys`, of each payload the place of its key, offsets of payloads in `payloads`: integers of 8 bytes.
 _BUNDLE = "first_key string, last_key string, n_keys long, n_cells long, blocks binary, keys binary, places binary, cuts binary, payloads binary"
