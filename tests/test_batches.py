@@ -53,3 +53,16 @@ def test_keys(how, repeat):
     assert rows(batches.encode_keys(ragged(["ab"]), np.zeros(1, np.int64), how, book)) == [one(["ab"])]
     nothing = batches.encode_keys(ragged([]), np.zeros(0, np.int64), how, book)
     assert rows(nothing) == [] and rows(batches.decode_keys(nothing, how, book)[0]) == []
+
+
+@pytest.mark.parametrize("longest", [2, 6, 9])
+def test_short_keys_with_bytes_outside_the_book_are_not_coded_one_by_one(monkeypatch, longest):
+    rng = random.Random(4)
+    texts = ["", "Q", "QQ", "é" * 128, "é" * 129, "Z" * 255, "Z" * 256, "Z" * 257, "Z" * 513, "", "abZab", *["".join(rng.choice("abcabcZé日") for _ in range(rng.choice([1, 5, 63, 64, 65, 900]))) for _ in range(200)]]
+    book = blocks.ShortStrings.learned(["abcabcabcab", "cabbage", "0.1"], longest)
+    want = [book.encode(t) for t in texts]
+    for name in ("encode", "decode"):
+        monkeypatch.setattr(blocks.ShortStrings, name, lambda *a: pytest.fail("one by one"))
+    coded = batches.short(ragged(texts), book)
+    assert rows(coded) == want
+    assert [r.decode() for r in rows(batches.unshort(coded, book))] == texts
