@@ -1,6 +1,7 @@
 """Index layouts as real bytes: coded keys and postings in bundles that follow the order of cells, and lookups in them.
 
-Cells are sorted once into Spark's ranges, and each range is coded as it comes out of the sort, without another shuffle. A bundle is a run of
+Cells are sorted once into Spark's ranges, and each range is coded as it comes out of the sort, without another shuffle. Before it the cells of a task
+that share text, table, column and range of PIECE rows become one row, of 2 bytes a cell; they are put together again behind the sort. A bundle is a run of
 cells: its keys in coded blocks, its payloads one after the other in a buffer, and of each payload the place of its key. It ends between two
 blocks of keys where it can, so a key is stored again only where a range ends inside it or where one block of keys has more cells than a bundle.
 """
@@ -28,6 +29,10 @@ BOOK_KEYS = 2_000
 ARENA, CELL_BYTES = 1 << 20, 32
 #: Cells of a bundle, and bytes of their texts, after which it ends.
 BUNDLE, BUNDLE_BYTES = 1 << 16, 2 << 20
+#: Cells, and bytes of their texts, among which a task looks for those that share a row.
+PACK, PACK_BYTES = 1 << 17, 4 << 20
+_PACKED = "tokenized string, tableid long, colid long, piece long, rows binary"
+_PACKED_ORDER = ["tokenized", "tableid", "colid", "piece"]
 _CELLS = "tokenized string, tableid long, colid long, rowid long"
 #: Offsets of coded blocks in `keys`, of each payload the place of its key, offsets of payloads in `payloads`: integers of 8 bytes.
 _BUNDLE = "first_key string, last_key string, n_keys long, n_cells long, blocks binary, keys binary, places binary, cuts binary, payloads binary"
@@ -68,7 +73,12 @@ class Index:
 
 
 def learn_book(cells: DataFrame) -> bytes_of.ShortStrings:
-    rows = cells.select("tokenized", F.xxhash64("tokenized").alias("h")).distinct().orderBy("h", "tokenized").limit(BOOK_KEYS).collect()
+    hashed = cells.select("tokenized", F.xxhash64("tokenized").alias("h"))
+    # the least hash of each of many classes: those of that many keys, so the bound lies above enough of them, and only keys below it are dealt out
+    least = hashed.groupBy(F.pmod("h", F.lit(32 * BOOK_KEYS)).alias("class")).agg(F.min("h").alias("h")).orderBy("h").limit(BOOK_KEYS).agg(F.count("h").alias("n"), F.max("h").alias("h")).first()
+    if least.n == BOOK_KEYS:
+        hashed = hashed.where(F.col("h") <= least.h)
+    rows = hashed.distinct().orderBy("h", "tokenized").limit(BOOK_KEYS).collect()
     return bytes_of.ShortStrings.learned([r.tokenized for r in rows])
 
 
@@ -156,17 +166,102 @@ def changes(keys: batches.Ragged) -> np.ndarray:
     return out
 
 
+def packed(cells: DataFrame) -> DataFrame:
+    """(tokenized, tableid, colid, piece, rows): cells of a task with one text, table, column and rowid // PIECE in one row; rows: their rowid % PIECE,
+    2 bytes each, not sorted."""
+    most, size = PACK, PACK_BYTES
+
+    def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = chars = 0
+        for frame in frames:
+            held.append(frame)
+            n, chars = n + len(frame), chars + frame.column(0).nbytes
+            if n >= most or chars >= size:
+                yield _pack(held)
+                held, n, chars = [], 0, 0
+        if n:
+            yield _pack(held)
+
+    return cells.select(*CELL_ORDER).mapInArrow(rows, _PACKED)
+
+
+def _pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    texts = pa.concat_arrays([b.column(0) for b in held]).dictionary_encode()
+    t, c, r = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (1, 2, 3))
+    key = [texts.indices.to_numpy().astype(np.int64), t, c, r // PIECE]
+    spans = [(int(x.min()), int(x.max()) - int(x.min()) + 1) for x in key]
+    if spans[0][1] * spans[1][1] * spans[2][1] * spans[3][1] < 1 << 62:
+        one = np.zeros(len(t), np.int64)
+        for x, (least, span) in zip(key, spans, strict=True):
+            one = one * span + (x - least)
+        order = np.argsort(one)
+        one = one[order]
+        new = one[1:] != one[:-1]
+    else:
+        order = np.lexsort(key[::-1])
+        new = np.any([x[order][1:] != x[order][:-1] for x in key], axis=0)
+    heads = np.flatnonzero(np.concatenate([[True], new]))
+    first = order[heads]
+    places = batches.to_arrow(((r % PIECE)[order].astype("<u2").view(np.uint8), 2 * np.append(heads, len(t))), pa.binary())
+    columns = [texts.dictionary.take(pa.array(key[0][first])), *[pa.array(x[first]) for x in key[1:]], places]
+    return pa.RecordBatch.from_arrays(columns, [*_PACKED_ORDER, "rows"])
+
+
+def _unpacked(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of sorted packed rows, in order."""
+    rest = None
+    for frame in frames:
+        if rest is not None:
+            frame = pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(rest.columns, frame.columns, strict=True)], rest.schema.names)
+        heads = _heads(frame)
+        if len(heads):
+            # the next rows may go on with the last text and piece
+            yield from _expanded(frame.slice(0, int(heads[-1])), heads[:-1])
+            rest = frame.slice(int(heads[-1]))
+    if rest is not None:
+        yield from _expanded(rest, np.zeros(1, np.int64))
+
+
+def _heads(frame: pa.RecordBatch) -> np.ndarray:
+    ids = np.stack([frame.column(i).to_numpy() for i in (1, 2, 3)], axis=1)
+    return np.flatnonzero(changes(batches.from_arrow(frame.column(0))) | (np.diff(ids, axis=0, prepend=ids[:1]) != 0).any(axis=1))
+
+
+def _expanded(frame: pa.RecordBatch, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not len(heads):
+        return
+    data, offsets = batches.from_arrow(frame.column(4))
+    group = np.repeat(np.arange(len(heads)), np.diff(offsets[np.append(heads, len(frame))]) // 2)
+    # by group, then by row
+    cells = group * PIECE + data.view("<u2")
+    cells.sort()
+    group = cells // PIECE
+    at = heads[group]
+    t, c, piece = (frame.column(i).to_numpy()[at] for i in (1, 2, 3))
+    ids = [t, c, piece * PIECE + cells % PIECE]
+    data, start, size = batches.runs(batches.from_arrow(frame.column(0)))
+    grown, first = np.cumsum(size[at]), 0
+    while first < len(at):
+        # one long text may stand in many cells
+        last = max(first + 1, int(np.searchsorted(grown, (grown[first - 1] if first else 0) + BUNDLE_BYTES, "right")))
+        mine = at[first:last]
+        texts = batches.to_arrow(batches.joined((data, start[mine], size[mine])), pa.string())
+        yield pa.RecordBatch.from_arrays([texts, *[pa.array(x[first:last]) for x in ids]], CELL_ORDER)
+        first = last
+
+
 def coded(cells: DataFrame, name: str, book: bytes_of.ShortStrings | None) -> DataFrame:
     """The bundles of a layout, in the order of cells."""
     x, arena, full = layout(name), ARENA, BUNDLE
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Bundler(x, book, arena, full)
-        for frame in frames:
+        for frame in _unpacked(frames):
             yield from held.add(frame)
         yield from held.flush(True)
 
-    placed = cells.select(*CELL_ORDER).repartitionByRange(*CELL_ORDER).sortWithinPartitions(*CELL_ORDER)
+    placed = packed(cells).repartitionByRange(*_PACKED_ORDER).sortWithinPartitions(*_PACKED_ORDER)
     return placed.mapInArrow(rows, _BUNDLE)
 
 

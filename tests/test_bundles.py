@@ -59,3 +59,32 @@ def test_a_round_trip_shuffles_once(cells, name):
     plan = encoded.round_trip(cells[0].coalesce(1), name)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange rangepartitioning") == 1 and "Join" not in plan
     assert np.all([c not in plan for c in ("hashpartitioning", "Window")])
+
+
+def test_cells_of_one_text_and_piece_share_a_row_before_the_shuffle(spark):
+    rows = [(f"{i % 3}", 1, 2, i) for i in range(70_000)]
+    df = spark.createDataFrame(rows, "tokenized string, tableid long, colid long, rowid long").coalesce(1)
+    got = encoded.packed(df).collect()
+    assert len(got) <= 9 and sum(len(r.rows) for r in got) == 140_000
+    back = [(r.tokenized, r.tableid, r.colid, r.piece * 65_536 + x) for r in got for x in np.frombuffer(r.rows, "<u2").tolist()]
+    assert sorted(back) == sorted(rows)
+
+
+@pytest.mark.parametrize(("pack", "size"), [(1, 1 << 20), (13, 50), (1 << 17, 4 << 20)])
+def test_packed_rows_are_put_together_in_order(spark, monkeypatch, pack, size):
+    monkeypatch.setattr(encoded, "PACK", pack)
+    monkeypatch.setattr(encoded, "PACK_BYTES", size)
+    big = 1 << 40  # the four ranges do not fit one integer
+    rows = [("a", 1, 2, i * 40_000 % 200_003) for i in range(90)] * 2 + [("b" * (i % 9), i % 2 * big, i % 3 * big, i) for i in range(60)] + [("long" * 90_000, 3, i % 2, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "tokenized string, tableid long, colid long, rowid long").repartition(4)
+    placed = encoded.packed(df).repartitionByRange(2, *encoded._PACKED_ORDER).sortWithinPartitions(*encoded._PACKED_ORDER)
+    assert [tuple(r) for r in placed.mapInArrow(encoded._unpacked, encoded._CELLS).collect()] == sorted(rows)
+
+
+@pytest.mark.parametrize("keys", [5, 400])
+def test_the_book_is_learned_from_the_keys_with_the_least_hash(cells, monkeypatch, keys):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(encoded, "BOOK_KEYS", keys)
+    held = cells[0].select("tokenized", F.xxhash64("tokenized").alias("h")).distinct().orderBy("h", "tokenized").limit(keys).collect()
+    assert encoded.learn_book(cells[0]).book == bytes_of.ShortStrings.learned([r.tokenized for r in held]).book
