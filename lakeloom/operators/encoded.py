@@ -305,7 +305,7 @@ def _book(cells: DataFrame, name: str) -> bytes_of.ShortStrings | None:
 def build(cells: DataFrame, name: str, keep: bool = False) -> Index:
     """The index of a layout, written, so that lookups read bytes; keep: its caller drops it."""
     book = _book(cells, name)
-    return Index(name, written(coded(cells, name, book).withColumn("bundle_id", F.monotonically_increasing_id())), book)
+    return Index(name, written(coded(cells, name, book).withColumn("bundle_id", F.monotonically_increasing_id()), large=True), book)
 
 
 def round_trip(cells: DataFrame, name: str) -> DataFrame:
@@ -327,7 +327,8 @@ def lookup(index: Index, probes: DataFrame) -> DataFrame:
     """Cells of probes(key). Probes are compared with coded keys (plain and short keys), or with the keys of the only blocks that may hold them; only the
     payloads found are decoded."""
     x, book = layout(index.name), index.book
-    asked = candidates(index, probes).groupBy("bundle_id").agg(F.collect_set("key").alias("probes"))
+    # written, so that its size is known before the join: where few bundles are asked for, the others are not dealt out
+    asked = written(candidates(index, probes).groupBy("bundle_id").agg(F.collect_set("key").alias("probes")))
     held = index.bundles.select("bundle_id", "blocks", "keys", "places", "cuts", "payloads").join(asked, "bundle_id").drop("bundle_id")
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,7 +54,7 @@ def tally(cells: DataFrame, names: list[str], book: bytes_of.ShortStrings | None
     number and bytes; for `cells` and `keys` only a number."""
     ways = sorted({(x.keys, x.once, x.block) for x in map(layout, names)})
     codes = sorted({(x.postings, x.once) for x in map(layout, names)})
-    bundles = written(coded(cells, _BASE, None).withColumn("bundle_id", F.monotonically_increasing_id()))
+    bundles = written(coded(cells, _BASE, None).withColumn("bundle_id", F.monotonically_increasing_id()), large=True)
     heads = bundles.select("bundle_id", "first_key", "last_key", "n_keys", "n_cells")
     order = Window.orderBy("bundle_id")
     goes_on = (F.col("first_key") == F.lag("last_key").over(order)).cast("long")

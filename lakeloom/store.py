@@ -19,11 +19,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df, written as Parquet into the shared folder and read again: cuts the lineage and is computed once."""
+#: Bytes of a row group of large rows. Spark's reader takes up to 4,096 rows at once, but none beyond a row group.
+LARGE = 8 << 20
+
+
+def written(df: DataFrame, codec: str = "zstd", large: bool = False) -> DataFrame:
+    """df, written as Parquet into the shared folder and read again: cuts the lineage and is computed once. large: rows may have a MB each."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lakeloom-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    groups = {"parquet.block.size": LARGE, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1} if large else {}
+    df.write.options(compression=codec, **groups).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._lakeloom_path = path
     return found
