@@ -66,3 +66,19 @@ def test_short_keys_with_bytes_outside_the_book_are_not_coded_one_by_one(monkeyp
     coded = batches.short(ragged(texts), book)
     assert rows(coded) == want
     assert [r.decode() for r in rows(batches.unshort(coded, book))] == texts
+
+
+@pytest.mark.parametrize("how", ["pfor", "pfor_split"])
+@pytest.mark.parametrize("at_once", [1, 3, 512])
+def test_whole_blocks_are_not_coded_one_by_one(monkeypatch, how, at_once):
+    rng = random.Random(5)
+    lists = [[rng.randrange(1 << rng.choice([w, w, w, w, max(w - 6, 0), 32])) for _ in range(3 * n)] for w, n in [(0, 128), (1, 1), (3, 300), (8, 42), (17, 128), (20, 127), (32, 500), (31, 43), (9, 0), (12, 900)]]
+    lists += [[7] * 3 * 256, [0] * 3 * 256, [(1 << 32) - 1] * 384, [0] * 127 + [(1 << 32) - 1] + [0] * 127 + [1] * 129]
+    want, sizes = [blocks.encode_postings(x, how) for x in lists], np.array([len(x) for x in lists], np.int64)
+    for name in ("encode_postings", "decode_postings"):
+        monkeypatch.setattr(blocks, name, lambda *a: pytest.fail("one by one"))
+    monkeypatch.setattr(batches, "_AT_ONCE", at_once)
+    coded = batches.encode_postings(np.array(sum(lists, []), np.int64), sizes, how)
+    assert rows(coded) == want
+    ints, got = batches.decode_postings(coded, how)
+    assert ints.tolist() == sum(lists, []) and got.tolist() == sizes.tolist()
