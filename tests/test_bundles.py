@@ -88,3 +88,26 @@ def test_the_book_is_learned_from_the_keys_with_the_least_hash(cells, monkeypatc
     monkeypatch.setattr(encoded, "BOOK_KEYS", keys)
     held = cells[0].select("tokenized", F.xxhash64("tokenized").alias("h")).distinct().orderBy("h", "tokenized").limit(keys).collect()
     assert encoded.learn_book(cells[0]).book == bytes_of.ShortStrings.learned([r.tokenized for r in held]).book
+
+
+@pytest.mark.parametrize("pack", [7, 1 << 17])
+def test_rows_of_tables_are_packed_by_column(spark, sf_dir, monkeypatch, pack):
+    from pyspark.sql import functions as F
+
+    from lakeloom.sources import lake
+
+    monkeypatch.setattr(encoded, "PACK", pack)
+    found = lake.wide(spark, sf_dir, ["nation", "customer", "labels"])
+    # some nulls, some rowids far apart, one column without a text
+    rows = found[1].rows.withColumn("c_name", F.when(F.col("c_custkey") % 3 > 0, F.col("c_name"))).withColumn("c_mktsegment", F.lit(None).cast("string"))
+    found[1] = lake.Wide("customer", rows, F.col("c_custkey") * F.when(F.col("c_custkey") % 2 == 0, 1).otherwise(1 << 45))
+    got = encoded.packed_tables(found)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+    back = [(r.tokenized, r.tableid, r.colid, r.piece * 65_536 + x) for r in got.collect() for x in np.frombuffer(r.rows, "<u2").tolist()]
+    want = sorted(map(tuple, lake.cells_of(found).collect()))
+    assert sorted(back) == want
+    if pack > 7:
+        # 25 regions of nations in 5 rows, 25 nations of customers in few
+        assert got.where("tableid = 1 AND colid = 2").count() == 5
+    assert sorted(map(tuple, encoded.round_trip_tables([found[0], found[2]], "pfor+dedup").collect())) == [w for w in want if w[1] != 2]
