@@ -22,6 +22,7 @@ from ..functions import batches, blocks as bytes_of
 from ..ranges import latest, running
 from ..sources.lake import LONG, Wide, cells_of
 from ..store import dropped, written
+from . import pages
 from .index import PIECE
 from .layouts import LAYOUTS, Layout, layout
 from .order import CELL_ORDER
@@ -172,6 +173,10 @@ def changes(keys: pa.Array) -> np.ndarray:
 def packed(cells: DataFrame) -> DataFrame:
     """(tokenized, tableid, colid, piece, rows): cells of a task with one text, table, column and rowid // PIECE in one row; rows: their rowid % PIECE,
     2 bytes each, not sorted."""
+    return cells.select(*CELL_ORDER).mapInArrow(_packer(), _PACKED)
+
+
+def _packer() -> _Step:
     most, size = PACK, PACK_BYTES
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,24 +191,14 @@ def packed(cells: DataFrame) -> DataFrame:
         if n:
             yield _pack(held)
 
-    return cells.select(*CELL_ORDER).mapInArrow(rows, _PACKED)
+    return rows
 
 
 def _pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     texts = pa.concat_arrays([b.column(0) for b in held]).dictionary_encode()
     t, c, r = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (1, 2, 3))
     key = [texts.indices.to_numpy().astype(np.int64), t, c, r // PIECE]
-    spans = [(int(x.min()), int(x.max()) - int(x.min()) + 1) for x in key]
-    if spans[0][1] * spans[1][1] * spans[2][1] * spans[3][1] < 1 << 62:
-        one = np.zeros(len(t), np.int64)
-        for x, (least, span) in zip(key, spans, strict=True):
-            one = one * span + (x - least)
-        order = np.argsort(one)
-        one = one[order]
-        new = one[1:] != one[:-1]
-    else:
-        order = np.lexsort(key[::-1])
-        new = np.any([x[order][1:] != x[order][:-1] for x in key], axis=0)
+    order, new = pages.by_key(key)
     heads = np.flatnonzero(np.concatenate([[True], new]))
     first = order[heads]
     places = batches.to_arrow(((r % PIECE)[order].astype("<u2").view(np.uint8), 2 * np.append(heads, len(t))), pa.binary())
@@ -213,11 +208,19 @@ def _pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 def packed_tables(tables: list[Wide]) -> DataFrame:
     """packed() of the cells of tables. The columns of short texts are packed one by one, from rows that were not made cells before."""
-    return reduce(DataFrame.unionByName, [packed(t.cells) if t.name in LONG else _packed_columns(t) for t in tables])
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(step, _PACKED) for rows, step in map(packing, tables)])
+
 
+def packing(table: Wide) -> tuple[DataFrame, _Step]:
+    """What Spark reads of a table, and the step from it to packed rows."""
+    if table.name in LONG:
+        return table.cells.select(*CELL_ORDER), _packer()
+    rows, forms = table.typed
+    return rows, _column_packer(table.tableid, forms)
 
-def _packed_columns(table: Wide) -> DataFrame:
-    tableid, most, size = table.tableid, PACK, WIDE_BYTES
+
+def _column_packer(tableid: int, forms: list[tuple[int, str]]) -> _Step:
+    most, size = PACK, WIDE_BYTES
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -233,19 +236,35 @@ def _packed_columns(table: Wide) -> DataFrame:
 
     def columns(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = np.concatenate([b.column(0).to_numpy() for b in held])
-        for i in range(1, held[0].num_columns):
-            texts, own = pa.concat_arrays([b.column(i) for b in held]), r
-            if texts.null_count:
-                texts, own = texts.drop_null(), r[texts.is_valid().to_numpy(zero_copy_only=False)]
-            if len(texts):
-                yield _pack_column(texts, tableid, i - 1, own)
+        for i, (colid, kind) in enumerate(forms, 1):
+            values, own = pa.concat_arrays([b.column(i) for b in held]), r
+            if values.null_count:
+                values, own = values.drop_null(), r[values.is_valid().to_numpy(zero_copy_only=False)]
+            if len(values):
+                yield _pack_column(values, kind, tableid, colid, own)
 
-    return table.texts.mapInArrow(rows, _PACKED)
+    return rows
 
 
-def _pack_column(texts: pa.Array, tableid: int, colid: int, r: np.ndarray) -> pa.RecordBatch:
-    """The cells of one column, those of one text and rowid // PIECE in one row."""
-    held, piece = texts.dictionary_encode(), r // PIECE
+def as_texts(values: pa.Array, kind: str) -> pa.Array:
+    """Values of a form of lake.forms() as text."""
+    if kind == "text":
+        return values
+    if kind == "long":
+        return values.cast(pa.string())
+    if kind == "stamp":
+        # of the six digits of a second none at the end is a zero
+        return pc.utf8_rtrim(pc.utf8_rtrim(values.cast(pa.timestamp("us")).cast(pa.string()), "0"), ".")
+    x = values.to_numpy()
+    whole, part = np.divmod(np.abs(x), 100)
+    sign, ends = pa.array(["", "-"]).take(pa.array((x < 0).astype(np.int8))), pa.array([f".{i:02d}" for i in range(100)])
+    return pc.binary_join_element_wise(sign, pa.array(whole).cast(pa.string()), ends.take(pa.array(part)), "")
+
+
+def _pack_column(values: pa.Array, kind: str, tableid: int, colid: int, r: np.ndarray) -> pa.RecordBatch:
+    """The cells of one form of a column, those of one text and rowid // PIECE in one row."""
+    held, piece = values.dictionary_encode(), r // PIECE
+    texts = as_texts(held.dictionary, kind)
     n, heads, order = len(r), np.arange(len(r)), slice(None)
     if len(held.dictionary) < n:
         code, least = held.indices.to_numpy().astype(np.int64), int(piece.min())
@@ -259,7 +278,7 @@ def _pack_column(texts: pa.Array, tableid: int, colid: int, r: np.ndarray) -> pa
             order = np.lexsort([piece, code])
             new = (code[order][1:] != code[order][:-1]) | (piece[order][1:] != piece[order][:-1])
         heads = np.flatnonzero(np.concatenate([[True], new]))
-        texts, piece = held.dictionary.take(pa.array(code[order[heads]])), piece[order[heads]]
+        texts, piece = texts.take(pa.array(code[order[heads]])), piece[order[heads]]
     places = batches.to_arrow(((r % PIECE)[order].astype("<u2").view(np.uint8), 2 * np.append(heads, n)), pa.binary())
     return pa.RecordBatch.from_arrays([texts, *[pa.array(np.full(len(heads), x)) for x in (tableid, colid)], pa.array(piece), places], [*_PACKED_ORDER, "rows"])
 
@@ -371,17 +390,19 @@ def build(cells: DataFrame, name: str, keep: bool = False) -> Index:
     return Index(name, written(coded(cells, name, book).withColumn("bundle_id", F.monotonically_increasing_id()), large=True), book)
 
 
-def round_trip(cells: DataFrame, name: str, rows_of: DataFrame | None = None) -> DataFrame:
-    """The cells after a layout's keys and postings were made bytes and read back; texts come from the coded keys only. rows_of: the cells packed already."""
+def round_trip(cells: DataFrame, name: str) -> DataFrame:
+    """The cells after a layout's keys and postings were made bytes and read back; texts come from the coded keys only."""
     book = _book(cells, name)
     code, read = _coder(name, book), _reader(name, book)
     # a bundle is read as soon as its bytes are there
-    return _placed(packed(cells) if rows_of is None else rows_of).mapInArrow(lambda frames: read(code(frames)), _CELLS)
+    return _placed(packed(cells)).mapInArrow(lambda frames: read(code(frames)), _CELLS)
 
 
 def round_trip_tables(tables: list[Wide], name: str) -> DataFrame:
-    """round_trip() of the cells of tables."""
-    return round_trip(cells_of(tables), name, packed_tables(tables))
+    """round_trip() of the cells of tables, whose packed rows are dealt out in pages."""
+    book = learn_book(cells_of(tables)) if layout(name).keys == "short" else None
+    code, read = _coder(name, book), _reader(name, book)
+    return pages.dealt(tables, packing, lambda frames: read(code(frames)), _CELLS)
 
 
 def candidates(index: Index, probes: DataFrame) -> DataFrame:

@@ -48,6 +48,25 @@ def as_text(name: str) -> Column:
     return (F.col(name).cast("decimal(18,2)") if name in DOUBLES else F.col(name)).cast("string")
 
 
+def forms(name: str, kind: str) -> list[tuple[str, Column]]:
+    """A column of a Spark type in forms that are cheap to hand to Python, each with its kind there: long, cents, stamp or text. A cell is in one form,
+    and as text it is as_text(): cents only where they divide to the very double, stamps only with years of four digits."""
+    x = F.col(name)
+    if name in DOUBLES:
+        if kind != "double":
+            return [("text", as_text(name))]
+        cents = F.rint(x * 100)
+        own, way = (F.abs(x) < 1e13) & (cents / 100 == x), ("cents", cents.cast("long"))
+    elif kind in ("byte", "short", "integer", "long"):
+        return [("long", x.cast("long"))]
+    elif kind in ("timestamp", "timestamp_ntz"):
+        local = x.cast("timestamp_ntz")
+        own, way = local.between(*[F.lit(day).cast("timestamp_ntz") for day in ("1000-01-01", "9999-12-31")]), ("stamp", local)
+    else:
+        return [("text", as_text(name))]
+    return [(way[0], F.when(own, way[1])), ("text", F.when(~own, as_text(name)))]
+
+
 def flatten(df: DataFrame, tableid: int, columns: list[str], rowid: Column) -> DataFrame:
     """One row for each cell that is not null."""
     cells = df.select(rowid.cast("long").alias("rowid"), F.posexplode(F.array(*[as_text(c) for c in columns])).alias("colid", "tokenized"))
@@ -71,9 +90,12 @@ class Wide:
         return flatten(self.rows, self.tableid, COLUMNS_OF[self.name], self.rowid)
 
     @property
-    def texts(self) -> DataFrame:
-        """(rowid, c0, c1, ...): all columns as text."""
-        return self.rows.select(self.rowid.cast("long").alias("rowid"), *[as_text(c).alias(f"c{i}") for i, c in enumerate(COLUMNS_OF[self.name])])
+    def typed(self) -> tuple[DataFrame, list[tuple[int, str]]]:
+        """(rowid, f0, f1, ...): all columns in their forms, and of each form the column's place and its kind."""
+        kinds = {f.name: f.dataType.typeName() for f in self.rows.schema}
+        found = [(i, kind, x) for i, c in enumerate(COLUMNS_OF[self.name]) for kind, x in forms(c, kinds[c])]
+        rows = self.rows.select(self.rowid.cast("long").alias("rowid"), *[x.alias(f"f{i}") for i, (_, _, x) in enumerate(found)])
+        return rows, [(i, kind) for i, kind, _ in found]
 
 
 def wide(spark: SparkSession, sf_dir: str, tables: list[str] = DEFAULT) -> list[Wide]:
