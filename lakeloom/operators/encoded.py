@@ -402,7 +402,7 @@ def round_trip_tables(tables: list[Wide], name: str) -> DataFrame:
     """round_trip() of the cells of tables, whose packed rows are dealt out in pages."""
     book = learn_book(cells_of(tables)) if layout(name).keys == "short" else None
     code, read = _coder(name, book), _reader(name, book)
-    return pages.dealt(tables, packing, lambda frames: read(code(frames)), _CELLS)
+    return pages.dealt(tables, packing, _column_packer, lambda frames: read(code(frames)), _CELLS)
 
 
 def candidates(index: Index, probes: DataFrame) -> DataFrame:

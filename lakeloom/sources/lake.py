@@ -33,6 +33,7 @@ COLUMNS_OF = {
 #: Tables with texts of any length.
 LONG = {"documents", "embeddings", "pages", "benchmark", "conversations"}
 DOUBLES = {"c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "value"}
+INTEGERS = {"byte", "short", "integer", "long"}
 #: The tables of the registered queries that have SQL: those that flatten without a shuffle. Queries named ..._all take TABLES.
 DEFAULT = ["region", "nation", "customer", "supplier", "part", "orders"]
 
@@ -57,7 +58,7 @@ def forms(name: str, kind: str) -> list[tuple[str, Column]]:
             return [("text", as_text(name))]
         cents = F.rint(x * 100)
         own, way = (F.abs(x) < 1e13) & (cents / 100 == x), ("cents", cents.cast("long"))
-    elif kind in ("byte", "short", "integer", "long"):
+    elif kind in INTEGERS:
         return [("long", x.cast("long"))]
     elif kind in ("timestamp", "timestamp_ntz"):
         local = x.cast("timestamp_ntz")
@@ -75,11 +76,12 @@ def flatten(df: DataFrame, tableid: int, columns: list[str], rowid: Column) -> D
 
 @dataclass(frozen=True)
 class Wide:
-    """A table of the lake, rows as they are; rowid: a column or an expression."""
+    """A table of the lake, rows as they are; rowid: a column or an expression. order: the rows have no rowid yet, it is their number by these columns."""
 
     name: str
     rows: DataFrame
     rowid: Column
+    order: tuple[str, ...] = ()
 
     @property
     def tableid(self) -> int:
@@ -89,21 +91,31 @@ class Wide:
     def cells(self) -> DataFrame:
         return flatten(self.rows, self.tableid, COLUMNS_OF[self.name], self.rowid)
 
+    @property
+    def forms(self) -> list[tuple[int, str, Column]]:
+        """All columns in their forms: the column's place, the kind, the form."""
+        kinds = {f.name: f.dataType.typeName() for f in self.rows.schema}
+        return [(i, kind, x) for i, c in enumerate(COLUMNS_OF[self.name]) for kind, x in forms(c, kinds[c])]
+
     @property
     def typed(self) -> tuple[DataFrame, list[tuple[int, str]]]:
         """(rowid, f0, f1, ...): all columns in their forms, and of each form the column's place and its kind."""
-        kinds = {f.name: f.dataType.typeName() for f in self.rows.schema}
-        found = [(i, kind, x) for i, c in enumerate(COLUMNS_OF[self.name]) for kind, x in forms(c, kinds[c])]
+        found = self.forms
         rows = self.rows.select(self.rowid.cast("long").alias("rowid"), *[x.alias(f"f{i}") for i, (_, _, x) in enumerate(found)])
         return rows, [(i, kind) for i, kind, _ in found]
 
 
-def wide(spark: SparkSession, sf_dir: str, tables: list[str] = DEFAULT) -> list[Wide]:
-    """Several tables with their rowids. Tables with an integer key take it; others are numbered."""
+def wide(spark: SparkSession, sf_dir: str, tables: list[str] = DEFAULT, number: bool = True) -> list[Wide]:
+    """Several tables with their rowids. Tables with an integer key take it; others are numbered, where number is not set by who reads them."""
     found = []
     for name in tables:
         df = table(spark, sf_dir, name)
-        found.append(Wide(name, df, F.col(KEY_OF[name])) if name in KEY_OF else Wide(name, numbered(df, ORDER_OF[name], "rowid"), F.col("rowid")))
+        if name in KEY_OF:
+            found.append(Wide(name, df, F.col(KEY_OF[name])))
+        elif not number and {df.schema[c].dataType.typeName() for c in ORDER_OF[name][:2]} <= INTEGERS:
+            found.append(Wide(name, df, F.lit(0), tuple(ORDER_OF[name])))
+        else:
+            found.append(Wide(name, numbered(df, ORDER_OF[name], "rowid"), F.col("rowid")))
     return found
 
 

@@ -56,3 +56,29 @@ def test_rows_are_packed_once(spark, sf_dir):
 def test_tables_without_rows(spark, sf_dir):
     tables = [lake.Wide(t.name, t.rows.limit(0), t.rowid) for t in lake.wide(spark, sf_dir, ["nation", "documents"])]
     assert encoded.round_trip_tables(tables, "ns").count() == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 9])
+def test_rows_without_a_key_are_numbered_by_their_order(spark, sf_dir, monkeypatch, ranges):
+    if ranges > 1:
+        for k, v in {"RANGE": 20_000, "SAMPLE": 300, "DEAL_BYTES": 50_000}.items():
+            monkeypatch.setattr(pages, k, v)
+    order = lake.ORDER_OF["lineitem"]
+    odd = [(1, 1, 0.005, "2020-01-01"), (1, 1, None, "2020-01-01"), (1, 1, -7.125, "2020-01-01"), (1, 1, -7.12, "2020-01-01"), (1, 1, 3.0, "0020-01-01"), (1, 1, 3.0, None), (None, 1, 3.0, None), (1, None, 3.0, None), (-5, 1, 3.0, "2020-01-01")]
+    rest = {"l_partkey": "1L", "l_suppkey": "2L", "l_quantity": "0.5D", "l_discount": "0D", "l_tax": "0D", "l_returnflag": "'a'", "l_linestatus": "'b'"}
+    rows = spark.createDataFrame(odd, "l_orderkey long, l_linenumber int, l_extendedprice double, day string").withColumns({"l_shipdate": F.expr("CAST(day AS timestamp_ntz)")} | {k: F.expr(v) for k, v in rest.items()}).drop("day")
+    for df in (rows, rows.unionByName(lake.table(spark, sf_dir, "lineitem").select(rows.columns).limit(4_000))):
+        held = lake.numbered(df, order, "rowid")
+        want = lake.Wide("lineitem", held, F.col("rowid")).cells.collect()
+        got = encoded.round_trip_tables([lake.Wide("lineitem", held.drop("rowid"), F.lit(0), tuple(order))], "ns").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_rows_are_numbered_without_a_written_copy(spark, sf_dir, monkeypatch):
+    import __spark_entry__ as e
+    from lakeloom import ranges
+
+    want = e.queries()["lake_entry_count_all"](spark, sf_dir).collect()
+    monkeypatch.setattr(ranges, "written", None)
+    got = e.queries()["layout_roundtrip_ns_all"](spark, sf_dir).groupBy("tableid").agg(F.count("*").alias("cells"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
