@@ -344,8 +344,10 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(*_PACKED_ORDER).sortWithinPartitions(*_PACKED_ORDER)
 
 
-def coded(cells: DataFrame, name: str, book: bytes_of.ShortStrings | None) -> DataFrame:
-    """The bundles of a layout, in the order of cells."""
+def coded(cells: DataFrame | list[Wide], name: str, book: bytes_of.ShortStrings | None) -> DataFrame:
+    """The bundles of a layout, in the order of cells. The rows of tables are packed column by column and dealt out in pages."""
+    if isinstance(cells, list):
+        return pages.dealt(cells, packing, _column_packer, _coder(name, book), _BUNDLE)
     return _placed(packed(cells)).mapInArrow(_coder(name, book), _BUNDLE)
 
 
@@ -380,11 +382,11 @@ def _reader(name: str, book: bytes_of.ShortStrings | None) -> _Step:
     return rows
 
 
-def _book(cells: DataFrame, name: str) -> bytes_of.ShortStrings | None:
-    return learn_book(cells) if layout(name).keys == "short" else None
+def _book(cells: DataFrame | list[Wide], name: str) -> bytes_of.ShortStrings | None:
+    return learn_book(cells_of(cells) if isinstance(cells, list) else cells) if layout(name).keys == "short" else None
 
 
-def build(cells: DataFrame, name: str, keep: bool = False) -> Index:
+def build(cells: DataFrame | list[Wide], name: str, keep: bool = False) -> Index:
     """The index of a layout, written, so that lookups read bytes; keep: its caller drops it."""
     book = _book(cells, name)
     return Index(name, written(coded(cells, name, book).withColumn("bundle_id", F.monotonically_increasing_id()), large=True), book)
@@ -400,7 +402,7 @@ def round_trip(cells: DataFrame, name: str) -> DataFrame:
 
 def round_trip_tables(tables: list[Wide], name: str) -> DataFrame:
     """round_trip() of the cells of tables, whose packed rows are dealt out in pages."""
-    book = learn_book(cells_of(tables)) if layout(name).keys == "short" else None
+    book = _book(tables, name)
     code, read = _coder(name, book), _reader(name, book)
     return pages.dealt(tables, packing, _column_packer, lambda frames: read(code(frames)), _CELLS)
 

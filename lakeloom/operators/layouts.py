@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import batches
 from ..ranges import running
+from ..sources.lake import Wide
 from .codec_sizes import posting_bytes
 
 
@@ -98,23 +99,32 @@ def model_list_bytes(how: str, ints: np.ndarray, sizes: np.ndarray) -> int:
     return int((batches.varint_sizes(sizes) + body).sum())
 
 
-def model_key_bytes(how: str, keys: batches.Ragged, firsts: np.ndarray, book: object = None) -> int:
-    """Bytes of sorted keys in blocks that begin at `firsts`, by formula. A block's common prefix is that of its first and last key."""
-    data, start, size = batches.runs(keys)
+def _shared(data: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Leading bytes in common of the keys at places a and b; keys that lie in one place are not compared."""
+    p = size[a].copy()
+    on = np.flatnonzero((start[a] != start[b]) | (p != size[b]))
+    a, b = a[on], b[on]
+    p[on] = batches.shared(data, start[a], size[a], start[b], size[b])
+    return p
+
+
+def model_key_bytes(how: str, keys: tuple[np.ndarray, np.ndarray, np.ndarray], firsts: np.ndarray, book: object = None) -> int:
+    """Bytes of sorted keys (data, starts, sizes) in blocks that begin at `firsts`, by formula. A block's common prefix is that of its first and last key."""
+    data, start, size = keys
     if how == "plain":
         return int(size.sum())
     ends = np.append(firsts[1:], len(size))
     if how == "front":
-        p = batches.shared(data, start[firsts], size[firsts], start[ends - 1], size[ends - 1])
+        p = _shared(data, start, size, firsts, ends - 1)
         return int(_framed_bytes(p).sum() + _framed_bytes(size - np.repeat(p, ends - firsts)).sum())
     if how != "incr":
         raise ValueError(f"no model of {how!r}")
     more = np.setdiff1d(np.arange(len(size)), firsts, assume_unique=True)
-    p = batches.shared(data, start[more - 1], size[more - 1], start[more], size[more])
+    p = _shared(data, start, size, more - 1, more)
     return int(_framed_bytes(size[firsts]).sum() + batches.varint_sizes(p).sum() + _framed_bytes(size[more] - p).sum())
 
 
-def modelled_sizes(cells: DataFrame) -> DataFrame:
+def modelled_sizes(cells: DataFrame | list[Wide]) -> DataFrame:
     """(layout, cells, keys, blocks, payloads, key_bytes, posting_bytes) of the MODELLED layouts, without coding anything."""
     from .tally import sizes
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import batches, blocks as bytes_of
+from ..sources.lake import Wide
 from ..store import written
 from .encoded import BUNDLE_BYTES, coded
 from .index import PIECE
@@ -23,14 +24,15 @@ _BASE = "vbyte+ns+dedup"
 #: what was sized, how many, their bytes; or a part of what goes over an edge.
 _ROW = "what string, n long, bytes long, id long, pos long, piece long, key string, ints binary"
 _NAMES = [c.split()[0] for c in _ROW.split(", ")]
-#: (coder, keys, places where blocks begin, book) to bytes of all blocks; (coder, integers, sizes of lists) to bytes of all lists.
-KeyBytes = Callable[[str, batches.Ragged, np.ndarray, "bytes_of.ShortStrings | None"], int]
+_Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: (coder, keys as runs of bytes, places where blocks begin, book) to bytes of all blocks; (coder, integers, sizes of lists) to bytes of all lists.
+KeyBytes = Callable[[str, _Runs, np.ndarray, "bytes_of.ShortStrings | None"], int]
 ListBytes = Callable[[str, np.ndarray, np.ndarray], int]
 
 
-def key_bytes(how: str, keys: batches.Ragged, firsts: np.ndarray, book: bytes_of.ShortStrings | None) -> int:
+def key_bytes(how: str, keys: _Runs, firsts: np.ndarray, book: bytes_of.ShortStrings | None) -> int:
     """Counted from the bytes themselves."""
-    return len(batches.encode_keys(keys, firsts, how, book)[0])
+    return len(batches.encode_keys(batches.joined(keys), firsts, how, book)[0])
 
 
 def list_bytes(how: str, ints: np.ndarray, sizes: np.ndarray) -> int:
@@ -49,7 +51,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _NAMES)
 
 
-def tally(cells: DataFrame, names: list[str], book: bytes_of.ShortStrings | None = None, keys_by: KeyBytes = key_bytes, lists_by: ListBytes = list_bytes) -> DataFrame:
+def tally(cells: DataFrame | list[Wide], names: list[str], book: bytes_of.ShortStrings | None = None, keys_by: KeyBytes = key_bytes, lists_by: ListBytes = list_bytes) -> DataFrame:
     """(what, n, bytes): for each way in which the layouts `names` store keys (keys/once/block: blocks) and postings (postings/once: payloads) their
     number and bytes; for `cells` and `keys` only a number."""
     ways = sorted({(x.keys, x.once, x.block) for x in map(layout, names)})
@@ -89,8 +91,7 @@ def tally(cells: DataFrame, names: list[str], book: bytes_of.ShortStrings | None
                 end = int(np.searchsorted(grown, (grown[at - 1] if at else 0) + BUNDLE_BYTES, "right"))
                 end = min(skip + whole, at + max(1, (end - at) // width) * width)
                 mine = chosen[at:end]
-                held = batches.joined((raw, start[mine], size[mine]))
-                yield what, (end - at) // width, keys_by(how, held, np.arange(0, end - at, width), book), None, None, None, None, None
+                yield what, (end - at) // width, keys_by(how, (raw, start[mine], size[mine]), np.arange(0, end - at, width), book), None, None, None, None, None
                 at = end
             for i in [*range(skip), *range(skip + whole, len(chosen))]:
                 yield what, None, None, (first + i) // width, first + i, None, text(chosen[i]), None
@@ -116,7 +117,7 @@ def tally(cells: DataFrame, names: list[str], book: bytes_of.ShortStrings | None
         for frame in frames:
             out = []
             for what, texts in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
-                out.append((what, 1, keys_by(what.split("/")[0], _ragged([t["key"] for t in texts]), np.zeros(1, np.int64), book), *[None] * 5))
+                out.append((what, 1, keys_by(what.split("/")[0], batches.runs(_ragged([t["key"] for t in texts])), np.zeros(1, np.int64), book), *[None] * 5))
             yield _rows(out)
 
     def lists(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,12 +135,12 @@ def tally(cells: DataFrame, names: list[str], book: bytes_of.ShortStrings | None
     return every.groupBy("what").agg(F.sum("n").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"))
 
 
-def sizes(cells: DataFrame, names: list[str], **how: object) -> DataFrame:
+def sizes(cells: DataFrame | list[Wide], names: list[str], **how: object) -> DataFrame:
     """(layout, cells, keys, blocks, payloads, key_bytes, posting_bytes) of layouts. Layouts that store keys or postings alike share one count."""
     found = written(tally(cells, names, **how))
     one = found.agg(F.coalesce(F.max(F.when(F.col("what") == "cells", F.col("n"))), F.lit(0)).alias("cells"), F.coalesce(F.max(F.when(F.col("what") == "keys", F.col("n"))), F.lit(0)).alias("once"))
     rows = [(n, x.once, f"{x.keys}/{x.once}/{x.block}", f"{x.postings}/{x.once}") for n, x in ((n, layout(n)) for n in names)]
-    which = cells.sparkSession.createDataFrame(rows, "layout string, one boolean, k string, p string")
+    which = found.sparkSession.createDataFrame(rows, "layout string, one boolean, k string, p string")
     keyed = found.select(F.col("what").alias("k"), F.col("n").alias("blocks"), F.col("bytes").alias("key_bytes"))
     posted = found.select(F.col("what").alias("p"), F.col("n").alias("payloads"), F.col("bytes").alias("posting_bytes"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)

@@ -53,6 +53,11 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
     return lake.cells(spark, d, _tables.get())
 
 
+def _wide(spark: SparkSession, d: str) -> list[lake.Wide]:
+    """The tables of the cells, for what numbers and packs their rows itself."""
+    return lake.wide(spark, d, _tables.get(), number=False)
+
+
 def _over_all(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """A query of the lake's cells over every table instead of the default ones."""
 
@@ -205,12 +210,12 @@ def _layout_sql() -> str:
     return f"WITH {', '.join(parts)} " + " UNION ALL ".join(rows)
 
 
-register("layout_summary", _layout_sql())(lambda s, d: layouts.modelled_sizes(_cells(s, d)))
+register("layout_summary", _layout_sql())(lambda s, d: layouts.modelled_sizes(_wide(s, d)))
 register("layout_bytes", _layout_sql())(lambda s, d: encoded.real_sizes(_cells(s, d), layouts.MODELLED))
 register("layout_bytes_learned", None)(lambda s, d: encoded.real_sizes(_cells(s, d), [n for n in layouts.LAYOUTS if n not in layouts.MODELLED]))
 
 for _n in layouts.LAYOUTS:
-    register(f"layout_roundtrip_{_n}", f"WITH {CELLS} SELECT * FROM cells")(lambda s, d, n=_n: encoded.round_trip_tables(lake.wide(s, d, _tables.get(), number=False), n))
+    register(f"layout_roundtrip_{_n}", f"WITH {CELLS} SELECT * FROM cells")(lambda s, d, n=_n: encoded.round_trip_tables(_wide(s, d), n))
 for _n, _layout in (("lookup_encoded", "pfor_split+dedup"), ("lookup_in_arena", "ns_arena"), ("lookup_by_short_key", "smaz+ns+dedup"), ("lookup_in_front_blocks", "frontcoding"), ("lookup_in_incremental_blocks", "incr_adv+dedup+ns_adv")):
     register(_n, f"WITH {CELLS}, {PROBES_SQL} SELECT tokenized, tableid, colid, rowid FROM cells WHERE tokenized IN (SELECT key FROM probes)")(lambda s, d, x=_layout: encoded.lookup(encoded.build(_cells(s, d), x), _probes(s)))
 

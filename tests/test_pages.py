@@ -82,3 +82,31 @@ def test_rows_are_numbered_without_a_written_copy(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(ranges, "written", None)
     got = e.queries()["layout_roundtrip_ns_all"](spark, sf_dir).groupBy("tableid").agg(F.count("*").alias("cells"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+
+
+def test_the_sizes_and_lookups_of_tables_pack_rows_once(spark, sf_dir, monkeypatch):
+    from lakeloom.operators import layouts
+
+    for k, v in {"RANGE": 20_000, "SAMPLE": 40, "SAMPLE_LONG": 15, "DEAL": 300}.items():
+        monkeypatch.setattr(pages, k, v)
+    tables = lake.wide(spark, sf_dir, ["nation", "customer", "documents", "conversations"], number=False)
+    plan = encoded.coded(tables, "ns_arena", None)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    cells = lake.cells(spark, sf_dir, ["nation", "customer", "documents", "conversations"])
+    want = sorted(map(tuple, layouts.modelled_sizes(cells).collect()))
+    assert sorted(map(tuple, layouts.modelled_sizes(tables).collect())) == want
+    keys = spark.createDataFrame([("ASIA",), ("BUILDING",), ("1",), ("user",), ("nowhere",)], "key string")
+    got = encoded.lookup(encoded.build(tables, "ns_arena"), keys).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, cells.join(keys.withColumnRenamed("key", "tokenized"), "tokenized").select("tokenized", "tableid", "colid", "rowid").collect()))
+
+
+def test_keys_in_one_place_are_not_compared(monkeypatch):
+    from lakeloom.functions import batches
+    from lakeloom.operators import layouts
+
+    compared, plain = [], batches.shared
+    monkeypatch.setattr(batches, "shared", lambda data, a, na, b, nb: compared.append(len(a)) or plain(data, a, na, b, nb))
+    data, start, size = np.frombuffer(b"abcabd", np.uint8), np.array([0] * 7 + [3] * 9), np.full(16, 3)
+    alone = layouts.model_key_bytes("incr", batches.runs(batches.joined((data, start, size))), np.array([0, 8]))
+    assert layouts.model_key_bytes("incr", (data, start, size), np.array([0, 8])) == alone == 2 * 4 + 13 * 2 + 3
+    assert compared[-1] == 1
