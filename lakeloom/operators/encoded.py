@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import batches, blocks as bytes_of
 from ..ranges import latest, running
@@ -33,6 +33,8 @@ BOOK_KEYS = 2_000
 ARENA, CELL_BYTES = 1 << 20, 32
 #: Cells of a bundle, and bytes of their texts, after which it ends.
 BUNDLE, BUNDLE_BYTES = 1 << 16, 2 << 20
+#: Bundles that a lookup asks for, and runs of such one after another, up to which the reader leaves out the others.
+ASKED, ASKED_RUNS = 10_000, 64
 #: Cells, and bytes of their texts, among which a task looks for those that share a row.
 PACK, PACK_BYTES = 1 << 17, 4 << 20
 #: Bytes of whole rows among which a task does, column by column; of rows at most PACK.
@@ -422,7 +424,7 @@ def lookup(index: Index, probes: DataFrame) -> DataFrame:
     x, book = layout(index.name), index.book
     # written, so that its size is known before the join: where few bundles are asked for, the others are not dealt out
     asked = written(candidates(index, probes).groupBy("bundle_id").agg(F.collect_set("key").alias("probes")))
-    held = index.bundles.select("bundle_id", "blocks", "keys", "places", "cuts", "payloads").join(asked, "bundle_id").drop("bundle_id")
+    held = _only(index.bundles, asked).select("bundle_id", "blocks", "keys", "places", "cuts", "payloads").join(asked, "bundle_id").drop("bundle_id")
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -438,6 +440,16 @@ def lookup(index: Index, probes: DataFrame) -> DataFrame:
     return held.mapInArrow(rows, _CELLS)
 
 
+def _only(bundles: DataFrame, asked: DataFrame) -> DataFrame:
+    """bundles without row groups that hold none of those asked for, where these are not many; what else is left, the join drops."""
+    ids = sorted(r.bundle_id for r in asked.select("bundle_id").limit(ASKED + 1).collect())
+    firsts = [i for i, x in enumerate(ids) if not i or ids[i - 1] + 1 < x]
+    if not ids or len(ids) > ASKED or len(firsts) > ASKED_RUNS:
+        return bundles
+    runs = [F.col("bundle_id").between(ids[a], ids[b - 1]) for a, b in zip(firsts, [*firsts[1:], len(ids)], strict=True)]
+    return bundles.where(reduce(Column.__or__, runs))
+
+
 def _found(keys: bytes, cuts: np.ndarray, probes: list[str], x: Layout, book: bytes_of.ShortStrings | None) -> tuple[np.ndarray, dict[int, str]]:
     """Places of a bundle's keys that are among the probes, in order, and their texts."""
     if not x.block:

@@ -217,7 +217,7 @@ register("layout_bytes_learned", None)(lambda s, d: encoded.real_sizes(_cells(s,
 for _n in layouts.LAYOUTS:
     register(f"layout_roundtrip_{_n}", f"WITH {CELLS} SELECT * FROM cells")(lambda s, d, n=_n: encoded.round_trip_tables(_wide(s, d), n))
 for _n, _layout in (("lookup_encoded", "pfor_split+dedup"), ("lookup_in_arena", "ns_arena"), ("lookup_by_short_key", "smaz+ns+dedup"), ("lookup_in_front_blocks", "frontcoding"), ("lookup_in_incremental_blocks", "incr_adv+dedup+ns_adv")):
-    register(_n, f"WITH {CELLS}, {PROBES_SQL} SELECT tokenized, tableid, colid, rowid FROM cells WHERE tokenized IN (SELECT key FROM probes)")(lambda s, d, x=_layout: encoded.lookup(encoded.build(_cells(s, d), x), _probes(s)))
+    register(_n, f"WITH {CELLS}, {PROBES_SQL} SELECT tokenized, tableid, colid, rowid FROM cells WHERE tokenized IN (SELECT key FROM probes)")(lambda s, d, x=_layout: encoded.lookup(encoded.build(_wide(s, d), x), _probes(s)))
 
 # arrays
 

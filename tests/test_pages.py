@@ -100,6 +100,16 @@ def test_the_sizes_and_lookups_of_tables_pack_rows_once(spark, sf_dir, monkeypat
     assert sorted(map(tuple, got)) == sorted(map(tuple, cells.join(keys.withColumnRenamed("key", "tokenized"), "tokenized").select("tokenized", "tableid", "colid", "rowid").collect()))
 
 
+@pytest.mark.parametrize("runs", [0, 64])
+def test_a_lookup_reads_only_the_row_groups_it_asks_for(spark, sf_dir, monkeypatch, runs):
+    monkeypatch.setattr(encoded, "ASKED_RUNS", runs)
+    bundles = spark.range(100).withColumnRenamed("id", "bundle_id")
+    asked = spark.createDataFrame([(3,), (4,), (5,), (9,), (1 << 40,)], "bundle_id long")
+    left = [r.bundle_id for r in encoded._only(bundles, asked).collect()]
+    assert sorted(left) == ([3, 4, 5, 9] if runs else list(range(100)))
+    assert encoded._only(bundles, asked.limit(0)) is bundles
+
+
 def test_keys_in_one_place_are_not_compared(monkeypatch):
     from lakeloom.functions import batches
     from lakeloom.operators import layouts
